@@ -1,0 +1,21 @@
+"""All pairs of large groups in bounded tasks: a group is cut into blocks, and blocks meet two by two."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def meet(rows: DataFrame, key: str, of: Column, block: int) -> DataFrame:
+    """Deals the rows of each group to tasks in which every pair of the group meets exactly once.
+
+    key: column of the group; of: a spread hash of the row.  A group of up to `block`
+    rows is one task (__i = __j = 0).  A larger one has blocks 0..B-1; a row of block
+    k goes to the tasks (min(k, j), max(k, j)) for every j, and __mine tells its block.
+    Pairs of the same block meet in the task (k, k) alone.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
+    dealt = rows.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    dealt = dealt.withColumn("__mine", F.pmod(of, F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return dealt.select(*rows.columns, "__mine", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"))
