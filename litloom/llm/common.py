@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     both = e.unionByName(e.select(F.col("v").alias("u"), "v"))
     return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a frame as Parquet into the shared checkpoint folder and reads it again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
