@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "packing", "embedding_dedup", "mixing", "quality", "toxicity", "html_extract", "minhash", "suffix_dedup", "language_id"]
+MODULES = ["packing", "mixing", "minhash", "suffix_dedup", "language_id"]
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ sequences are bucketed by length and numbered bucket by bucket.
 The tokenizer works word by word: it drops white space before it splits, lower-cases and
 merges inside words only, so a text's ids are those of its white-space separated words
 one after the other.  A task keeps the ids of the words it has seen (at most CACHE; the
-store is emptied when full) and sends only new words to the library.
+rest is encoded each time) and sends only new words to the library, all of a text at once.
 
 Numbers are given in two steps: counts per (length, range of ids), whose running sums
 (at most lengths x ranges values) give each group its first number, and a row number
@@ -18,12 +18,14 @@ that repeat a doc_id are told apart by their tokens, and equal rows get differen
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,36 +34,107 @@ from litloom.llm.common import NULL_ID, cut, table
 CONTEXT = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 400_000
+CACHE = 1_000_000
 RANGES = 256
 #: White space as the tokenizer's own patterns have it.
 SPACE = re.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
 
 
+#: str.split() also splits at these, which the tokenizer keeps.
+_ODD = "\x1c\x1d\x1e\x1f"
+#: What the tokenizer splits words into, and words that its normalisation leaves as they are.
+UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = re.compile(r"[!-;=?-@\[-~\xa1-\xbf\xd7\xdf-\xff]+")
+#: A full stop or comma that ends a longer run of signs; else one that ends a word is a piece of its own.
+_RUN = re.compile(r"[.,](?<=[^\s\w].|_.)\s", re.S)
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of a word."""
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A word of letters alone is one unit to the tokenizer; its last id, and no other, has this suffix.
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
-    def of(self, text: str) -> bytes:
-        found = text.split() if text.isascii() and not _ODD.search(text) else SPACE.split(text)
+    def words(self, text: str) -> list[str]:
+        """Words whose ids are those of the text; spellings that the tokenizer treats alike are made equal."""
         try:
-            return b"".join(map(self.__getitem__, found))
-        except KeyError:
-            if len(self) > CACHE:
-                self.clear()
-            new = [w for w in dict.fromkeys(found) if w not in self]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.__getitem__, found))
+            text.encode("latin-1")  # within it, lower-casing is the tokenizer's own
+        except UnicodeEncodeError:
+            return SPACE.split(text)
+        if any(c in text for c in _ODD):
+            return SPACE.split(text)
+        text = text.lower()
+        if not _RUN.search(text):
+            text = text.replace(". ", " . ").replace(".\n", " . ").replace(", ", " , ").replace(",\n", " , ")
+        return text.split()
+
+    def encode(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new words: the plain ones in one go, as the units in each are known to end in one marked id."""
+        plain, units = [], []
+        for w in new:
+            if w.isalpha():
+                n = 1
+            else:
+                n = len(UNIT.findall(w))
+            if n and _PLAIN.fullmatch(w):
+                plain.append(w)
+                units.append(n)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        found = {}
+        if len(cuts) == sum(units):
+            raw = ids.tobytes()
+            his = (4 * cuts[np.cumsum(units) - 1]).tolist() if units else []
+            for w, lo, hi in zip(plain, [0, *his[:-1]], his):
+                found[w] = raw[lo:hi]
+        rest = [w for w in new if w not in found]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            found[w] = np.array(e.ids, "<u4").tobytes()
+        return found
+
+    def of_all(self, texts: list[str]):
+        """The ids of each text; new words of about a megabyte of text are encoded at once."""
+        some, size = [], 0
+        for t in texts:
+            found = self.words(t)
+            ids = list(map(self.get, found))
+            some.append((ids, [(i, found[i]) for i, x in enumerate(ids) if x is None] if None in ids else ()))
+            size += len(t)
+            if size > 1 << 20:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
+
+    def _some(self, some):
+        unseen = {w for _, gaps in some for _, w in gaps}
+        own = self.encode(sorted(unseen)) if unseen else {}
+        if len(self) < CACHE:  # the commonest words come early
+            self.update(own)
+        for ids, gaps in some:
+            for i, w in gaps:
+                ids[i] = own[w]
+            yield b"".join(ids)
 
+    def of(self, text: str) -> bytes:
+        return next(self.of_all([text]))
 
-#: str.split() also splits at these, which the tokenizer keeps.
-_ODD = re.compile(r"[\x1c-\x1f]")
+
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One store for each Python worker, kept from task to task."""
+    if path not in _kept:
+        _kept[path] = WordIds(path)
+    return _kept[path]
 
 
 def piece_lengths(n: int, context: int = CONTEXT) -> list[int]:
@@ -81,13 +154,14 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _cut_up(path: str | None, context: int, with_ids: bool):
     def run(batches):
-        ids = WordIds(path or vocabulary_path())
+        ids = word_ids(path or vocabulary_path())
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             cols = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32")}
             kept = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                tokens = ids.of(text or "") + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), ids.of_all(texts)):
+                tokens += end
                 n = len(tokens) // 4
                 sizes = piece_lengths(n, context)
                 starts = [0, *accumulate(sizes)][:-1]
