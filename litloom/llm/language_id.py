@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.common import table
+from litloom.llm.workers import over_batches
 
 UND = "und"
 PER_CLASS = 300
@@ -157,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = judge(held.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_batches(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
@@ -175,7 +176,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0) ->
             yield pa.RecordBatch.from_arrays(arrays, names).filter(keep)
 
     plain = docs.toDF(*names)
-    return plain.mapInArrow(run, plain.schema).toDF(*columns)
+    return plain.mapInArrow(over_batches(run), plain.schema).toDF(*columns)
 
 
 def is_held_out(folds: int, out: int):

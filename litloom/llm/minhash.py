@@ -34,15 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litloom.llm.common import NULL_ID, components, cut, table
+from litloom.llm.common import NULL_ID, components, cut, partitions_for, table
 from litloom.llm.hot_groups import meet
+from litloom.llm.workers import over_batches, over_groups
 
 SYMBOLS = 32
 CHUNKS = 8
 RADIUS = 15
 BLOCK = 2048
+#: Members of a key that are compared by shifting, and index rows for each group of keys.
+SMALL = 32
+GROUP_ROWS = 100_000
 #: Words whose hashes a task keeps; the store is emptied when it is full.
-CACHE = 1 << 20
+CACHE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,22 +131,38 @@ def _index(batches):
 
 
 def _cross_pairs(percent: int):
-    """Of one task of hot_groups.meet: pairs of different components within RADIUS and the length bound."""
+    """Of a group of hot_groups.meet's tasks: pairs of different components within RADIUS and the length bound."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        node, comp, n, mine = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "__mine"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        i, j = t.column("__i")[0].as_py(), t.column("__j")[0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out = []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if len(y):
-                y = y[(sig[y] != sig[x]).sum(1) <= RADIUS]
-                out.append(np.stack([np.minimum(node[y], node[x]), np.maximum(node[y], node[x])], 1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        key, i, j, node, mine, comp, n = (t.column(c).to_numpy() for c in ("key", "__i", "__j", "node", "__mine", "comp", "n_shingles"))
+        order = np.lexsort((node, j, i, key))
+        key, i, j, node, mine, comp, n = (c[order] for c in (key, i, j, node, mine, comp, n))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)[order]
+
+        def open_(x, y):
+            keep = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            keep = (sig[x] != sig[y]).sum(axis=1) <= RADIUS
+            return np.stack([np.minimum(node[x[keep]], node[y[keep]]), np.maximum(node[x[keep]], node[y[keep]])], axis=1)
+
+        new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        start, number = np.flatnonzero(new), np.cumsum(new) - 1
+        size = np.diff(np.r_[start, len(key)])
+        small = size[number] <= SMALL
+        out = [np.empty((0, 2), np.int64)]
+        for shift in range(1, min(SMALL, int(size.max(initial=1)))):
+            x = np.flatnonzero((number[shift:] == number[:-shift]) & small[:-shift])
+            x = x[(i[x] == j[x]) | (mine[x] != mine[x + shift])]
+            out.append(open_(x, x + shift))
+        for s, m in zip(start[size > SMALL], size[size > SMALL]):
+            rows = np.arange(s, s + m)
+            left, right = rows[mine[rows] == i[s]], rows[mine[rows] == j[s]]
+            some = []
+            for x in left:
+                y = right[right > x] if i[s] == j[s] else right
+                some.append(open_(np.full(len(y), x), y))
+            out.append(np.unique(np.concatenate(some), axis=0) if some else out[0])
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
@@ -166,7 +186,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words_per: int, percent: int)
     """The pairs (a, b) whose full shingle sets are similar; texts: (node, text) of every node in them."""
     right = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     both = right.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").sortWithinPartitions("a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(words_per, percent), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(over_batches(_confirm(words_per, percent)), "a long, b long")
 
 
 def _texts_of(rows: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,11 +208,11 @@ def _classes(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.withColumns({"did": F.coalesce("doc_id", F.lit(NULL_ID)), "th": F.xxhash64("text")})
     # A signature for each row; persisted, as it has some 100 bytes and costs a pass over all texts.
-    signed = cut(rows.select("doc_id", "th", "text").mapInArrow(_sign(words_per), "doc_id long, th long, n_shingles long, set_id binary, sig binary"))
+    signed = cut(rows.select("doc_id", "th", "text").mapInArrow(over_batches(_sign(words_per)), "doc_id long, th long, n_shingles long, set_id binary, sig binary"))
     # A node is a different set, named by a hash of it.
     named = signed.where("set_id is not null").withColumns({"node": F.xxhash64("set_id"), "did": F.coalesce("doc_id", F.lit(NULL_ID))})
     nodes = cut(named.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    keys = nodes.select("node", "sig").mapInArrow(_index, "key long, node long")
+    keys = nodes.select("node", "sig").mapInArrow(over_batches(_index), "key long, node long")
     # Members of a key against its least node.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     stars = cut(keys.join(low, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
@@ -205,7 +225,9 @@ def _classes(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     several = keys.join(labelled.select("node", "comp"), "node").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
     members = keys.join(several.where("x <> y").select("key"), "key").join(labelled, "node")
     dealt = meet(members, "key", F.xxhash64("node"), BLOCK)
-    cross = dealt.groupBy("key", "__i", "__j").applyInArrow(_cross_pairs(percent), "a long, b long").distinct()
+    groups = partitions_for(nodes.count() * SYMBOLS, GROUP_ROWS, 8)
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "__i", "__j"), F.lit(groups)).cast("int"))
+    cross = dealt.groupBy("g").applyInArrow(over_groups(_cross_pairs(percent)), "a long, b long").distinct()
     cross = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = confirmed(cut(cross), texts, words_per, percent)
     final = components(first.unionByName(more)).withColumnRenamed("component", "root")

@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.llm.common import NULL_ID, cut, table
+from litloom.llm.workers import over_batches
 
 CONTEXT = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 1_000_000
+CACHE = 400_000
 RANGES = 256
 #: White space as the tokenizer's own patterns have it.
 SPACE = re.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
@@ -195,7 +196,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, vocabulary: str | None = None,
     if context & (context - 1):
         raise ValueError("context must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(rows.mapInArrow(_cut_up(vocabulary, context, with_ids), PIECE + (", ids array<int>" if with_ids else "")))
+    pieces = cut(rows.mapInArrow(over_batches(_cut_up(vocabulary, context, with_ids)), PIECE + (", ids array<int>" if with_ids else "")))
     key = F.coalesce("doc_id", F.lit(NULL_ID))
     edges = pieces.where("start = 0").agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
     bounds = F.array(*[F.lit(int(e)).cast("long") for e in sorted(set(edges or []))]) if edges else F.array().cast("array<bigint>")

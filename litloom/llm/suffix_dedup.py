@@ -31,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.common import NULL_ID, partitions_for, table
+from litloom.llm.workers import over_batches, over_groups
 from litloom.llm.suffix_array import V, at, sort_suffixes, words
 
 LENGTH = 50
 K = 16
 #: Bytes of text that one group of documents holds, and that one group's contexts may hold.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 PIECE = 1 << 19
-SORT_BYTES = 6 << 20
+SORT_BYTES = 2 << 20
 
 BLOB = "pt int, h binary, rid binary, did binary, start binary, n binary, off binary, ctx binary"
 
@@ -373,13 +374,13 @@ def _repeats(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame,
     first = rows.groupBy("rid").agg(F.min("did").alias("first_did"))
     group = F.pmod(F.shiftrightunsigned("rid", 20), F.lit(n)).cast("int")
     # Copies are merged in each task before they meet; the groups' functions merge what is left.
-    distinct = rows.mapInArrow(local_heads, "did long, text binary, rid long").withColumn("pt", group).repartition(n, "pt")
-    blobs = distinct.select("rid", "text").mapInArrow(send_anchors(n, length), "pt int, h binary, rid binary")
-    shared = blobs.groupBy("pt").applyInArrow(shared_anchors(n), "pt int, h binary, rid binary")
-    contexts = distinct.groupBy("pt").cogroup(shared.groupBy("pt")).applyInArrow(send_contexts(n, length), BLOB)
-    marks = contexts.groupBy("pt").applyInArrow(find_repeats(n, length), "pt int, rid binary, a binary, b binary")
+    distinct = rows.mapInArrow(over_batches(local_heads), "did long, text binary, rid long").withColumn("pt", group).repartition(n, "pt")
+    blobs = distinct.select("rid", "text").mapInArrow(over_batches(send_anchors(n, length)), "pt int, h binary, rid binary")
+    shared = blobs.groupBy("pt").applyInArrow(over_groups(shared_anchors(n)), "pt int, h binary, rid binary")
+    contexts = distinct.groupBy("pt").cogroup(shared.groupBy("pt")).applyInArrow(over_groups(send_contexts(n, length)), BLOB)
+    marks = contexts.groupBy("pt").applyInArrow(over_groups(find_repeats(n, length)), "pt int, rid binary, a binary, b binary")
     schema = "rid long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return first, distinct.groupBy("pt").cogroup(marks.groupBy("pt")).applyInArrow(cut_out(with_text), schema)
+    return first, distinct.groupBy("pt").cogroup(marks.groupBy("pt")).applyInArrow(over_groups(cut_out(with_text)), schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
