@@ -27,15 +27,15 @@ def test_blocks():
 
 
 def test_consensus_outvotes_a_page(spark, monkeypatch):
-    rows = [(i, f"http://a.example/{i}", page('div class="post p%d"' % i, "div")) for i in range(12)]
+    rows = [(i, f"http://a.example/{i}", page('div class="post p%d"' % i, "div")) for i in range(30)]
     noisy = "<div class='promoted-links x'>no</div><div class='big'><p>" + "other stuff here. " * 60 + "</p></div><div class='post p99'><p>Short text.</p></div>"
     rows += [(50, "http://a.example/odd", noisy), (51, None, None), (52, "http://b.example/", "<p>alone</p>"), (53, "::", ""), (54, "http://a.example/odd", noisy), (None, "http://a.example/n", page())]
     pages = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "page_id long, url string, html string, host int").repartition(4)
     for most in (M.MOST_BROADCAST, 0):
         monkeypatch.setattr(M, "MOST_BROADCAST", most)
         got = {r.page_id: (r.text, r.n_chars) for r in M.main_text(pages).collect()}
-        assert len(got) == 18 and got[50] == got[54] == ("Short text.", 11)
-        assert all(got[i] == (WANT, len(WANT)) for i in range(12)) and got[None][0] == WANT
+        assert len(got) == 36 and got[50] == got[54] == ("Short text.", 11)
+        assert all(got[i] == (WANT, len(WANT)) for i in range(30)) and got[None][0] == WANT
         assert got[51] == ("", 0) and got[52] == ("alone", 5) and got[53] == ("", 0)
     assert M.main_text(pages.limit(0)).count() == 0
 
