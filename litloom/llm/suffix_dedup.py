@@ -375,7 +375,8 @@ def _repeats(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame,
     group = F.pmod(F.shiftrightunsigned("rid", 20), F.lit(n)).cast("int")
     # Copies are merged in each task before they meet; the groups' functions merge what is left.
     distinct = rows.mapInArrow(over_batches(local_heads), "did long, text binary, rid long").withColumn("pt", group).repartition(n, "pt")
-    blobs = distinct.select("rid", "text").mapInArrow(over_batches(send_anchors(n, length)), "pt int, h binary, rid binary")
+    # All three readers take the same columns, so the texts are shuffled once and the exchange is reused.
+    blobs = distinct.mapInArrow(over_batches(send_anchors(n, length)), "pt int, h binary, rid binary")
     shared = blobs.groupBy("pt").applyInArrow(over_groups(shared_anchors(n)), "pt int, h binary, rid binary")
     contexts = distinct.groupBy("pt").cogroup(shared.groupBy("pt")).applyInArrow(over_groups(send_contexts(n, length)), BLOB)
     marks = contexts.groupBy("pt").applyInArrow(over_groups(find_repeats(n, length)), "pt int, rid binary, a binary, b binary")
