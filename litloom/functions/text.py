@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def strip(c: Column) -> Column:
@@ -29,7 +30,7 @@ def joined(*columns: Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *[F.coalesce(c, F.lit("")) for c in columns])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """Canonical decomposition without the combining marks."""
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
