@@ -9,14 +9,16 @@ RADIUS shares a key: no pair under the signature-distance threshold is missed.
 similarity 0.8 a pair differs in more than RADIUS = 15 of 32 symbols with probability
 3e-4, at 0.85 with 5e-6.
 
-Only components are wanted, so the pairs of a key need not all be formed:
+Only components are wanted, so pairs are never rows:
 
 * documents of the same set are merged first;
-* each key links its members to the least of them (pre-aggregated, one row a member);
-  those links are confirmed on full shingle sets and give first components;
-* the keys whose members lie in several components yield the pairs between different
-  components within RADIUS and the length bound.  Large groups are dealt to blocks.
-  Confirmed in turn, they complete the components.
+* each key links its members to the least of them, one row a member; the components of
+  these candidate links are families, and every pair of a key lies inside one family;
+* a family's documents meet in a task, large families cut into blocks of BLOCK_BYTES that
+  meet two by two.  The task compares all signatures within RADIUS, confirms pairs on full
+  shingle sets unless both are connected already, and sends one link a document.
+
+The links' components are the result.
 
 Defined cases: a null text, or one without words, has an empty set and links with
 nothing; with fewer words than a shingle has, the whole sequence is the only shingle;
@@ -35,16 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.llm.common import NULL_ID, components, cut, partitions_for, table
-from litloom.llm.hot_groups import meet
 from litloom.llm.workers import over_batches, over_groups
 
 SYMBOLS = 32
 CHUNKS = 8
 RADIUS = 15
-BLOCK = 2048
-#: Members of a key that are compared by shifting, and index rows for each group of keys.
-SMALL = 32
-GROUP_ROWS = 100_000
+#: Bytes of text in a block of a large family, and in a group of families that meet in a task.
+BLOCK_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
 #: Words whose hashes a task keeps; the store is emptied when it is full.
 CACHE = 1 << 17
 
@@ -130,65 +130,50 @@ def _index(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), each))], ["key", "node"])
 
 
-def _cross_pairs(percent: int):
-    """Of a group of hot_groups.meet's tasks: pairs of different components within RADIUS and the length bound."""
+def _families(words_per: int, percent: int):
+    """Of a group of (family, i, j) meetings: a link from each document to the root of those found similar."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, i, j, node, mine, comp, n = (t.column(c).to_numpy() for c in ("key", "__i", "__j", "node", "__mine", "comp", "n_shingles"))
-        order = np.lexsort((node, j, i, key))
-        key, i, j, node, mine, comp, n = (c[order] for c in (key, i, j, node, mine, comp, n))
+        family, i, j, node, mine, n = (t.column(c).to_numpy() for c in ("family", "i", "j", "node", "mine", "n_shingles"))
+        order = np.lexsort((node, j, i, family))
+        family, i, j, node, mine, n = (c[order] for c in (family, i, j, node, mine, n))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)[order]
-
-        def open_(x, y):
-            keep = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[keep], y[keep]
-            keep = (sig[x] != sig[y]).sum(axis=1) <= RADIUS
-            return np.stack([np.minimum(node[x[keep]], node[y[keep]]), np.maximum(node[x[keep]], node[y[keep]])], axis=1)
-
-        new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        start, number = np.flatnonzero(new), np.cumsum(new) - 1
-        size = np.diff(np.r_[start, len(key)])
-        small = size[number] <= SMALL
-        out = [np.empty((0, 2), np.int64)]
-        for shift in range(1, min(SMALL, int(size.max(initial=1)))):
-            x = np.flatnonzero((number[shift:] == number[:-shift]) & small[:-shift])
-            x = x[(i[x] == j[x]) | (mine[x] != mine[x + shift])]
-            out.append(open_(x, x + shift))
-        for s, m in zip(start[size > SMALL], size[size > SMALL]):
-            rows = np.arange(s, s + m)
-            left, right = rows[mine[rows] == i[s]], rows[mine[rows] == j[s]]
-            some = []
+        texts, cache = t.column("text"), WordHashes()
+        new = np.r_[True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        starts = np.flatnonzero(new)
+        root = np.arange(len(node))
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingle_set(texts[int(order[x])].as_py(), words_per, cache)
+            return sets[x]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for lo, hi in zip(starts, np.r_[starts[1:], len(node)]):
+            sets.clear()
+            rows = np.arange(lo, hi)
+            left, right = rows[mine[lo:hi] == i[lo]], rows[mine[lo:hi] == j[lo]]
             for x in left:
-                y = right[right > x] if i[s] == j[s] else right
-                some.append(open_(np.full(len(y), x), y))
-            out.append(np.unique(np.concatenate(some), axis=0) if some else out[0])
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return run
-
-
-def _confirm(words_per: int, percent: int):
-    def run(batches):
-        cache, last = WordHashes(), (None, None)
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                if last[0] != a:
-                    last = a, shingle_set(x, words_per, cache)
-                keep.append(similar(last[1], shingle_set(y, words_per, cache), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                y = right[right > x] if i[lo] == j[lo] else right
+                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+                y = y[(sig[y] != sig[x]).sum(axis=1) <= RADIUS]
+                for z in y.tolist():
+                    a, b = find(x), find(z)
+                    if a != b and similar(set_of(x), set_of(z), percent):
+                        root[max(a, b)] = min(a, b)
+        top = np.array([find(x) for x in range(len(node))], np.int64) if len(node) else root
+        linked = node[top] != node
+        return pa.table({"a": pa.array(node[top][linked], pa.int64()), "b": pa.array(node[linked], pa.int64())})
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words_per: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar; texts: (node, text) of every node in them."""
-    right = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-    both = right.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").sortWithinPartitions("a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(over_batches(_confirm(words_per, percent)), "a long, b long")
-
-
 def _texts_of(rows: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) for the wanted nodes, from the row of least id and text hash; repeated rows count once."""
     rep = named.groupBy("node").agg(F.min(F.struct("did", "th")).alias("r")).join(wanted, "node", "left_semi")
@@ -216,21 +201,19 @@ def _classes(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     # Members of a key against its least node.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     stars = cut(keys.join(low, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    # Every node that shares a key with another: the pairs of both rounds are among these.
-    texts = cut(_texts_of(rows.where("text is not null"), named, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    first = cut(confirmed(stars, texts, words_per, percent))
-    labels = components(first).select("node", F.col("component").alias("comp"))
-    labelled = cut(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    # Keys whose members lie in different components.
-    several = keys.join(labelled.select("node", "comp"), "node").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    members = keys.join(several.where("x <> y").select("key"), "key").join(labelled, "node")
-    dealt = meet(members, "key", F.xxhash64("node"), BLOCK)
-    groups = partitions_for(nodes.count() * SYMBOLS, GROUP_ROWS, 8)
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "__i", "__j"), F.lit(groups)).cast("int"))
-    cross = dealt.groupBy("g").applyInArrow(over_groups(_cross_pairs(percent)), "a long, b long").distinct()
-    cross = cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = confirmed(cut(cross), texts, words_per, percent)
-    final = components(first.unionByName(more)).withColumnRenamed("component", "root")
+    families = cut(components(stars).withColumnRenamed("component", "family"))
+    texts = _texts_of(rows.where("text is not null"), named, families.select("node"))
+    members = texts.join(families, "node").join(nodes, "node").withColumn("size", F.octet_length("text").cast("long"))
+    members = cut(members)
+    whole = members.groupBy("family").agg(F.sum("size").alias("bytes"))
+    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    dealt = members.join(whole, "family").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    groups = partitions_for(members.agg(F.sum("size")).first()[0], GROUP_BYTES, 8)
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups)).cast("int"))
+    links = dealt.select("g", "family", "i", "j", "node", "mine", "n_shingles", "sig", "text").groupBy("g").applyInArrow(over_groups(_families(words_per, percent)), "a long, b long")
+    final = components(links).withColumnRenamed("component", "root")
     roots = named.select("did", "doc_id", "th", "n_shingles", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = roots.join(least, "root").select("doc_id", "th", "n_shingles", "component_id")

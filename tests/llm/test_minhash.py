@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from litloom.llm import hot_groups, minhash as M
+from litloom.llm import minhash as M
 from litloom.llm.common import components
 
 
@@ -54,7 +54,8 @@ def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     want = sorted(brute(rows), key=str)
     assert sorted(map(tuple, M.near_duplicates(frame(spark, rows)).collect()), key=str) == want
-    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(M, "GROUP_BYTES", 4000)
     assert sorted(map(tuple, M.near_duplicates(frame(spark, rows)).collect()), key=str) == want
     kept = M.drop_near_duplicates(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "node", "kept"]
@@ -77,7 +78,7 @@ def test_keys_find_every_pair_within_radius():
     assert (M.chunk_keys(a) == M.chunk_keys(b)).any(axis=1).all()
 
 
-def test_components_and_meet(spark):
+def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 90)] + [(r.randint(100, 300), r.randint(100, 300)) for _ in range(120)] + [(7, 7)]
     root = {}
@@ -94,13 +95,3 @@ def test_components_and_meet(spark):
             root[max(x, y)] = min(x, y)
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in list(root)}
-    rows = spark.range(40).selectExpr("id", "case when id < 30 then 1 else id end as k")
-    from pyspark.sql import functions as F
-
-    tasks = {}
-    for x in hot_groups.meet(rows, "k", F.xxhash64("id"), 7).collect():
-        tasks.setdefault((x["k"], x["__i"], x["__j"]), []).append((x["id"], x["__mine"]))
-    pairs = []
-    for (_, i, j), m in tasks.items():
-        pairs += [(a, b) for a, x in m for b, y in m if ((x, y) == (i, j) and i != j) or (i == j and a < b)]
-    assert sorted(tuple(sorted(p)) for p in pairs) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
