@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from litloom import dsl
 from litloom.functions import ids, numbers, text
 from litloom.functions.dates import extract_year
-from litloom.operators import dedup, filters, ranking, screening, stats
+from litloom.operators import dedup, extraction, filters, ranking, screening, stats
 from litloom.plans.bib import ASKED, BIB, CLOSURE, NORM, documents, queries, with_
 from litloom.sinks import exports
+from litloom.sources import providers
 
 SEARCH = 'title:"the" AND (abstract:tion OR venue:src1) NOT title:of'
 FIELDED = "title:(thand OR und) year:2003 OR venue:src12"
@@ -236,7 +237,50 @@ def cite_key_unique(spark, d):
     return exports.with_keys(documents(spark, d)).select("provider_id", "cite_key")
 
 
+def cluster_mapping(spark, d):
+    return exports.cluster_mapping(_exact(spark, d))
+
+
+def screening_prompts(spark, d):
+    decided = documents(spark, d).withColumn("decision", F.when(F.col("idx") % 3 == 0, "include").otherwise("exclude"))
+    return extraction.screening_prompts(decided).select("idx", F.md5("prompt").alias("prompt_md5"))
+
+
+def _matrix(spark, d):
+    docs = documents(spark, d)
+    return extraction.matrix(
+        docs.select(
+            F.col("provider_id").alias("source"), F.split(F.substring("title", 1, 40), " ").alias("models_used"), F.concat(F.col("cited_by_count").cast("string"), F.lit(".25%")).alias("best_accuracy"),
+            F.substring("title", 1, 60).alias("key_contribution"), F.col("provider").alias("category"),
+        )
+    )
+
+
+def model_frequencies(spark, d):
+    return extraction.item_frequencies(_matrix(spark, d), "models_used", 20)
+
+
+def accuracy_quartiles(spark, d):
+    return _rounded(extraction.accuracies(_matrix(spark, d)), "q1", "median", "q3")
+
+
+def synthesis_contexts(spark, d):
+    return extraction.synthesis_contexts(_matrix(spark, d), 2000)
+
+
+def merged_facts(spark, d):
+    docs = documents(spark, d)
+    facts = lambda where, tag: docs.where(where).select(F.col("provider_id").alias("paper_id"), F.create_map(F.lit("year"), F.concat(F.lit(tag), F.coalesce(F.col("year").cast("string"), F.lit("NR"))), F.lit(tag), F.lit("1")).alias("facts"))
+    out = extraction.upsert(facts("idx % 2 = 0", "a"), facts("idx % 3 = 0", "b"))
+    return out.select("paper_id", F.array_join(F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("facts"))
+
+
+def pdf_sources(spark, d):
+    return providers.pdf_candidates(documents(spark, d)).select("idx", "pdf_url", "pdf_source")
+
+
 QUERIES = {f.__name__: f for f in (
+    cluster_mapping, screening_prompts, model_frequencies, accuracy_quartiles, synthesis_contexts, merged_facts, pdf_sources,
     dsl_flagship, dsl_boolean_search, dsl_field_search, quality_filter, heuristic_screen, heuristic_screen_reason, normalize_title, normalize_doi, text_year, parse_number, extract_accuracy,
     dedup_exact_edges, dedup_exact_clusters, dedup_fuzzy_candidates, dedup_fuzzy_clusters, dedup_golden_record, dedup_assembled, dedup_statistics, cluster_size_histogram, match_type_counts,
     prisma_counts, validation_profile, duplicate_titles, year_distribution, provider_totals, top_venues, top_venues_by_provider, max_results_per_group, distinct_by_key, export_filter,
@@ -282,7 +326,18 @@ def _tex(x: str) -> str:
 _DOI_RAW = "case when idx % 4 = 0 then ' https://doi.org/' || upper(doi) when idx % 4 = 1 then 'DOI: ' || doi else doi end"
 _YEAR_RAW = "case when idx % 3 = 0 then 'published May ' || (idx % 300 + 1850) else (idx % 3000)::varchar end"
 
+_MATRIX = "matrix as (select provider_id as source, left(title, 40) as models, cited_by_count || '.25%' as best_accuracy, left(title, 60) as key_contribution, provider as category from bib)"
+
 SQL = {
+    "cluster_mapping": with_(*_CLUSTERED, recursive=True) + "select cluster_id, arg_min(title, idx) as title, count(*) as member_count, string_agg(distinct provider, ',' order by provider) as providers from clustered group by 1",
+    "screening_prompts": with_(BIB) + "select idx, md5('Title: ' || coalesce(nullif(title, ''), 'NR') || chr(10) || 'Abstract: ' || coalesce(nullif(abstract, ''), 'NR')) as prompt_md5 from bib where idx % 3 = 0",
+    "model_frequencies": with_(BIB, _MATRIX) + "select item, count(*) as records from (select unnest(list_filter(list_transform(string_split(array_to_string(string_split(models, ' '), ', '), ','), lambda w: lower(trim(w))), lambda w: w <> '')) as item from matrix) group by item order by records desc, item limit 20",
+    "accuracy_quartiles": with_(BIB, _MATRIX) + "select count(*) as n, round(quantile_cont(v, 0.25), 6) as q1, round(median(v), 6) as median, round(quantile_cont(v, 0.75), 6) as q3 from (select try_cast(nullif(regexp_extract(best_accuracy, '(\\d{2,3}\\.?\\d*)%', 1), '') as double) as v from matrix) where v between 50 and 100 having count(*) > 5",
+    "synthesis_contexts": with_(BIB, _MATRIX) + "select category, count(*) as papers, left(string_agg('- ' || source || ': ' || key_contribution, chr(10) order by source), 2000) as context from matrix group by category",
+    "merged_facts": with_(BIB) + """, f as (select provider_id as paper_id, 'year' as k, 'a' || coalesce(year::varchar, 'NR') as v, 0 as o from bib where idx % 2 = 0 union all select provider_id, 'a', '1', 0 from bib where idx % 2 = 0
+union all select provider_id, 'year', 'b' || coalesce(year::varchar, 'NR'), 1 from bib where idx % 3 = 0 union all select provider_id, 'b', '1', 1 from bib where idx % 3 = 0)
+select paper_id, string_agg(k || '=' || v, ';' order by k) as facts from (select paper_id, k, arg_max(v, o) as v from f group by all) group by 1""",
+    "pdf_sources": with_(BIB) + "select idx, case when regexp_matches(lower(url), '\\.pdf($|\\?)') then url when arxiv_id is not null then 'https://arxiv.org/pdf/' || arxiv_id || '.pdf' when doi is not null then 'https://doi.org/' || doi end as pdf_url, case when regexp_matches(lower(url), '\\.pdf($|\\?)') then 'direct' when arxiv_id is not null then 'arxiv' when doi is not null then 'doi' end as pdf_source from bib",
     "dsl_boolean_search": with_(BIB) + f"select idx, provider, year from bib where contains({_T}, 'the') and (contains({_A}, 'tion') or contains({_V}, 'src1')) and not contains({_T}, 'of')",
     "dsl_field_search": with_(BIB) + f"select idx, provider, year from bib where ((contains({_T}, 'thand') or contains({_T}, 'und')) and coalesce(year = 2003, false)) or contains({_V}, 'src12')",
     "dsl_flagship": with_(BIB) + f"""select idx, provider, title, cited_by_count from (select *, row_number() over (partition by provider order by cited_by_count desc, idx) as n from

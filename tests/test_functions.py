@@ -63,7 +63,7 @@ def test_similarity():
 def test_citations(spark):
     assert column(spark, ["see [1], [2,3] and [4-6] [1-2,9]"], citations.citation_numbers) == [[1, 2, 3, 4, 5, 6]]
     got = column(spark, ['Smith, J. (2020). "A title". doi:10.1/x.'], citations.parse_reference)[0]
-    assert (got.authors, got.title, got.year, got.doi) == ("Smith, J", "A title", 2020, "10.1/x")
+    assert (got.authors, got.title, got.year, got.doi) == ("Smith, J.", "A title", 2020, "10.1/x")
 
 
 def test_dsl_strings():
