@@ -65,14 +65,16 @@ def encoded(text: Column, t: Column) -> Column:
     return F.concat_ws("|", F.array_insert(F.transform(t, section), 1, root(text, t)))
 
 
-def leaves(t: Column) -> Column:
-    return F.transform(F.flatten(F.flatten(t)), lambda x: F.substring(x, 1, 12))
+def leaves(fingerprint: Column) -> Column:
+    """Leaf hashes of a fingerprint string: they alone follow = or a stop."""
+    return F.regexp_extract_all(fingerprint, F.lit("[=.]([0-9a-f]{12})"), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two leaf arrays, 0 to 1."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Of two fingerprint strings, 0 to 1."""
+    x, y = leaves(a), leaves(b)
+    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
 def edited_branches(a: Column, b: Column) -> Column:
@@ -87,10 +89,9 @@ def edited_branches(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with fingerprint and leaves added."""
+    """docs with fingerprint added."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__tree", tree(whole))
-    return out.withColumns({"fingerprint": encoded(whole, F.col("__tree")), "leaves": leaves(F.col("__tree"))}).drop("__tree")
+    return docs.withColumn("__tree", tree(whole)).withColumn("fingerprint", encoded(whole, F.col("__tree"))).drop("__tree")
 
 
 def _range_of(key: Column, edges: list[int]) -> tuple[Column, Column]:
@@ -134,19 +135,20 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumns({"__key": F.coalesce("doc_id", F.lit(NULL_ID)), "__tie": F.xxhash64("text")})
-    rows = with_next(fingerprints(rows), ["text", "leaves"])
+    rows = with_next(fingerprints(rows), ["text", "fingerprint"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("__next.text"), F.lit(1), half)))
     rows = rows.withColumn("__edited_tree", tree(F.col("edited")))
+    rows = rows.withColumn("edited_fingerprint", encoded(F.col("edited"), F.col("__edited_tree")))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
-        encoded(F.col("edited"), F.col("__edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), leaves(F.col("__edited_tree"))).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("__next.leaves")).alias("near_next"),
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("__next.fingerprint")).alias("near_next"),
     )
 
 

@@ -30,7 +30,7 @@ ROWS = [(1, "One. Two! Three?\nFour. é中.\n\n\nNew section. End"), (2, None),
 
 
 def test_against_brute_force(spark, monkeypatch):
-    docs = spark.createDataFrame([(d, t, "x") for d, t in ROWS], "doc_id long, text string, leaves string").repartition(3)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in ROWS], "doc_id long, text string, fingerprint string").repartition(3)
     order = sorted(((-(2**63) if d is None else d), t or "", d) for d, t in ROWS)
     want = {}
     for i, (_, t, d) in enumerate(order):
