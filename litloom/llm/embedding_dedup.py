@@ -247,4 +247,15 @@ def op3_pstable_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+SQL = {
+    "op3_pstable_embedding_dedup": """with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v where list_dot_product(e, e) > 0),
+pairs as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id < b.vec_id and list_dot_product(a.e, b.e) >= 0.9),
+both_ways as (select a, b from pairs union select b, a from pairs),
+links as (select a, count(*) as n from both_ways group by a),
+reach(n, l) as (select vec_id, vec_id from embeddings union select e.b, r.l from reach r join both_ways e on r.n = e.a),
+low as (select n, min(l) as component_id from reach group by n)
+select vec_id, coalesce(links.n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join low on low.n = vec_id left join links on a = vec_id""",
+}
+
 QUERIES = {"op3_pstable_embedding_dedup": op3_pstable_embedding_dedup}

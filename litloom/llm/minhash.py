@@ -241,4 +241,19 @@ def op8_minhash_hamming(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_per=4, percent=80)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL = {
+    "op8_minhash_hamming": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+n as (select doc_id, len(s) as n from s),
+e as (select doc_id, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+pairs as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways as (select a, b from pairs union select b, a from pairs),
+reach(v, l) as (select doc_id, doc_id from n union select e.b, r.l from reach r join both_ways e on r.v = e.a),
+low as (select v, min(l) as component_id from reach group by v)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join low on v = doc_id""",
+}
+
 QUERIES = {"op8_minhash_hamming": op8_minhash_hamming}

@@ -425,4 +425,18 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+SQL = {
+    "op9_suffix_dedup": """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+strings as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as p from d where n >= 50)),
+low as (select s, min(doc_id) as m from strings group by s),
+hit as (select doc_id, p from strings join low using (s) where m < doc_id),
+step as (select doc_id, p, coalesce((p > lag(p) over (partition by doc_id order by p) + 50)::int, 1) as new from hit),
+runs as (select doc_id, p, sum(new) over (partition by doc_id order by p) as g from step),
+spans as (select doc_id, min(p) as a, max(p) + 50 as b from runs group by doc_id, g),
+sums as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, max(b) as last from spans group by doc_id),
+parts as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from spans union all select doc_id, last, n from sums join d using (doc_id)),
+kept as (select doc_id, string_agg(substr(h, (2 * x + 1)::bigint, (2 * (y - x))::bigint), '' order by x) as k from parts join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256 from d left join sums using (doc_id) left join kept using (doc_id)""",
+}
+
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
