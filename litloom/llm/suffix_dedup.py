@@ -37,11 +37,11 @@ from litloom.llm.suffix_array import V, at, sort_suffixes, words
 LENGTH = 50
 K = 16
 #: Bytes of text that one group of documents holds, and that one group's contexts may hold.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 PIECE = 1 << 19
 SORT_BYTES = 2 << 20
 
-BLOB = "pt int, h binary, rid binary, did binary, start binary, n binary, off binary, ctx binary"
+BLOB = "pt int, rid binary, did binary, start binary, n binary, off binary, ctx binary"
 
 
 def _hashes(buf: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def send_contexts(n_groups: int, length: int):
     """Of a group of documents and its shared anchors: the contexts, by the group of the anchor's hash."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], pa.int32() if c == "pt" else pa.binary()) for c in ("pt", "h", "rid", "did", "start", "n", "off", "ctx")})
+        empty = pa.table({c: pa.array([], pa.int32() if c == "pt" else pa.binary()) for c in ("pt", "rid", "did", "start", "n", "off", "ctx")})
         if not docs.num_rows or not shared.num_rows:
             return empty
         docs = one_each(docs)
@@ -213,12 +213,12 @@ def send_contexts(n_groups: int, length: int):
         ctx = np.concatenate([g[6] for g in got])
         begin = np.r_[0, np.cumsum(size)[:-1]]
         order, groups = _split(n_groups, h)
-        out = {c: [] for c in ("pt", "h", "rid", "did", "start", "n", "off", "ctx")}
+        out = {c: [] for c in ("pt", "rid", "did", "start", "n", "off", "ctx")}
         for g, a, b in groups:
             o = order[a:b]
             s = size[o]
             where = np.repeat(begin[o] - np.r_[0, np.cumsum(s)[:-1]], s) + np.arange(s.sum())
-            for c, v in (("h", h[o]), ("rid", rids[i[o]]), ("did", dids[i[o]]), ("start", start[o]), ("n", count[o].astype(np.uint16)), ("off", off[o].astype(np.uint16)), ("ctx", ctx[where])):
+            for c, v in (("rid", rids[i[o]]), ("did", dids[i[o]]), ("start", start[o].astype(np.uint32)), ("n", count[o].astype(np.uint16)), ("off", off[o].astype(np.uint16)), ("ctx", ctx[where])):
                 out[c].append(v.tobytes())
             out["pt"].append(g)
         return pa.table({c: pa.array(v, pa.int32() if c == "pt" else pa.binary()) for c, v in out.items()})
@@ -261,13 +261,17 @@ def find_repeats(n_docs_groups: int, length: int):
     """Of a group of contexts: the intervals to remove, sent to the groups of their documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, rid, did, start = _cat(t.column("h"), np.uint64), _cat(t.column("rid"), np.int64), _cat(t.column("did"), np.int64), _cat(t.column("start"), np.int64)
+        rid, did, start = _cat(t.column("rid"), np.int64), _cat(t.column("did"), np.int64), _cat(t.column("start"), np.uint32).astype(np.int64)
         n, off = _cat(t.column("n"), np.uint16).astype(np.int64), _cat(t.column("off"), np.uint16).astype(np.int64)
         ctx = b"".join(_raw(t.column("ctx")))
         del t
         size = n + length - 1
         end = np.cumsum(size)
         begin = end - size
+        # The anchor itself tells which contexts belong together; its hash need not be sent.
+        anchor = np.frombuffer(ctx, np.uint8)[(begin + off)[:, None] + np.arange(K)].view("<u8")
+        h = (anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (anchor[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+        del anchor
         # Anchors' hashes in ranges that fit the sort: equal strings have equal anchors.
         order = np.argsort(h, kind="stable")
         cum = np.cumsum(size[order])
