@@ -121,6 +121,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(columns, axis=1).astype(np.float32), count
 
 
+def in_batches(texts):
+    """Texts in lists of about BATCH bytes: what features are computed over at once."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= BATCH:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -170,7 +183,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, rate: float = 0
     if not len(y):
         return None
     rng = np.random.default_rng(seed)
-    x, count = passages([t.encode(errors="replace") for t in texts])
+    parts = [passages(some) for some in in_batches(t.encode(errors="replace") for t in texts)]
+    x, count = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -6, 6).astype(np.float64)
     n = x.shape[1]
@@ -204,15 +218,7 @@ def score_all(docs: DataFrame, model: Model | None) -> DataFrame:
         model = held.value
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            out, some, size = [], [], 0
-            for t in texts:
-                some.append(t)
-                size += len(t)
-                if size >= BATCH:
-                    out.append(model.score(some) if model else np.full(len(some), 0.5))
-                    some, size = [], 0
-            if some:
-                out.append(model.score(some) if model else np.full(len(some), 0.5))
+            out = [model.score(some) if model else np.full(len(some), 0.5) for some in in_batches(texts)]
             score = np.concatenate(out).astype(np.float64) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
