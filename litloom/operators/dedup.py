@@ -47,20 +47,20 @@ def fuzzy_candidates(rows: DataFrame, threshold: int = FUZZY_THRESHOLD, gap: int
     """Pairs of different titles, years within the gap, that share two words or more and pass the length and edit bounds.
 
     Equal titles are one row here: their records are linked by star edges already.  Two
-    titles that share two words meet on each shared word; of those meetings the one on the
-    least shared word counts.  symmetric=False asks for the earlier record to be no younger.
+    titles that share two words meet on each shared word; the meetings of a pair are counted
+    before its texts are looked up.  symmetric=False asks for the earlier record to be no younger.
     """
     titles = rows.where(truthy(F.col("norm")) & F.col("year").isNotNull())
     titles = titles.groupBy("norm", "year").agg(F.min("idx").alias("idx"))
-    titles = titles.withColumns({"words": title_words(F.col("norm")), "len": F.char_length("norm")}).where(F.size("words") > 1)
-    entries = titles.withColumn("word", F.explode("words"))
-    left = entries.select(F.col("idx").alias("ia"), F.col("norm").alias("na"), F.col("year").alias("ya"), F.col("words").alias("wa"), F.col("len").alias("la"), "word").withColumn("year_b", F.explode(F.sequence(F.col("ya") - (gap if symmetric else 0), F.col("ya") + gap)))
-    right = entries.select(F.col("idx").alias("ib"), F.col("norm").alias("nb"), F.col("year").alias("year_b"), F.col("words").alias("wb"), F.col("len").alias("lb"), "word")
-    pairs = left.join(right, ["word", "year_b"]).where((F.col("ia") < F.col("ib")) & (F.col("na") != F.col("nb")))
+    titles = cut(titles.withColumns({"words": title_words(F.col("norm")), "len": F.char_length("norm")}).where(F.size("words") > 1))
+    # A meeting carries no text: a title of n words would be sent n times.
+    entries = titles.select("idx", "year", "len", F.explode("words").alias("word"))
+    left = entries.select(F.col("idx").alias("ia"), F.col("len").alias("la"), "word", F.explode(F.sequence(F.col("year") - (gap if symmetric else 0), F.col("year") + gap)).alias("year_b"))
+    right = entries.select(F.col("idx").alias("ib"), F.col("len").alias("lb"), "word", F.col("year").alias("year_b"))
     total = F.col("la") + F.col("lb")
-    pairs = pairs.where(100 * F.abs(F.col("la") - F.col("lb")) <= (100 - threshold) * total)
-    shared = F.array_intersect("wa", "wb")
-    pairs = pairs.where((F.size(shared) >= 2) & (F.array_min(shared) == F.col("word")))
+    near = (F.col("ia") < F.col("ib")) & (100 * F.abs(F.col("la") - F.col("lb")) <= (100 - threshold) * total)
+    pairs = left.join(right, ["word", "year_b"]).where(near).groupBy("ia", "ib", "la", "lb").count().where("count > 1").drop("count")
+    pairs = pairs.join(titles.select(F.col("idx").alias("ia"), F.col("norm").alias("na")), "ia").join(titles.select(F.col("idx").alias("ib"), F.col("norm").alias("nb")), "ib").where("na <> nb")
     # Indel distance is at least the edit distance, so this bound loses nothing.
     pairs = pairs.where(F.expr(f"levenshtein(na, nb, cast(floor({100 - threshold} * (la + lb) / 100) as int)) >= 0"))
     return pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "na", "nb")

@@ -16,13 +16,13 @@ QUERIES_ROWS = [
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """idx, title, abstract, year, provider, venue, doi, arxiv_id, cited_by_count, language, query_id, authors, url."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    title = F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 200)
+    title = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
     word = lambda n: F.coalesce(F.regexp_extract(title, rf"^(?:[^a-zA-Z]*[a-zA-Z]+){{{n}}}[^a-zA-Z]*([a-zA-Z]+)", 1), F.lit(""))
     author = lambda n: F.struct(word(n).alias("family_name"), F.nullif(word(n + 1), F.lit("")).alias("given_name"), F.lit(None).cast("string").alias("orcid"))
     return d.select(
         F.col("doc_id").alias("idx"),
         title.alias("title"),
-        F.substring("text", 1, 5000).alias("abstract"),
+        F.col("text").alias("abstract"),
         F.when(F.col("doc_id") % 17 != 0, (2000 + F.col("doc_id") % 25).cast("int")).alias("year"),
         F.element_at(F.array(*map(F.lit, ("openalex", "crossref", "arxiv", "pubmed", "s2"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("provider"),
         F.col("source").alias("venue"),
