@@ -1,23 +1,28 @@
 """Language identification with string kernels (operator 10).
 
 Blended-spectrum presence kernel: a text is the set of its character 1-, 2- and 3-grams
-(lower-cased, anything but the commonest letters acts as a gap), and
-k(x, y) = |S(x) & S(y)| / sqrt(|S(x)| |S(y)|).  `landmarks` texts of the training sample
-give a Nyström approximation; one-versus-rest kernel ridge regression is fitted on it.
-Scoring a batch is two matrix products: presence rows by the landmarks' rows, the scaled
-kernel by the coefficients.
+(lower-cased, anything but letters acts as a gap), and
+k(x, y) = |S(x) & S(y)| / sqrt(|S(x)| |S(y)|).  Letters of all scripts count: n-grams of
+the sample's commonest letters have numbers in a small table, the others are exact codes of
+their code points.  `landmarks` texts of the training sample, or LANDMARKS_EACH of each
+language if that is more, give a Nyström approximation; one-versus-rest kernel ridge
+regression is fitted on it.  Scoring a batch is two matrix products: presence rows by the
+landmarks' rows, the scaled kernel by the coefficients; with many n-grams the first is
+counted from lists of the landmarks of each n-gram.
 
 The model is fitted on at most `per_class` labelled texts of each language, those of
 least hash (a bounded sample; the number of languages is bounded by max_classes), and is
-broadcast: its size depends on the parameters alone.  Every text is scored whole.
+broadcast: its size depends on the parameters and the number of languages.  Every text is
+scored whole.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; with no
-labelled rows every text is `und`.
+Defined cases: a null text, one without a letter, or one that shares no n-gram with any
+landmark is `und` with score 0; with no labelled rows every text is `und`.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,60 +35,120 @@ from litloom.llm.workers import over_batches
 UND = "und"
 PER_CLASS = 300
 LANDMARKS = 192
+LANDMARKS_EACH = 8
 RIDGE = 1e-2
 SHARPNESS = 6.0
+#: Letters whose n-grams are numbered in a table; a matter of speed alone.
 ALPHABET = 63
-CODES = 0x10000
+CODES = 0x110000
+#: Beyond so many n-grams, or n-grams times landmarks, rows of presence are not laid out.
+MOST_GRAMS, MOST_CELLS = 1 << 16, 1 << 24
+
+
+@cache
+def is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(CODES)), bool, CODES)
 
 
 def letter_table(texts: list[str]) -> np.ndarray:
     """A small number for each of the commonest letters of the sample; 0 for anything else."""
     seen = Counter()
     for t in texts:
-        seen.update(c for c in t.lower() if c.isalpha() and ord(c) < CODES)
-    lut = np.zeros(CODES, np.int32)
+        seen.update(c for c in t.lower() if c.isalpha())
+    lut = np.zeros(CODES, np.uint8)
     for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
         lut[ord(c)] = i + 1
     return lut
 
 
 def presence(text: str, lut: np.ndarray) -> np.ndarray:
-    """Codes of the text's distinct 1-, 2- and 3-grams: one number space of 64**3 for each length."""
+    """Codes of the text's distinct 1-, 2- and 3-grams.
+
+    Those of letters in the table: one number space of 64**3 for each length.  Those with
+    another letter: less than 0, 21 bits for each code point.
+    """
     cp = np.frombuffer(text.lower().encode("utf-32-le", errors="surrogatepass"), np.uint32)
-    x = lut[np.where(cp < CODES, cp, 0)]
-    x = np.r_[0, x, 0]
+    cp = np.r_[0, np.where(is_letter()[cp], cp, 0), 0].astype(np.int64)
     # A run of gaps is one gap.
-    x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]]
+    cp = cp[np.r_[True, (cp[1:] != 0) | (cp[:-1] != 0)]]
+    x = lut[cp].astype(np.int32)
     two = x[:-1] * 64 + x[1:]
+    three = two[:-1] * 64 + x[2:]
+    rare = (x == 0) & (cp != 0)
+    other = rare.any()
+    if other:
+        rare2 = rare[:-1] | rare[1:]
+        rare3 = rare2[:-1] | rare[2:]
+        # With 1 added no n-gram is the code of a shorter one.
+        c = cp + 1
+        c2 = c[:-1] << 21 | c[1:]
+        c3 = c2[:-1] << 21 | c[2:]
+        codes = -np.unique(np.concatenate([c[rare], c2[rare2], c3[rare3]]))
+        x, two, three = x[~rare], two[~rare2], three[~rare3]
     seen = np.zeros(64 + 64**2 + 64**3, bool)
     seen[x] = True
     seen[64 + two] = True
-    seen[64 + 64**2 + (two[:-1] * 64 + x[2:])] = True
+    seen[64 + 64**2 + three] = True
     seen[0] = False
-    return np.flatnonzero(seen)
+    return np.concatenate([codes[::-1], np.flatnonzero(seen)]) if other else np.flatnonzero(seen)
 
 
 class Model:
-    def __init__(self, classes, lut, slot, marks, marks_norm, coef):
-        self.classes, self.lut, self.slot, self.marks, self.marks_norm, self.coef = classes, lut, slot, marks, marks_norm, coef
+    """marks: the landmarks' rows of presence, or (starts, landmarks) for each n-gram in turn."""
+
+    def __init__(self, classes, lut, sets):
+        self.classes, self.lut, self.coef = classes, lut, None
+        grams = np.unique(np.concatenate(sets))
+        self.rare = grams[grams < 0]
+        self.slot = np.full(64 + 64**2 + 64**3, -1, np.int32)
+        self.slot[grams[len(self.rare) :]] = np.arange(len(self.rare), len(grams))
+        self.size, self.grams = len(sets), len(grams)
+        self.marks_norm = np.array([max(len(p), 1) for p in sets], np.float32)
+        self.dense = len(grams) <= MOST_GRAMS and len(grams) * len(sets) <= MOST_CELLS
+        if self.dense:
+            self.marks = np.zeros((len(sets), len(grams)), np.float32)
+            for r, p in enumerate(sets):
+                self.marks[r, self.slots(p)] = 1
+        else:
+            at = np.concatenate([self.slots(p) for p in sets])
+            who = np.repeat(np.arange(len(sets), dtype=np.int32), [len(p) for p in sets])
+            self.marks = np.r_[0, np.cumsum(np.bincount(at, minlength=len(grams)))], who[np.argsort(at, kind="stable")]
+
+    def slots(self, p: np.ndarray) -> np.ndarray:
+        """Places of those n-grams that a landmark has."""
+        n = np.searchsorted(p, 0)
+        s = self.slot[p[n:]]
+        s = s[s >= 0]
+        if not n or not len(self.rare):
+            return s
+        at = np.minimum(np.searchsorted(self.rare, p[:n]), len(self.rare) - 1)
+        return np.concatenate([at[self.rare[at] == p[:n]].astype(np.int32), s])
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        rows = np.zeros((len(texts), self.marks.shape[1]), np.float32)
+        rows = np.zeros((len(texts), self.grams if self.dense else self.size), np.float32)
         norm = np.ones(len(texts), np.float32)
         for i, t in enumerate(texts):
             p = presence(t, self.lut)
             norm[i] = max(len(p), 1)
-            s = self.slot[p]
-            rows[i, s[s >= 0]] = 1
-        return (rows @ self.marks.T) / np.sqrt(norm[:, None] * self.marks_norm[None, :])
+            s = self.slots(p)
+            if self.dense:
+                rows[i, s] = 1
+            else:
+                starts, who = self.marks
+                n = starts[s + 1] - starts[s]
+                at = np.repeat(starts[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                rows[i] = np.bincount(who[at], minlength=self.size)
+        return (rows @ self.marks.T if self.dense else rows) / np.sqrt(norm[:, None] * self.marks_norm[None, :])
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The class number and its probability for each text."""
-        z = self.kernel(texts) @ self.coef * SHARPNESS
+        """The class number and its probability for each text; -1 and 0 if no landmark is like it."""
+        k = self.kernel(texts)
+        z = k @ self.coef * SHARPNESS
         e = np.exp(z - z.max(axis=1, keepdims=True))
         p = e / e.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        return best, p[np.arange(len(best)), best].astype(np.float64)
+        known = k.any(axis=1)
+        return np.where(known, best, -1), np.where(known, p[np.arange(len(best)), best], 0).astype(np.float64)
 
 
 def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -91,28 +156,27 @@ def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     if not texts:
         return None
     classes = sorted(set(labels))
+    queues = {c: [] for c in classes}
+    for i, y in enumerate(labels):
+        queues[y].append(i)
+    chosen = [i for turn in range(max(map(len, queues.values()))) for c in classes for i in queues[c][turn : turn + 1]][: max(landmarks, LANDMARKS_EACH * len(classes))]
     lut = letter_table(texts)
-    sets = [presence(t, lut) for t in texts]
-    queues = {c: [i for i, y in enumerate(labels) if y == c] for c in classes}
-    chosen = [i for turn in range(max(map(len, queues.values()))) for c in classes for i in queues[c][turn : turn + 1]][:landmarks]
-    grams = np.unique(np.concatenate([sets[i] for i in chosen]))
-    slot = np.full(64 + 64**2 + 64**3, -1, np.int32)
-    slot[grams] = np.arange(len(grams))
-    marks = np.zeros((len(chosen), len(grams)), np.float32)
-    for r, i in enumerate(chosen):
-        marks[r, slot[sets[i]]] = 1
-    norm = np.maximum(marks.sum(axis=1), 1)
-    model = Model(classes, lut, slot, marks, norm, None)
-    k = model.kernel(texts).astype(np.float64)
-    values, vectors = np.linalg.eigh(k[chosen])
+    model = Model(classes, lut, [presence(texts[i], lut) for i in chosen])
+    values, vectors = np.linalg.eigh(model.kernel([texts[i] for i in chosen]).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = k @ root
-    y = np.where(np.array(labels)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
-    # Classes of few texts weigh as much as the others.
-    weight = len(labels) / (len(classes) * np.array([len(queues[y]) for y in labels]))
-    w = np.linalg.solve((z * weight[:, None]).T @ z + ridge * len(texts) * np.eye(z.shape[1]), (z * weight[:, None]).T @ y)
-    model.coef = (root @ w).astype(np.float32)
+    place = {c: j for j, c in enumerate(classes)}
+    left, right = ridge * len(texts) * np.eye(root.shape[1]), np.zeros((root.shape[1], len(classes)))
+    for at in range(0, len(texts), 512):
+        mine = labels[at : at + 512]
+        z = model.kernel(texts[at : at + 512]).astype(np.float64) @ root
+        y = np.full((len(mine), len(classes)), -1.0)
+        y[np.arange(len(mine)), [place[c] for c in mine]] = 1.0
+        # Classes of few texts weigh as much as the others.
+        weighed = (z * (len(labels) / (len(classes) * np.array([len(queues[c]) for c in mine])))[:, None]).T
+        left += weighed @ z
+        right += weighed @ y
+    model.coef = (root @ np.linalg.solve(left, right)).astype(np.float32)
     return model
 
 
@@ -145,7 +209,8 @@ def judge(model: Model | None, texts: list[str | None], batch_docs: int = 256) -
     for at in range(0, len(able), batch_docs):
         part = able[at : at + batch_docs]
         for i, b, s in zip(part, *model.score([texts[i] for i in part])):
-            lang[i], score[i] = model.classes[b], float(s)
+            if b >= 0:
+                lang[i], score[i] = model.classes[b], float(s)
     return lang, score
 
 

@@ -44,3 +44,43 @@ def test_no_labels(spark):
     assert L.fit(docs, ~L.is_held_out(5, 0)) is None
     assert L.predict(docs, None).first().lang_pred == "und"
     assert L.predict(docs.limit(0), None).count() == 0
+
+
+def scripts(n=40):
+    """Texts of six scripts with many letters, two languages in each."""
+    r = random.Random(3)
+    out = []
+    for at, size in ((0x61, 26), (0x430, 32), (0x3B1, 17), (0x628, 20), (0x4E00, 3000), (0x20000, 900)):
+        for side in (0, 1):
+            words = ["".join(chr(at + r.randrange(size)) for _ in range(r.randint(2, 5))) for _ in range(30)]
+            out += [(" ".join(r.choice(words) for _ in range(r.randint(8, 30))), f"{at:x}-{side}") for _ in range(n)]
+    r.shuffle(out)
+    return out
+
+
+def test_letters_beyond_the_table(monkeypatch):
+    data = scripts()
+    learn, rest = data[:360], data[360:]
+    kernels = []
+    for most in (L.MOST_GRAMS, 0):
+        monkeypatch.setattr(L, "MOST_GRAMS", most)
+        m = L.train(*map(list, zip(*learn)))
+        assert m.dense == (most > 0)
+        kernels.append(m.kernel([t for t, _ in rest]))
+        lang, score = L.judge(m, [t for t, _ in rest])
+        assert lang == [y for _, y in rest] and min(score) >= 0.4
+        assert L.judge(m, ["ⴰⴱⴲ ⴳⴴ"]) == (["und"], [0.0])
+    assert abs(kernels[0] - kernels[1]).max() < 1e-6
+    grams = lambda t: {g for w in t.split() for k in (1, 2, 3) for g in (f" {w} "[i : i + k] for i in range(len(w) + 3 - k))} - {" "} | {a[-1] + " " + b[0] for a, b in zip(t.split(), t.split()[1:])}
+    assert all(len(L.presence(t, m.lut)) == len(grams(t)) for t, _ in data)
+
+
+def test_each_of_many_languages_has_landmarks():
+    r = random.Random(5)
+    vocabulary = {f"l{c:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7))) for _ in range(12)] for c in range(220)}
+    draw = lambda c: " ".join(r.choice(vocabulary[c]) for _ in range(25))
+    learn = [(draw(c), c) for c in vocabulary for _ in range(10)]
+    m = L.train(*map(list, zip(*learn)))
+    assert m.size == 8 * 220
+    lang, _ = L.judge(m, [draw(c) for c in vocabulary])
+    assert sum(a == c for a, c in zip(lang, vocabulary)) >= 0.97 * 220
