@@ -4,13 +4,15 @@ Every page scores its containers (div, section, article, main, td): the text of
 a container holds itself, without links, and a share of what its inner containers hold.
 The page votes for the path of its best one: the tags and classes from the top, digits
 replaced, so that pages of one template agree.  Spark sums the votes for each host and
-path and keeps a host's leading paths.  Each page is then read again with them: its own
-best path if that is among the leaders, else the first leader that it has text under, else
-its own best.  From the chosen containers all blocks are taken but those inside menus,
+path and keeps every path that several pages of the host support (SUPPORT, or LEAST_SHARE
+on small hosts), however many templates it has.  Each page is then read again with them:
+its own best path if that is among the leaders, else the leader of most votes that it has
+text under, else its own best.  From the chosen containers all blocks are taken but those inside menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Votes are summed in each task first, so a large host costs one row a task and path.  The
-leaders are broadcast only if they are few (MOST_BROADCAST characters), else joined.
+leaders are broadcast only if they are few (MOST_BROADCAST characters), else joined, each
+page with all of its host.
 
 Defined cases: null html gives an empty text; a null or odd url belongs to the empty host;
 markup cut off in the middle ends where it is cut; a page without containers is its
@@ -23,7 +25,7 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.common import cut, table
@@ -47,7 +49,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
 WORD = re.compile(r"[a-z]+")
 INNER_SHARE = 0.7
-LEADERS = 5
+#: A path wins by so many votes, or by such a share of its host's.
+SUPPORT = 3
 LEAST_SHARE = 0.1
 MOST_BROADCAST = 4_000_000
 
@@ -210,15 +213,27 @@ class Page:
         inner = path + ">"
         return [t for p, t, _ in self.blocks if not path or p == path or p.startswith(inner)]
 
+    def paths(self) -> set[str]:
+        """The paths with text under them."""
+        found = {""} if self.blocks else set()
+        for path, _, _ in self.blocks:
+            while path not in found:
+                found.add(path)
+                path = path.rpartition(">")[0]
+        return found
 
-def extract(html: str | None, leaders: list[str] | None) -> str:
+
+def ranked(leaders: list[str] | None) -> dict[str, int]:
+    return {p: i for i, p in enumerate(leaders or [])}
+
+
+def extract(html: str | None, leaders: list[str] | dict[str, int] | None) -> str:
     page = Page(html or "")
-    own, _ = page.best()
-    leaders = leaders or []
-    for path in [own] if own in leaders else [*leaders, own]:
-        if found := page.under(path):
-            return "\n".join(found)
-    return ""
+    path, _ = page.best()
+    ranks = leaders if isinstance(leaders, dict) else ranked(leaders)
+    if path not in ranks:
+        path = min(page.paths() & ranks.keys(), key=ranks.get, default=path)
+    return "\n".join(page.under(path))
 
 
 def _vote(batches):
@@ -239,9 +254,16 @@ def _rows(votes):
     return pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(votes.values(), pa.int64())], ["host", "path", "votes"])
 
 
-def _read_again(batches):
+def _read_again(batches, few=None):
+    """With the leaders of few, {host: ranks}, or of the column leaders."""
     for batch in batches:
-        text = [extract(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("leaders").to_pylist())]
+        hosts, ranks = batch.column("host").to_pylist(), few
+        if few is None:
+            ranks, column = {}, batch.column("leaders")
+            for i, h in enumerate(hosts):
+                if h not in ranks:
+                    ranks[h] = ranked(column[i].as_py())
+        text = [extract(x, ranks.get(h)) for x, h in zip(batch.column("html").to_pylist(), hosts)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -250,13 +272,12 @@ def host_of(url):
 
 
 def leading_paths(pages: DataFrame) -> DataFrame:
-    """host, leaders: the paths with LEAST_SHARE of a host's votes or more, most votes first, at most LEADERS."""
+    """host, leaders: the paths with SUPPORT votes or with LEAST_SHARE of the host's, most votes first."""
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(over_batches(_vote), "host string, path string, votes long")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     all_votes = votes.groupBy("host").agg(F.sum("votes").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    led = votes.join(all_votes, "host").where(F.col("votes") >= LEAST_SHARE * F.col("total")).withColumn("rank", rank).where(F.col("rank") <= LEADERS)
-    leaders = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"])
+    led = votes.join(all_votes, "host").where((F.col("votes") >= SUPPORT) | (F.col("votes") >= LEAST_SHARE * F.col("total")))
+    leaders = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))), lambda x: x["path"])
     return led.groupBy("host").agg(leaders.alias("leaders"))
 
 
@@ -265,8 +286,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     leaders = cut(leading_paths(pages))
     size = leaders.agg(F.sum(F.length("host") + F.length(F.array_join("leaders", " ")) + 32).alias("n")).first()["n"] or 0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(leaders) if size <= MOST_BROADCAST else leaders, "host", "left")
-    return rows.select("page_id", "url", "html", "leaders").mapInArrow(over_batches(_read_again), "page_id long, url string, text string, n_chars long")
+    out = "page_id long, url string, text string, n_chars long"
+    if size > MOST_BROADCAST:
+        return rows.join(leaders, "host", "left").select("page_id", "url", "html", "host", "leaders").mapInArrow(over_batches(_read_again), out)
+    few = pages.sparkSession.sparkContext.broadcast({r["host"]: ranked(r["leaders"]) for r in leaders.collect()})
+    return rows.mapInArrow(over_batches(lambda batches: _read_again(batches, few.value)), out)
 
 
 def op7_host_path_extraction(spark, sf_dir: str) -> DataFrame:

@@ -46,3 +46,20 @@ def test_random_markup_never_fails():
     for _ in range(2000):
         html = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
         assert isinstance(M.extract(html, ["div.a#"]), str)
+
+
+def test_minority_templates_win_on_a_large_host(spark, monkeypatch):
+    """Eight templates of 3 to 40 pages; each has a teaser under the path of the largest one beside its article."""
+    words = ["alpha", "beta", "gamma", "delta", "eta", "theta", "iota", "kappa"]
+    counts = [40, 30, 25, 20, 15, 12, 6, 3]
+    teaser = "<div class='alpha'><p>Teaser only.</p></div>"
+    rows = [(1000 * k + i, f"http://hot.example/{k}/{i}", (teaser if k else "") + f"<div class='{words[k]}'><p>Story {k} {i}. {LONG}</p></div>") for k, n in enumerate(counts) for i in range(n)]
+    rows += [(9999, "http://hot.example/odd", teaser + f"<div class='seen once'><p>{LONG}</p></div>")]
+    # An odd page with a block of the rarest template alone.
+    rows += [(9998, "http://hot.example/rare", f"<div class='never'><p>{LONG}</p></div><div class='kappa'><p>Rare story.</p></div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for most in (M.MOST_BROADCAST, 0):
+        monkeypatch.setattr(M, "MOST_BROADCAST", most)
+        got = {r.page_id: r.text for r in M.main_text(pages).collect()}
+        assert len(got) == len(rows) and got[9999] == "Teaser only." and got[9998] == "Rare story."
+        assert all(got[1000 * k + i] == f"Story {k} {i}. {LONG}" for k, n in enumerate(counts) for i in range(n))
