@@ -110,12 +110,15 @@ def reference_pages(spark, d):
     return structure.flag_references(_rows(spark, PAGES, "source_file string, page_number int, text string")).select("source_file", "page_number", "is_references")
 
 
-def chunk_documents(spark, d):
+def markdown_pages(spark, d):
     """Every page of the driver's table as a Markdown document: its tags dropped, its heading a header."""
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"<h1[^>]*>", "\n# "), r"</p>|</h1>", "\n\n"), r"<[^>]*>", "")
-    pages = p.select(F.col("page_id").cast("string").alias("source_file"), F.lit(1).alias("page_number"), text.alias("text"))
-    return structure.chunk_pages(pages, 1000).select("source_file", "section", "header_level", "part", "total_parts", F.length("text").alias("chars"))
+    return p.select(F.col("page_id").cast("string").alias("source_file"), F.lit(1).alias("page_number"), text.alias("text"))
+
+
+def chunk_documents(spark, d):
+    return structure.chunk_pages(markdown_pages(spark, d), 1000).select("source_file", "section", "header_level", "part", "total_parts", F.length("text").alias("chars"))
 
 
 def chunk_selection(spark, d):
