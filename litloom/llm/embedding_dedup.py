@@ -205,6 +205,20 @@ def _compare(places: int, tables: int, kind: str, threshold: float):
     return run
 
 
+def _dealt(entries: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
+    """The n entries dealt to the meetings (i, j) of the blocks of their bucket, and these to groups g of about GROUP_ROWS."""
+    few = heavy.count() <= MOST_HEAVY
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+    # Each entry goes to as many meetings as its bucket has blocks.
+    more = heavy.agg(F.sum(F.col("n") * (blocks - 1))).first()[0] or 0
+    groups = max(8, -(-(n + more) // GROUP_ROWS))
+    dealt = entries.join(F.broadcast(heavy) if few else heavy, "key", "left")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    return dealt.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).cast("int"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; vectors: vec_id, embedding array<float or double>."""
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
@@ -217,14 +231,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     keys = nodes.mapInArrow(over_batches(_bucket(places, tables, kind, False)), "key long")
     heavy = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     entries = nodes.mapInArrow(over_batches(_bucket(places, tables, kind, True)), "key long, t int, node long, m long, vec binary")
-    few = heavy.count() <= MOST_HEAVY
-    dealt = entries.join(F.broadcast(heavy) if few else heavy, "key", "left")
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    groups = max(8, -(-n * tables // GROUP_ROWS))
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).cast("int"))
+    dealt = _dealt(entries, heavy, n * tables)
     found = dealt.select("g", "key", "i", "j", "node", "mine", "m", "t", "vec").groupBy("g").applyInArrow(over_groups(_compare(places, tables, kind, threshold)), "node long, links long, root long")
     found = cut(found)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

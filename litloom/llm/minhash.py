@@ -183,6 +183,18 @@ def _texts_of(rows: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame
     return own.withColumn("number", number).where("number = 1").select("node", "text")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of each family dealt to the meetings (i, j) of its blocks, and these to groups g of about GROUP_BYTES."""
+    whole = members.groupBy("family").agg(F.sum("size").alias("bytes"))
+    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    # Each member goes to as many meetings as its family has blocks.
+    groups = partitions_for(whole.agg(F.sum(F.col("bytes") * blocks)).first()[0], GROUP_BYTES, 8)
+    dealt = members.join(whole, "family").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    return dealt.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups)).cast("int"))
+
+
 def near_duplicates(docs: DataFrame, words_per: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     return _classes(docs, words_per, percent).select("doc_id", "n_shingles", "component_id", "kept")
@@ -205,13 +217,7 @@ def _classes(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     texts = _texts_of(rows.where("text is not null"), named, families.select("node"))
     members = texts.join(families, "node").join(nodes, "node").withColumn("size", F.octet_length("text").cast("long"))
     members = cut(members)
-    whole = members.groupBy("family").agg(F.sum("size").alias("bytes"))
-    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
-    dealt = members.join(whole, "family").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    groups = partitions_for(members.agg(F.sum("size")).first()[0], GROUP_BYTES, 8)
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups)).cast("int"))
+    dealt = _dealt(members)
     links = dealt.select("g", "family", "i", "j", "node", "mine", "n_shingles", "sig", "text").groupBy("g").applyInArrow(over_groups(_families(words_per, percent)), "a long, b long")
     final = components(links).withColumnRenamed("component", "root")
     roots = named.select("did", "doc_id", "th", "n_shingles", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -73,3 +73,12 @@ def test_recall_at_the_threshold():
     places, tables = M.plan(50_000, 0.9)
     hit = (M.codes(a, places, tables) == M.codes(b, places, tables)).any(axis=1).mean()
     assert hit > 0.94
+
+
+def test_groups_of_one_large_bucket_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 10)
+    monkeypatch.setattr(M, "GROUP_ROWS", 20)
+    entries = spark.range(200).selectExpr("id as node", "1L as key")
+    heavy = spark.createDataFrame([(1, 200)], "key long, n long")
+    sizes = [r[0] for r in M._dealt(entries, heavy, 200).groupBy("g").count().select("count").collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 200

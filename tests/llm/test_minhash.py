@@ -95,3 +95,12 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in list(root)}
+
+
+def test_groups_of_one_large_family_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(M, "GROUP_BYTES", 2000)
+    members = spark.range(200).selectExpr("id as node", "1L as family", "100L as size")
+    sizes = [r[0] for r in M._dealt(members).groupBy("g").agg({"size": "sum"}).select("sum(size)").collect()]
+    # 20 blocks: each member is sent 20 times.
+    assert sum(sizes) == 400_000 and max(sizes) <= 20_000
