@@ -122,9 +122,11 @@ def chunk_documents(spark, d):
 
 
 def chunk_selection(spark, d):
-    p = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").where(F.col("text").isNotNull())
-    tags = ("abstract", "methods", "results", "other")
-    chunks = p.select((F.col("doc_id") % 50).cast("string").alias("paper_id"), F.col("doc_id").cast("string").alias("id"), "text", (F.col("doc_id") % 7).cast("int").alias("page_number"), F.array(F.element_at(F.array(*map(F.lit, tags)), (F.col("doc_id") % 4 + 1).cast("int"))).alias("section_tags"), F.lit(None).cast("string").alias("section_role"), F.when(F.col("doc_id") % 9 == 0, "table").otherwise("text").alias("type"))
+    """Every document is a paper with a budget of its own; its chunks are tagged in turn."""
+    p = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).alias("page_number"), "text").where(F.col("text").isNotNull())
+    tags = F.array(*map(F.lit, ("abstract", "methods", "results", "other")))
+    part = F.col("part") + F.pmod(F.xxhash64("source_file"), F.lit(36)).cast("int")
+    chunks = structure.chunk_pages(p).select(F.col("source_file").alias("paper_id"), "id", "text", "page_number", F.array(F.element_at(tags, (part % 4 + 1).cast("int"))).alias("section_tags"), F.lit(None).cast("string").alias("section_role"), F.when(part % 9 == 0, "table").otherwise("text").alias("type"))
     return structure.select_chunks(chunks, ["abstract", "results"], 6000)
 
 

@@ -37,3 +37,11 @@ def test_every_page_has_sections(spark):
 @pytest.mark.parametrize("name", T.SQL)
 def test_sql(spark, name):
     assert compare(spark, T.QUERIES[name], T.SQL[name], FOLDER, connect(FOLDER)) == ""
+
+
+def test_chunk_selection_grows_with_the_documents(spark, tmp_path):
+    write(spark, tmp_path, [(i, f"text {i} " * 40) for i in range(300)] + [(i, "long " * 9000) for i in range(300, 340)])
+    rows = S.chunk_selection(spark, tmp_path).collect()
+    papers = {r.paper_id for r in rows}
+    assert len(papers) > 100 and papers <= {str(i) for i in range(300)}
+    assert all(sum(r.tokens for r in rows if r.paper_id == p) <= 6000 for p in papers)
