@@ -2,18 +2,21 @@
 
 A source's target is its share of all words by weight, at most `cap` times its own words.
 Each document is to be taken target / source_size times: the whole part for certain, the
-fraction by rounding.  Rounding pairs two fractional documents and moves words from one
-to the other, in a random direction, until one of them is taken whole or not at all; the
-sum of the words taken never changes and each document keeps its expectation.  One
-fractional document at most is left of a group.  Groups (a source's documents by a hash
-of the id) are rounded in parallel, and what they leave is combined level by level in a
-tree of fan-in `fan`; the root's last one is settled by a draw.
+fraction by rounding.  Rounding pairs a fractional document with a pool of smaller ones,
+one if it is as large, and moves words between them in a random direction until the
+document is taken whole or not at all; the sum of the words taken never changes and each
+document keeps its expectation.  Groups (a source's documents by a hash of the id) are
+rounded in parallel, and what they leave is combined level by level in a tree of fan-in
+`fan`; what the root leaves is settled by a draw.
 
-Within a group the largest documents are paired first, so what is left at the end is
-small and a source misses its target by less than that last document.
+The largest documents are settled first, so what is left of a group is the smallest
+fractional one, and a source misses its target by less than that.  Only where the rest of
+a source is too small to bear a document's rounding can that document be left itself.
 
 Random draws come from a hash of seed, level and group, so reruns agree whatever the
-partitioning.  Defined cases: a null text has size 0 and is neither taken nor dropped by
+partitioning; documents of equal size are settled in the order of their ids.
+
+Defined cases: a null text has size 0 and is neither taken nor dropped by
 chance (0 words; copies as its source's rate); rows that repeat source, doc_id and size are
 rounded as one unit, taken or left together; a null source is a source of its own, last.
 """
@@ -29,8 +32,10 @@ from litloom.llm.common import NULL_ID, cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
-FAN = 20_000
+FAN = 5_000
 SEED = 17
+#: Moves after which a document that its pool cannot settle is left to the next level.
+MOST_MOVES = 64
 
 
 def word_count(text):
@@ -57,32 +62,46 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
 
 
 def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds fractions in order; keeps sum(p * size) but for one fraction that may be left.
-
-    A pair moves words d up one way with probability e / (d + e) and e the other way
-    with probability d / (d + e), d and e being the most that either way allows.
+    """Rounds fractions, given largest first; keeps sum(p * size) but for one fraction that may be left.
+
+    Each document in turn is settled against a pool of the next smaller ones.  It goes up
+    by (1 - p) of its size with probability p, else down by p of it; the pool gives or takes
+    these words, each member by its share.  A member with fraction q can bear a share of up
+    to min(q / (1 - p), (1 - q) / p) of its size, so the pool is the fewest next documents
+    that bear the whole size; a pool of one is the plain pivotal step.  If all that are left
+    bear only a part, the document moves by that part, and again until it or they are whole.
+    Every fraction keeps its expectation, and what is left at the end is the smallest.
     """
-    p = p.copy()
     eps = 1e-9
-    hold = -1
-    draws = rng.random(len(p))
-    for i in range(len(p)):
-        if p[i] <= eps or p[i] >= 1 - eps:
-            p[i] = round(p[i])
-            continue
-        if size[i] == 0:
-            p[i] = float(draws[i] < p[i])
-            continue
-        if hold < 0:
-            hold = i
-            continue
-        a, b = p[hold] * size[hold], p[i] * size[i]
-        d, e = min(size[hold] - a, b), min(a, size[i] - b)
-        move = d if draws[i] < e / (d + e) else -e
-        p[hold], p[i] = (a + move) / size[hold], (b - move) / size[i]
-        p[hold], p[i] = (x if eps < x < 1 - eps else float(round(x)) for x in (p[hold], p[i]))
-        hold = hold if 0 < p[hold] < 1 else i if 0 < p[i] < 1 else -1
-    return p
+    frac, sizes = p.astype(float).tolist(), size.astype(float).tolist()
+    whole = lambda x: float(round(x)) if x <= eps or x >= 1 - eps else x
+    for i, z in enumerate(sizes):
+        frac[i] = float(rng.random() < frac[i]) if z == 0 and 0 < frac[i] < 1 else whole(frac[i])
+    n = len(frac)
+    for i in range(n):
+        for _ in range(MOST_MOVES):
+            x, z = frac[i], sizes[i]
+            if x in (0.0, 1.0):
+                break
+            pool, bears, room = [], [], 0.0
+            j = i + 1
+            while j < n and room < z:
+                q = frac[j]
+                if 0.0 < q < 1.0:
+                    can = sizes[j] * min(q / (1 - x), (1 - q) / x)
+                    pool.append(j)
+                    bears.append(can)
+                    room += can
+                j += 1
+            if not pool:
+                break
+            part = min(z, room)
+            up = rng.random() < x
+            move = (1 - x) * part if up else -x * part
+            frac[i] = whole(x + move / z)
+            for j, can in zip(pool, bears):
+                frac[j] = whole(frac[j] - move * (can / room) / sizes[j])
+    return np.array(frac)
 
 
 def _round(level: int, seed: int, last: bool):
@@ -142,10 +161,10 @@ def copies(sized: DataFrame, cap: float = CAP, weights: tuple[float, ...] = (1.0
 
 
 def _settle(done: DataFrame, settled: DataFrame) -> DataFrame:
-    """A group leaves one fractional unit at most, so (rank, block) names it."""
-    s = settled.select(F.col("rank").alias("r_"), F.col("block").alias("b_"), F.col("p").alias("p_"))
-    out = done.join(s, (F.col("rank") == F.col("r_")) & (F.col("block") == F.col("b_")) & (F.col("p") > 0) & (F.col("p") < 1), "left")
-    return out.withColumn("p", F.coalesce("p_", "p")).drop("r_", "b_", "p_")
+    """done with the fractions of the units that a later level has settled."""
+    s = settled.select(F.col("rank").alias("r_"), F.col("doc_id").alias("d_"), F.col("size").alias("z_"), F.col("p").alias("p_"))
+    out = done.join(s, (F.col("rank") == F.col("r_")) & (F.col("doc_id") == F.col("d_")) & (F.col("size") == F.col("z_")), "left")
+    return out.withColumn("p", F.coalesce("p_", "p")).drop("r_", "d_", "z_", "p_")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -154,8 +173,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
-    sized = sizes(docs)
-    units = copies(cut(sized), **options)
+    sized = cut(sizes(docs))  # both sides of the join read it, so texts are read once
+    units = copies(sized, **options)
     same = F.col("s.doc_id").eqNullSafe(F.col("u.doc_id")) & F.col("s.source").eqNullSafe(F.col("u.source")) & (F.col("s.size") == F.col("u.size"))
     out = sized.alias("s").join(units.alias("u"), same)
     return out.select("s.doc_id", "s.size", "u.source_size", "u.target", (F.col("u.copies") * F.col("s.size")).alias("taken"))

@@ -1,4 +1,7 @@
 import random
+import re
+import tracemalloc
+from html.parser import HTMLParser
 
 from litloom.llm import html_extract as M
 
@@ -63,3 +66,125 @@ def test_minority_templates_win_on_a_large_host(spark, monkeypatch):
         got = {r.page_id: r.text for r in M.main_text(pages).collect()}
         assert len(got) == len(rows) and got[9999] == "Teaser only." and got[9998] == "Rare story."
         assert all(got[1000 * k + i] == f"Story {k} {i}. {LONG}" for k, n in enumerate(counts) for i in range(n))
+
+
+class Tree(HTMLParser):
+    """A second reading: a tree by the standard library's tokenizer, walked recursively."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.top = ("page", {}, [])
+        self.stack = [self.top]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, dict(attrs), [])
+        self.stack[-1][2].append(node)
+        if tag not in ("br", "hr"):
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        while self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+def dropped(tag, attrs):
+    words = set(re.findall("[a-z]+", (attrs.get("class") or "").lower()))
+    if tag in ("div", "section", "ul"):
+        words |= set(re.findall("[a-z]+", (attrs.get("id") or "").lower()))
+    return tag in ("nav", "aside", "footer", "form", "script") or tag not in ("article", "h2") and bool(words & M.MARKS)
+
+
+def walked(node, out, run):
+    """Blocks under a node in page order."""
+    tag, attrs, inner = node
+    block = tag in ("p", "div", "section", "article", "ul", "li", "h2", "blockquote", "nav", "aside", "footer", "form")
+
+    def flush():
+        text = " ".join("".join(run).split())
+        run.clear()
+        if text:
+            out.append(text)
+
+    if block:
+        flush()
+    if not dropped(tag, attrs):
+        for x in inner:
+            if isinstance(x, str):
+                run.append(x)
+            elif x[0] == "br":
+                run.append(" ")
+            else:
+                walked(x, out, run)
+    elif not block:
+        pass
+    if block:
+        flush()
+    return out
+
+
+def random_page(r):
+    quotes = ["'", '"']
+
+    def attrs(names):
+        q = r.choice(quotes)
+        kind = r.choice(["", f" class={q}{r.choice(names)}{q}", f" id={q}{r.choice(names)}{q}", f" title={q}a > b{quotes[q == quotes[0]]}s{q}", " it's", " data-x=5'9", f" alt = {q}1{q} /x"])
+        return kind
+
+    def inline(depth):
+        bits = ["word ", "a &lt; b ", "&eacute;&#33; ", "x  \n y ", "5' 9\" ", "<br>"]
+        return "".join(r.choice(bits) if depth > 2 or r.random() < 0.7 else "<%s%s>%s</%s>" % ((t := r.choice(["b", "span", "i"])), attrs(["bold", "share", "ad-text", "form"]), inline(depth + 1), t) for _ in range(r.randint(1, 4)))
+
+    def block(depth):
+        t = r.choice(["p", "p", "h2", "blockquote"] + ["div", "section", "ul", "aside", "nav", "form"] * (depth < 5))
+        names = ["form-and-matter", "share", "comments", "story", "c1 c2", "related"]
+        body = inline(0) if t in ("p", "h2", "blockquote") else "".join(f"<li{attrs(names)}>{inline(0)}</li>" for _ in range(2)) if t == "ul" else "".join(block(depth + 1) for _ in range(r.randint(0, 4)))
+        return f"<{t}{attrs(names)}>{body}</{t}>" + r.choice(["", " ", "<!-- <p>no</p> -->"])
+
+    return "<article>" + "".join(block(0) for _ in range(r.randint(1, 6))) + "</article>"
+
+
+def test_against_a_tree_walk_on_random_pages():
+    r = random.Random(9)
+    for _ in range(1500):
+        html = random_page(r)
+        assert M.extract(html, ["article"]).split("\n") == ("\n".join(walked(Tree(html).top, [], []))).split("\n"), html
+
+
+def test_odd_quotes_marked_ids_and_headings():
+    assert M.extract("<article><p it's>hello world</p><p>it's fine</p></article>", None) == "hello world\nit's fine"
+    assert M.extract('<p title="5" tall">hello world</p><p class="x">bye</p>', None) == "hello world\nbye"
+    assert M.extract('<article><p id="share-prices">Share prices fell</p><h2 id="form">Form and matter</h2></article>', None) == "Share prices fell\nForm and matter"
+    assert M.extract("<div class=page><h1>T</h1><div class=content><p>some text</p></div></div>", None) == "T\nsome text"
+    assert M.extract("<div class='page with-sidebar'><p>text</p></div><div class=sidebar><p>no</p></div>", None) == "text"
+
+
+def test_deep_and_long_pages():
+    """Memory is proportional to the page: 200,000 nested containers, and a text of 10 million characters."""
+    tracemalloc.start()
+    assert M.extract("<div class='a b'>" * 200_000 + "<p>deep</p>" + "</b>" * 1000, ["div.z"]) == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    assert len(M.extract("<article><p>" + "ab " * 3_400_000 + "</p></article>", None)) == 10_199_999
+
+
+def test_query_over_the_whole_table(spark):
+    """The registered query against plain Python: votes counted in a dictionary, pages read one by one."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    host = lambda u: (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", u or "") or ["", ""])[1].lower()
+    votes = {}
+    for x in rows:
+        page = M.Page(x.html or "")
+        place, score = page.best()
+        if score > 0:
+            own = votes.setdefault(host(x.url), {})
+            own[page.path(place)] = own.get(page.path(place), 0) + 1
+    led = {h: [p for p, n in sorted(v.items(), key=lambda y: (-y[1], y[0])) if n >= M.SUPPORT or n >= M.LEAST_SHARE * sum(v.values())] for h, v in votes.items()}
+    want = {x.page_id: (x.url, t := M.extract(x.html, led.get(host(x.url))), len(t)) for x in rows}
+    got = M.op7_host_path_extraction(spark, folder).collect()
+    assert len(got) == len(rows) and {r.page_id: (r.url, r.text, r.n_chars) for r in got} == want
