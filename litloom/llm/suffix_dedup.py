@@ -5,17 +5,27 @@ removed from the later document.  Three steps, all keyed by hashes that spread e
 
 1. Anchors.  Among the K-grams inside a string of `length` bytes the one with the least
    hash (leftmost on ties) is its anchor: equal strings have the same anchor at the same
-   offset.  Only the anchors' hashes are shuffled; those seen in one document alone are
-   dropped, and with them every string that cannot repeat.
-2. Contexts.  For each anchor left, the document sends the bytes of the strings it is the
-   anchor of to the group of the anchor's hash.  Equal contexts of a group are merged, the
-   merged ones are laid out as one text, and their suffixes are sorted blockwise with a
-   difference cover (suffix_array.py).  Neighbours that agree on `length` bytes form a
-   run; a member is removed if a document of the run has a smaller id.
-3. The removed intervals go back to their documents, are united, and cut out.
+   offset.  Documents are dealt to groups; each group sends every anchor's hash once to the
+   group of that hash, with a sign whether several of its documents have it.  Hashes seen in
+   one document alone are dropped, and with them every string that cannot repeat.
+2. Contexts.  For each anchor left, a group of documents sends the bytes of the strings it
+   is the anchor of to the group of the anchor's hash.  Of equal contexts with the anchor at
+   the same place only those of the least doc_id are sent; the others are removed whole, as
+   that document holds all their strings.  So a passage that every document holds reaches its
+   group once from each group of documents, not once from each document.  Contexts at the
+   passage's ends go on into each document's own text and differ; so the strings of an anchor
+   that more than `hot` texts have are dealt one by one, by a hash of the string.  Equal contexts
+   that meet are merged again, laid out as one text, and their suffixes are sorted blockwise with a
+   difference cover (suffix_array.py).  Neighbours that agree on `length` bytes form a run;
+   a member is removed if a document of the run has a smaller id.
+3. The removed intervals, united, go back to the groups of their documents and are cut out.
+
+Groups hold GROUP_BYTES of text, more by the fourth root beyond GROW_BYTES of input, so what
+a common passage sends grows slower than the input.
 
 Texts that repeat as a whole are settled before step 1: all but the first copy lose
-everything, so a large group of copies never meets in a task.
+everything, so a large group of copies never meets in a task.  A text is known by two
+64-bit hashes of different seeds and its size.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; a null
 doc_id is smaller than any other; rows with the same doc_id never remove from each other.
@@ -38,10 +48,21 @@ LENGTH = 50
 K = 16
 #: Bytes of text that one group of documents holds, and that one group's contexts may hold.
 GROUP_BYTES = 8 << 20
+GROW_BYTES = 64 << 30
+#: Different texts with one anchor beyond which its strings are dealt by their own hashes.
+HOT_DOCS = 100_000
 PIECE = 1 << 19
 SORT_BYTES = 2 << 20
 
-BLOB = "pt int, rid binary, did binary, start binary, n binary, off binary, ctx binary"
+#: From a group of documents (home) to a group of hashes (pt): hashes one document or several have.
+HASHES = "pt int, home int, one binary, many binary, times binary"
+#: Contexts: number of the document in its group, its id, where the first string starts, number of strings, the anchor's place in it, bytes.
+CONTEXTS = ("who", "did", "start", "n", "off", "ctx")
+BLOB = "pt int, home int, " + ", ".join(f"{c} binary" for c in CONTEXTS) + ", marks binary"
+MARKS = "pt int, marks binary"
+#: A removed interval of a document.
+MARK = np.dtype([("who", "<u4"), ("a", "<u4"), ("b", "<u4")])
+SPAN = np.int64(1) << 40
 
 
 def _hashes(buf: np.ndarray) -> np.ndarray:
@@ -124,13 +145,18 @@ def runs_of(texts: list[bytes], length: int):
             yield h, who[o], start + shift[o], count, off, buf, start
 
 
-def _split(n_groups: int, h: np.ndarray):
+def _split(group: np.ndarray):
     """Order by group, and the slice of each group that has entries."""
-    group = ((h >> np.uint64(20)) % np.uint64(n_groups)).astype(np.int32)
     order = np.argsort(group, kind="stable")
     g = group[order]
-    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else []
-    return order, [(int(g[a]), a, b) for a, b in zip(starts, np.r_[starts[1:], len(g)])] if len(g) else []
+    if not len(g):
+        return order, []
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    return order, [(int(g[a]), a, b) for a, b in zip(starts, np.r_[starts[1:], len(g)])]
+
+
+def _group_of(n_groups: int, h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(n_groups)).astype(np.int32)
 
 
 def _raw(column) -> list[bytes]:
@@ -141,87 +167,166 @@ def _cat(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(_raw(column)), dtype=kind)
 
 
+def one_each(docs: pa.Table) -> pa.Table:
+    """A group's distinct texts, each with its least document id, always in the same order."""
+    keys = [docs.column(c).to_numpy() for c in ("r1", "r2", "did")]
+    order = np.lexsort(keys[::-1])
+    r1, r2 = keys[0][order], keys[1][order]
+    return docs.take(pa.array(order[np.r_[True, (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])]]))
+
+
+def _several(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and how many documents have each."""
+    order = np.lexsort((who, h))
+    h, who = h[order], who[order]
+    if not len(h):
+        return h, np.empty(0, np.int64)
+    new = np.r_[True, h[1:] != h[:-1]]
+    starts = np.flatnonzero(new)
+    return h[starts], np.add.reduceat((new | np.r_[True, who[1:] != who[:-1]]).astype(np.int64), starts)
+
+
 def send_anchors(n_groups: int, length: int):
-    def run(batches):
-        for batch in batches:
-            texts, rids = _raw(batch.column("text")), np.asarray(batch.column("rid"))
-            hs, who = [], []
-            for h, i, *_ in runs_of(texts, length):
-                hs.append(h)
-                who.append(i)
-            if not hs:
-                continue
-            h, rid = np.concatenate(hs), rids[np.concatenate(who)]
-            order, groups = _split(n_groups, h)
-            h, rid = h[order], rid[order]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in groups], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in groups], pa.binary()), pa.array([rid[a:b].tobytes() for _, a, b in groups], pa.binary())], ["pt", "h", "rid"])
+    """Of a group of documents: its anchors' hashes, by the group of the hash."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        home = docs.column("pt")[0].as_py()
+        docs = one_each(docs)
+        hs, who = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for h, i, *_ in runs_of(_raw(docs.column("text")), length):
+            hs.append(h)
+            who.append(i)
+        h, times = _several(np.concatenate(hs), np.concatenate(who))
+        order, groups = _split(_group_of(n_groups, h))
+        h, times = h[order], times[order]
+        parts = [(h[a:b], times[a:b], times[a:b] > 1) for _, a, b in groups]
+        blobs = {"one": [x[~m].tobytes() for x, _, m in parts], "many": [x[m].tobytes() for x, _, m in parts], "times": [t[m].astype("<u4").tobytes() for _, t, m in parts]}
+        return pa.table({"pt": pa.array([g for g, _, _ in groups], pa.int32()), "home": pa.array([home] * len(groups), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in blobs.items()}})
 
     return run
 
 
-def shared_anchors(n_docs_groups: int):
-    """Of a group of hashes: those seen in two documents, sent to the groups of their documents."""
+def shared_anchors(hot_docs: int):
+    """Of a group of hashes: those that another group's document has too, sent back to the groups that cannot know,
+    and those that more than hot_docs documents have, to all groups that have them."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, rid = _cat(t.column("h"), np.uint64), _cat(t.column("rid"), np.int64)
-        order = np.lexsort((rid, h))
-        h, rid = h[order], rid[order]
-        new_h = np.r_[True, h[1:] != h[:-1]]
-        new = new_h | np.r_[True, rid[1:] != rid[:-1]]
-        h, rid, new_h = h[new], rid[new], new_h[new]
-        number = np.cumsum(new_h) - 1
-        keep = np.bincount(number)[number] > 1
-        h, rid = h[keep], rid[keep]
-        order, groups = _split(n_docs_groups, rid.view(np.uint64))
-        h, rid = h[order], rid[order]
-        return pa.table({"pt": pa.array([g for g, _, _ in groups], pa.int32()), "h": pa.array([h[a:b].tobytes() for _, a, b in groups], pa.binary()), "rid": pa.array([rid[a:b].tobytes() for _, a, b in groups], pa.binary())})
+        homes = t.column("home").to_numpy()
+        one, many = _raw(t.column("one")), _raw(t.column("many"))
+        h = np.frombuffer(b"".join(one) + b"".join(many), np.uint64)
+        home = np.r_[np.repeat(homes, [len(x) // 8 for x in one]), np.repeat(homes, [len(x) // 8 for x in many])]
+        times = np.r_[np.ones(sum(map(len, one)) // 8, np.int64), _cat(t.column("times"), "<u4")]
+        _, number = np.unique(h, return_inverse=True)
+        total = np.bincount(number, times)[number] if len(h) else times
+        hot = total > hot_docs
+        keep = hot | ((times == 1) & (total > 1))
+        h, home, hot = h[keep], home[keep], hot[keep]
+        order, groups = _split(home)
+        h, hot = h[order], hot[order]
+        return pa.table({"pt": pa.array([g for g, _, _ in groups], pa.int32()), "h": pa.array([h[a:b].tobytes() for _, a, b in groups], pa.binary()), "hot": pa.array([h[a:b][hot[a:b]].tobytes() for _, a, b in groups], pa.binary())})
 
     return run
 
 
-def one_each(docs: pa.Table) -> pa.Table:
-    """A group's distinct texts, each with its least document id."""
-    rid, did = docs.column("rid").to_numpy(), docs.column("did").to_numpy()
-    order = np.lexsort((did, rid))
-    return docs.take(pa.array(np.sort(order[np.r_[True, rid[order][1:] != rid[order][:-1]]])))
+def united(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intervals of several documents as maximal runs, in the form of MARK."""
+    out = np.empty(0, MARK)
+    if len(who):
+        base = who.astype(np.int64) * SPAN
+        a, b = unite(base + a, base + b)
+        out = np.empty(len(a), MARK)
+        out["who"], out["a"], out["b"] = a // SPAN, a % SPAN, b - a // SPAN * SPAN
+    return out
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each size, one after the other."""
+    return np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def _weights(length: int) -> np.ndarray:
+    """Odd factors that make a string's bytes a number to deal it by."""
+    return np.random.default_rng(length).integers(1, 2**63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def send_contexts(n_groups: int, length: int):
-    """Of a group of documents and its shared anchors: the contexts, by the group of the anchor's hash."""
+    """Of a group of documents and its shared anchors: the contexts of least id, by the group of the anchor's hash.
+
+    The group's own removals travel with them, to the group of hashes of the group's number.
+    """
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], pa.int32() if c == "pt" else pa.binary()) for c in ("pt", "rid", "did", "start", "n", "off", "ctx")})
-        if not docs.num_rows or not shared.num_rows:
-            return empty
-        docs = one_each(docs)
-        texts, rids, dids = _raw(docs.column("text")), docs.column("rid").to_numpy(), docs.column("did").to_numpy()
-        wanted_h, wanted_rid = _cat(shared.column("h"), np.uint64), _cat(shared.column("rid"), np.int64)
-        wanted = np.unique(wanted_h ^ (wanted_rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        got = []
-        for h, i, start, count, off, buf, in_buf in runs_of(texts, length):
-            key = h ^ (rids[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            slot = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            keep = wanted[slot] == key if len(wanted) else np.zeros(len(key), bool)
-            if keep.any():
-                size = count[keep] + length - 1
-                first = in_buf[keep]
-                where = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                got.append((h[keep], i[keep], start[keep], count[keep], off[keep], size, buf[where]))
-        if not got:
-            return empty
-        h, i, start, count, off, size = (np.concatenate([g[k] for g in got]) for k in range(6))
-        ctx = np.concatenate([g[6] for g in got])
-        begin = np.r_[0, np.cumsum(size)[:-1]]
-        order, groups = _split(n_groups, h)
-        out = {c: [] for c in ("pt", "rid", "did", "start", "n", "off", "ctx")}
-        for g, a, b in groups:
-            o = order[a:b]
-            s = size[o]
-            where = np.repeat(begin[o] - np.r_[0, np.cumsum(s)[:-1]], s) + np.arange(s.sum())
-            for c, v in (("rid", rids[i[o]]), ("did", dids[i[o]]), ("start", start[o].astype(np.uint32)), ("n", count[o].astype(np.uint16)), ("off", off[o].astype(np.uint16)), ("ctx", ctx[where])):
-                out[c].append(v.tobytes())
-            out["pt"].append(g)
-        return pa.table({c: pa.array(v, pa.int32() if c == "pt" else pa.binary()) for c, v in out.items()})
+        names = ("pt", "home", *CONTEXTS, "marks")
+        out = {c: [] for c in names}
+        if docs.num_rows:
+            home = docs.column("pt")[0].as_py()
+            docs = one_each(docs)
+            texts, dids = _raw(docs.column("text")), docs.column("did").to_numpy()
+            got = list(runs_of(texts, length))
+        if docs.num_rows and got:
+            # First the hashes alone, so that contexts are copied only where they are needed.
+            h, times = _several(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+            many = h[times > 1]
+            wanted = np.union1d(_cat(shared.column("h"), np.uint64) if shared.num_rows else np.empty(0, np.uint64), many)
+            kept = []
+            for h, i, start, count, off, buf, in_buf in got:
+                keep = np.isin(h, wanted)
+                if keep.any():
+                    size = count[keep] + length - 1
+                    kept.append((h[keep], i[keep], start[keep], count[keep], off[keep], size, buf[_ranges(in_buf[keep], size)]))
+            del got
+            if kept:
+                h, i, start, count, off, size = (np.concatenate([g[k] for g in kept]) for k in range(6))
+                ctx = np.concatenate([g[6] for g in kept])
+                del kept
+                begin = np.cumsum(size) - size
+                # Contexts that documents of this group share: only the least id's are sent.
+                least: dict[tuple, int] = {}
+                own = np.flatnonzero(np.isin(h, many))
+                raw = memoryview(ctx)
+                keys = [(bytes(raw[x : x + s]), o) for x, s, o in zip(begin[own].tolist(), size[own].tolist(), off[own].tolist())]
+                for k, d in zip(keys, dids[i[own]].tolist()):
+                    if d < least.setdefault(k, d):
+                        least[k] = d
+                low = dids[i].copy()
+                low[own] = [least[k] for k in keys]
+                del keys, least
+                gone = low < dids[i]
+                marks = united(i[gone], start[gone], (start + size)[gone])
+                sent = ~gone
+                h, i, start, count, off, size, begin = (c[sent] for c in (h, i, start, count, off, size, begin))
+                pt = _group_of(n_groups, h)
+                hot = np.isin(h, _cat(shared.column("hot"), np.uint64)) if shared.num_rows else np.zeros(len(h), bool)
+                if hot.any():
+                    x = np.flatnonzero(hot)
+                    each, m = np.repeat(x, count[x]), count[x].sum()
+                    at_ = _ranges(np.zeros(len(x), np.int64), count[x])  # each string's place in its context
+                    string = np.ascontiguousarray(ctx[(begin[each] + at_)[:, None] + np.arange(length)])
+                    _, same = np.unique(np.c_[string, (off[each] - at_).astype("<u2").view(np.uint8).reshape(-1, 2)].view(f"V{length + 2}").ravel(), return_inverse=True)
+                    low = np.full(m, np.iinfo(np.int64).max)
+                    np.minimum.at(low, same, dids[i[each]])
+                    gone = low[same] < dids[i[each]]
+                    first = (start[each] + at_)[gone]
+                    marks = np.r_[marks, united(i[each][gone], first, first + length)]
+                    each, at_, string = each[~gone], at_[~gone], string[~gone]
+                    pt = np.r_[pt[~hot], _group_of(n_groups, string.astype(np.uint64) @ _weights(length))]
+                    h, i, start, begin, off = (np.r_[c[~hot], c[each] + d] for c, d in ((h, np.uint64(0)), (i, 0), (start, at_), (begin, at_), (off, -at_)))
+                    count, size = np.r_[count[~hot], np.ones(len(each), np.int64)], np.r_[size[~hot], np.full(len(each), length)]
+                order, groups = _split(pt)
+                for g, a, b in groups:
+                    o = order[a:b]
+                    for c, v in zip(CONTEXTS, (i[o].astype("<u4"), dids[i[o]], start[o].astype("<u4"), count[o].astype("<u2"), off[o].astype("<u2"), ctx[_ranges(begin[o], size[o])])):
+                        out[c].append(v.tobytes())
+                    out["pt"].append(g)
+                    out["home"].append(home)
+                    out["marks"].append(None)
+                if len(marks):
+                    out["pt"].append(home)
+                    out["home"].append(home)
+                    out["marks"].append(marks.tobytes())
+                    for c in CONTEXTS:
+                        out[c].append(None)
+        return pa.table({c: pa.array(out[c], pa.int32() if c in ("pt", "home") else pa.binary()) for c in names})
 
     return run
 
@@ -257,60 +362,74 @@ def _earliest(ctxs: list[bytes], offs: np.ndarray, counts: np.ndarray, dids: np.
     return out
 
 
-def find_repeats(n_docs_groups: int, length: int):
+def find_repeats(length: int):
     """Of a group of contexts: the intervals to remove, sent to the groups of their documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        rid, did, start = _cat(t.column("rid"), np.int64), _cat(t.column("did"), np.int64), _cat(t.column("start"), np.uint32).astype(np.int64)
-        n, off = _cat(t.column("n"), np.uint16).astype(np.int64), _cat(t.column("off"), np.uint16).astype(np.int64)
+        homes, passed = t.column("home").to_numpy(), t.column("marks").to_pylist()
+        out = {"pt": [int(h) for h, m in zip(homes, passed) if m is not None], "marks": [m for m in passed if m is not None]}
+        whos = _raw(t.column("who"))
+        home = np.repeat(homes, [len(x) // 4 for x in whos])
+        who, did, start = np.frombuffer(b"".join(whos), "<u4"), _cat(t.column("did"), np.int64), _cat(t.column("start"), "<u4").astype(np.int64)
+        n, off = _cat(t.column("n"), "<u2").astype(np.int64), _cat(t.column("off"), "<u2").astype(np.int64)
         ctx = b"".join(_raw(t.column("ctx")))
-        del t
+        del t, whos
         size = n + length - 1
         end = np.cumsum(size)
         begin = end - size
-        # The anchor itself tells which contexts belong together; its hash need not be sent.
-        anchor = np.frombuffer(ctx, np.uint8)[(begin + off)[:, None] + np.arange(K)].view("<u8")
-        h = (anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (anchor[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
-        del anchor
-        # Anchors' hashes in ranges that fit the sort: equal strings have equal anchors.
-        order = np.argsort(h, kind="stable")
-        cum = np.cumsum(size[order])
-        edge = np.r_[True, h[order][1:] != h[order][:-1]]
-        part = np.maximum.accumulate(np.where(edge, cum // SORT_BYTES, 0))
-        got_rid, got_a, got_b = [], [], []
-        for lo, hi in zip(s := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), np.r_[s[1:], len(part)]):
-            mine = order[lo:hi]
-            seen: dict[tuple, int] = {}
-            which = np.empty(len(mine), dtype=np.int64)
-            for j, (i, a, b, o) in enumerate(zip(mine.tolist(), begin[mine].tolist(), end[mine].tolist(), off[mine].tolist())):
-                which[j] = seen.setdefault((ctx[a:b], o), len(seen))
-            low = np.full(len(seen), np.iinfo(np.int64).max)
-            np.minimum.at(low, which, did[mine])
-            ctxs, offs = [k[0] for k in seen], np.array([k[1] for k in seen], dtype=np.int64)
-            counts = np.array([len(c) for c in ctxs], dtype=np.int64) - length + 1
-            least = _earliest(ctxs, offs, counts, low, length)
-            first = np.r_[0, np.cumsum(counts)[:-1]]
-            m = counts[which]
-            base = np.r_[0, np.cumsum(m)[:-1]]
-            string = np.repeat(first[which] - base, m) + np.arange(m.sum())
-            marked = least[string] < np.repeat(did[mine], m)
-            del string
-            owner = np.repeat(np.arange(len(mine)), m)
-            on = marked & ~np.r_[False, marked[:-1] & (owner[1:] == owner[:-1])]
-            off_ = marked & ~np.r_[marked[1:] & (owner[1:] == owner[:-1]), False]
-            a, b = np.flatnonzero(on), np.flatnonzero(off_)
-            w = owner[a]
-            got_rid.append(rid[mine][w])
-            got_a.append(start[mine][w] + a - base[w])
-            got_b.append(start[mine][w] + b - base[w] + length)
-        rid, a, b = (np.concatenate(x) for x in (got_rid, got_a, got_b))
-        order, groups = _split(n_docs_groups, rid.view(np.uint64))
-        rid, a, b = rid[order], a[order], b[order]
-        return pa.table({"pt": pa.array([g for g, _, _ in groups], pa.int32()), **{c: pa.array([v[x:y].tobytes() for _, x, y in groups], pa.binary()) for c, v in (("rid", rid), ("a", a), ("b", b))}})
+        got = [(np.empty(0, np.int64),) * 3]
+        if len(n):
+            # The anchor itself tells which contexts belong together; its hash need not be sent.
+            anchor = np.frombuffer(ctx, np.uint8)[(begin + off)[:, None] + np.arange(K)].view("<u8")
+            h = (anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (anchor[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+            del anchor
+            # Anchors' hashes in ranges that fit the sort: equal strings have equal anchors.
+            order = np.argsort(h, kind="stable")
+            cum = np.cumsum(size[order])
+            edge = np.r_[True, h[order][1:] != h[order][:-1]]
+            part = np.maximum.accumulate(np.where(edge, cum // SORT_BYTES, 0))
+            s = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            for lo, hi in zip(s, np.r_[s[1:], len(part)]):
+                got.append(_marked(order[lo:hi], ctx, begin, end, off, did, start, length))
+        row, a, b = (np.concatenate(x) for x in zip(*got))
+        order, groups = _split(home[row.astype(np.int64)] if len(row) else np.empty(0, np.int32))
+        row, a, b = row[order], a[order], b[order]
+        for g, x, y in groups:
+            out["pt"].append(g)
+            out["marks"].append(united(who[row[x:y]], a[x:y], b[x:y]).tobytes())
+        return pa.table({"pt": pa.array(out["pt"], pa.int32()), "marks": pa.array(out["marks"], pa.binary())})
 
     return run
 
 
+def _marked(mine, ctx, begin, end, off, did, start, length):
+    """Of the contexts `mine`: (context, first, last + 1 byte of its document) of each run of strings that an earlier document holds."""
+    seen: dict[tuple, int] = {}
+    which = np.empty(len(mine), dtype=np.int64)
+    for j, (a, b, o) in enumerate(zip(begin[mine].tolist(), end[mine].tolist(), off[mine].tolist())):
+        which[j] = seen.setdefault((ctx[a:b], o), len(seen))
+    low = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(low, which, did[mine])
+    ctxs, offs = [k[0] for k in seen], np.array([k[1] for k in seen], dtype=np.int64)
+    counts = np.array([len(c) for c in ctxs], dtype=np.int64) - length + 1
+    least = _earliest(ctxs, offs, counts, low, length)
+    first = np.cumsum(counts) - counts
+    # A document of greater id than its context's least one loses all of it.
+    whole = did[mine] > low[which]
+    got = [(mine[whole], start[mine][whole], start[mine][whole] + counts[which[whole]] - 1 + length)]
+    mine, which = mine[~whole], which[~whole]
+    m = counts[which]
+    base = np.cumsum(m) - m
+    marked = least[_ranges(first[which], m)] < np.repeat(did[mine], m) if len(m) else np.empty(0, bool)
+    owner = np.repeat(np.arange(len(mine)), m)
+    same = owner[1:] == owner[:-1]
+    on = np.flatnonzero(marked & ~np.r_[False, marked[:-1] & same])
+    to = np.flatnonzero(marked & ~np.r_[marked[1:] & same, False]) if len(marked) else on
+    w = owner[on]
+    got.append((mine[w], start[mine][w] + on - base[w], start[mine][w] + to - base[w] + length))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
 def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of intervals as maximal runs."""
     order = np.argsort(a, kind="stable")
@@ -322,12 +441,11 @@ def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cut_out(with_text: bool):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        rid, a, b = (_cat(marks.column(c), np.int64) for c in ("rid", "a", "b"))
-        order = np.argsort(rid, kind="stable")
-        rid, a, b = rid[order], a[order], b[order]
+        cuts = _cat(marks.column("marks"), MARK) if marks.num_rows else np.empty(0, MARK)
+        cuts = cuts[np.argsort(cuts["who"], kind="stable")]
+        a, b = cuts["a"].astype(np.int64), cuts["b"].astype(np.int64)
         docs = one_each(docs) if docs.num_rows else docs
-        rids = docs.column("rid").to_numpy() if docs.num_rows else np.empty(0, np.int64)
-        lo, hi = np.searchsorted(rid, rids), np.searchsorted(rid, rids, side="right")
+        lo, hi = (np.searchsorted(cuts["who"], np.arange(docs.num_rows, dtype=np.uint32), side=s) for s in ("left", "right"))
         removed, spans, sha, kept = [], [], [], []
         for i, t in enumerate(_raw(docs.column("text"))):
             if hi[i] > lo[i]:
@@ -342,7 +460,7 @@ def cut_out(with_text: bool):
             sha.append(hashlib.sha256(out).hexdigest())
             if with_text:
                 kept.append(out.decode("utf-8", errors="ignore"))
-        cols = {"rid": pa.array(rids, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        cols = {"r1": docs.column("r1"), "r2": docs.column("r2"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if with_text:
             cols["kept_text"] = pa.array(kept, pa.string())
         return pa.table(cols)
@@ -352,54 +470,55 @@ def cut_out(with_text: bool):
 
 def local_heads(batches):
     """Of equal texts that one task sees, lets the first pass, and later ones only with a smaller id."""
-    seen: dict[int, int] = {}
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
         keep = []
-        for r, d in zip(batch.column("rid").to_pylist(), batch.column("did").to_pylist()):
-            keep.append(r not in seen or d < seen[r])
+        for k, d in zip(zip(batch.column("r1").to_pylist(), batch.column("r2").to_pylist()), batch.column("did").to_pylist()):
+            keep.append(k not in seen or d < seen[k])
             if keep[-1]:
-                seen[r] = d
+                seen[k] = d
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _keys(text):
-    """Two hashes and the size stand for a text; rid, made of them, names a distinct text."""
-    k1, k2, size = F.xxhash64(text), F.xxhash64(F.lit(7), text), F.octet_length(text).cast("long")
-    return size, F.xxhash64(k1, k2, size)
+    """The size of a text, and the two hashes that with it name a distinct text."""
+    size = F.octet_length(text).cast("long")
+    return size, F.xxhash64(text, size), F.xxhash64(F.lit(7), text)
 
 
-def _repeats(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """(rid, first_did) and (rid, n_removed, n_spans, kept_sha256[, kept_text]), one row for each distinct text."""
+def _repeats(docs: DataFrame, length: int, with_text: bool, hot_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(r1, r2, first_did) and (r1, r2, n_removed, n_spans, kept_sha256[, kept_text]), one row for each distinct text."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
-    n = partitions_for(total, GROUP_BYTES, 8)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions_for(total, int(GROUP_BYTES * max(1.0, total / GROW_BYTES) ** 0.25), 8)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), text.alias("text"))
-    rows = rows.select("did", "text", _keys(F.col("text"))[1].alias("rid"))
-    first = rows.groupBy("rid").agg(F.min("did").alias("first_did"))
-    group = F.pmod(F.shiftrightunsigned("rid", 20), F.lit(n)).cast("int")
+    _, r1, r2 = _keys(F.col("text"))
+    rows = rows.select("did", "text", r1.alias("r1"), r2.alias("r2"))
+    first = rows.groupBy("r1", "r2").agg(F.min("did").alias("first_did"))
+    group = F.pmod(F.shiftrightunsigned("r1", 20), F.lit(n)).cast("int")
     # Copies are merged in each task before they meet; the groups' functions merge what is left.
-    distinct = rows.mapInArrow(over_batches(local_heads), "did long, text binary, rid long").withColumn("pt", group).repartition(n, "pt")
+    distinct = rows.mapInArrow(over_batches(local_heads), "did long, text binary, r1 long, r2 long").withColumn("pt", group).repartition(n, "pt")
     # All three readers take the same columns, so the texts are shuffled once and the exchange is reused.
-    blobs = distinct.mapInArrow(over_batches(send_anchors(n, length)), "pt int, h binary, rid binary")
-    shared = blobs.groupBy("pt").applyInArrow(over_groups(shared_anchors(n)), "pt int, h binary, rid binary")
+    blobs = distinct.groupBy("pt").applyInArrow(over_groups(send_anchors(n, length)), HASHES)
+    shared = blobs.groupBy("pt").applyInArrow(over_groups(shared_anchors(hot_docs)), "pt int, h binary, hot binary")
     contexts = distinct.groupBy("pt").cogroup(shared.groupBy("pt")).applyInArrow(over_groups(send_contexts(n, length)), BLOB)
-    marks = contexts.groupBy("pt").applyInArrow(over_groups(find_repeats(n, length)), "pt int, rid binary, a binary, b binary")
-    schema = "rid long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    marks = contexts.groupBy("pt").applyInArrow(over_groups(find_repeats(length)), MARKS)
+    schema = "r1 long, r2 long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return first, distinct.groupBy("pt").cogroup(marks.groupBy("pt")).applyInArrow(over_groups(cut_out(with_text)), schema)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    return _resolved(docs, length, False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _resolved(docs, length, False, hot_docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def clean(docs: DataFrame, length: int = LENGTH, hot_docs: int = HOT_DOCS) -> DataFrame:
     """docs with the repeated bytes cut from text, and n_chars brought up to date.
 
     The remains of a character that was cut through are dropped.  A document that loses
     every byte is a copy of earlier ones and goes; an empty or null text stays as it is.
     """
-    out = _resolved(docs, length, True).where("n_bytes = 0 or n_removed < n_bytes")
+    out = _resolved(docs, length, True, hot_docs).where("n_bytes = 0 or n_removed < n_bytes")
     columns = []
     for c in docs.columns:
         if c == "text":
@@ -411,14 +530,15 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select(*columns)
 
 
-def _resolved(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
+def _resolved(docs: DataFrame, length: int, with_text: bool, hot_docs: int) -> DataFrame:
     if length < K + 8:
         raise ValueError(f"length must be at least {K + 8} bytes")
-    first, result = _repeats(docs, length, with_text)
-    size, rid = _keys(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    own = docs.select("*", size.alias("n_bytes"), rid.alias("__rid"), F.col("text").isNull().alias("__null")).drop("text").alias("__docs")
-    own = own.join(first, F.col("__rid") == first.rid).drop(first.rid)
-    own = own.join(result, F.col("__rid") == result.rid, "left").drop(result.rid)
+    first, result = _repeats(docs, length, with_text, hot_docs)
+    size, r1, r2 = _keys(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    own = docs.select("*", size.alias("n_bytes"), r1.alias("__r1"), r2.alias("__r2"), F.col("text").isNull().alias("__null")).drop("text").alias("__docs")
+    for right, how in ((first, "inner"), (result, "left")):
+        right = right.withColumnsRenamed({"r1": "__q1", "r2": "__q2"})
+        own = own.join(right, (F.col("__r1") == F.col("__q1")) & (F.col("__r2") == F.col("__q2")), how).drop("__q1", "__q2")
     copy = (F.coalesce(F.col("__docs.doc_id").cast("long"), F.lit(NULL_ID)) > F.col("first_did")) & (F.col("__docs.n_bytes") >= length)
     own = own.withColumn("n_spans", F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long"))
     own = own.withColumn("kept_sha256", F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")))

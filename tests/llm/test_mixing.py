@@ -69,7 +69,7 @@ def test_query_over_the_whole_table(spark):
     """Sums, bounds and reruns of the registered query, against plain Python over the same rows."""
     import re
 
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     own = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = M.op4_pivotal_mix(spark, folder).collect()
     assert sorted(r.doc_id for r in got) == sorted(own) and sorted(got) == sorted(M.op4_pivotal_mix(spark, folder).collect())
@@ -83,7 +83,7 @@ def test_query_over_the_whole_table(spark):
         assert r["size"] == words[r.doc_id] and r.source_size == sums[k] and abs(r.target - want[k]) < 1e-6 and 0 <= r.taken <= 3 * r["size"]
         taken[own[r.doc_id].source] += r.taken
     for s, target in zip(order, want):
-        assert abs(taken[s] - target) <= 0.005 * target + 5, (s, target, taken[s])
+        assert abs(taken[s] - target) <= 0.005 * target, (s, target, taken[s])
 
 
 def test_very_long_text_and_ties(spark):

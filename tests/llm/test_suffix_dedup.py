@@ -79,3 +79,41 @@ def test_clean_and_empty(spark):
     assert got == {1: ("k" * 60, "en"), 3: (None, "en"), 4: ("", "en"), 5: ("é" * 10 + "tail", "en")}
     none = frame(spark, rows).limit(0)
     assert S.dedup(none).count() == 0 and S.clean(none).columns == none.columns
+
+
+def test_a_passage_in_every_document_is_spread(spark):
+    """A group sends its inner contexts once; those at its ends, which go on into own texts, are dealt by string."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(280)).encode()
+
+    def sent(n, hot):
+        texts = [("%08d" % i).encode() * 3 + passage + ("%09d" % (i * 7919)).encode() * 3 for i in range(n)]
+        docs = pa.table({"did": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.binary()), "r1": pa.array(range(n), pa.int64()), "r2": pa.array([0] * n, pa.int64()), "pt": pa.array([3] * n, pa.int32())})
+        hashes = S.send_anchors(97, 50)(docs)
+        back = [S.shared_anchors(hot)(hashes.slice(i, 1)) for i in range(hashes.num_rows)]
+        t = S.send_contexts(97, 50)(docs, pa.concat_tables(back))
+        marks = np.frombuffer(b"".join(m for m in t.column("marks").to_pylist() if m), S.MARK)
+        assert len(set(marks["who"].tolist())) == n - 1
+        groups = {}
+        for g, c in zip(t.column("pt").to_pylist(), t.column("ctx").to_pylist()):
+            groups[g] = groups.get(g, 0) + len(c or b"")
+        return max(groups.values()), sum(groups.values())
+
+    largest, total = sent(2000, 10**9)
+    assert largest < 2000 * 200  # the ends only
+    largest, total = sent(2000, 1000)
+    assert largest < total / 40
+
+
+@pytest.mark.parametrize("hot", [2, 20, 100_000])
+def test_query_against_brute_force(spark, tmp_path, hot):
+    """The registered query's operator on a table with a passage in every document."""
+    r = random.Random(8)
+    passage = " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
+    rows = corpus(11) + [(1000 + i, f"{i} own {i * 31} words {passage} end {i * 17}") for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    out = S.op9_suffix_dedup(spark, str(tmp_path)) if hot == 100_000 else S.dedup(spark.read.parquet(str(tmp_path / "documents.parquet")), hot_docs=hot)
+    got = [tuple(x) for x in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
