@@ -1,14 +1,17 @@
-"""Helpers that several operators share: reading tables, shared storage, components, hot groups."""
+"""Helpers that several operators share: reading tables, shared storage, names, local components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litloom.llm.workers import small_batches
+from litloom.operators.graph import components, cut, ensure_checkpoint_dir
+
+__all__ = ["NULL_ID", "components", "cut", "local_roots", "partitions_for", "table", "text_of", "with_node", "written"]
 
 #: Stands for a null id where ids are compared: nulls come first.
 NULL_ID = -(2**63)
@@ -19,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder in spark.checkpoint.dir; sets a local one only where the session has none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="litloom-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises a frame in the shared checkpoint folder and cuts its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -43,31 +31,29 @@ def partitions_for(n_bytes: int | None, each: int, least: int = 1) -> int:
     return max(least, -(-int(n_bytes or 0) // each))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+def with_node(distinct: DataFrame, key: str) -> DataFrame:
+    """distinct, one row for each value of a binary key, with node: a 64-bit name of the key.
 
-    edges: pairs of long ids.  Returns (node, component) with component the smallest
-    id reachable, for every node of an edge between two different ids.  Each step
-    is a grouped minimum and an equi-join on the node, so nothing reaches the driver
-    but two numbers per round that tell whether the edges still change.
+    The name is a hash; where two keys have one, the lesser keeps it and the others get
+    names of their own, so different keys are never taken for each other.
     """
-    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    both = e.unionByName(e.select(F.col("v").alias("u"), "v"))
-    return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    place = F.row_number().over(Window.partitionBy("__name").orderBy(key))
+    out = distinct.withColumn("__name", F.xxhash64(key)).withColumn("__place", place)
+    return out.withColumn("node", F.when(F.col("__place") == 1, F.col("__name")).otherwise(F.xxhash64(key, "__place"))).drop("__name", "__place")
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the places 0 to n - 1 and pairs of them: the least place reachable from each."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -9,9 +9,13 @@ above it recall is higher.  Every vector is hashed, and every pair of a bucket i
 by exact cosine in double precision.
 
 Equal vectors are merged first.  Buckets of more than BLOCK vectors are cut into blocks
-that meet two by two.  A task counts the links of each vector and joins linked vectors
-into local stars; it never sends pairs on.  A pair that meets in several tables is counted
-in the first of them.
+that meet two by two.  Two passes spare the vectors the way: the first sends each vector's
+entry of a table with a sketch of SKETCH signs of random projections only, and keeps the
+entries that have a mate in their bucket whose sketch differs in few enough places (five
+standard deviations beyond what the threshold makes likely); the second fetches the vectors
+of these and compares them exactly.  A task counts the links of each vector and joins linked
+vectors into local stars; it never sends pairs on.  A pair that meets in several tables is
+counted in the first of them.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link
 with nothing; vectors of different lengths do not link; a null vec_id names no component
@@ -28,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.common import components, cut, table
+from litloom.llm.common import components, cut, local_roots, table, with_node
 from litloom.llm.workers import over_batches, over_groups
 
 WIDTH = 2.0
 MATES = 4.0
+SKETCH = 256
 RECALL = 0.97
 BLOCK = 2048
 SEED = 5
@@ -79,10 +84,28 @@ def codes(unit: np.ndarray, places: int, tables: int, seed: int = SEED) -> np.nd
 
 
 def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors; scaled by their largest component first, so that no square over- or underflows."""
     x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@lru_cache(maxsize=8)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED + 1, dim]).standard_normal((dim, SKETCH))
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """On which side of SKETCH random planes each vector lies, as bits."""
+    return np.packbits(unit @ _planes(unit.shape[1]) > 0, axis=1)
+
+
+def most_apart(threshold: float) -> int:
+    """Places in which two sketches may differ: five standard deviations above the mean at the threshold."""
+    p = math.acos(threshold) / math.pi
+    return math.floor(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _usable(kind: str):
     """The vector as bytes, in the precision it came in, for the vectors that can link."""
 
@@ -106,35 +129,77 @@ def _by_dim(raw: list[bytes]):
         yield np.flatnonzero(sizes == s)
 
 
-def _bucket(places: int, tables: int, kind: str, with_vectors: bool):
+def _bucket(places: int, tables: int, kind: str, with_sketch: bool):
+    """The keys of all tables, or the entries with a sketch."""
+
     def run(batches):
         for batch in batches:
             raw, node = batch.column("vec").to_pylist(), batch.column("node").to_numpy()
-            m = batch.column("m").to_numpy()
             for i in _by_dim(raw):
-                key = codes(_units([raw[k] for k in i], kind), places, tables)
-                if not with_vectors:
+                unit = _units([raw[k] for k in i], kind)
+                key = codes(unit, places, tables)
+                if not with_sketch:
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel())], ["key"])
                     continue
-                vec = pa.array([raw[k] for k in i], pa.binary())
+                sketch = pa.array([x.tobytes() for x in sketches(unit)], pa.binary())
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), pa.array(np.full(len(i), t, np.int32)), pa.array(node[i]), pa.array(m[i]), vec], ["key", "t", "node", "m", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), pa.array(np.full(len(i), t, np.int32)), pa.array(node[i]), sketch], ["key", "t", "node", "sketch"])
 
     return run
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+class Buckets:
+    """Entries sorted into the meetings (key, i, j) of their buckets, and the places of pairs that may match."""
+
+    def __init__(self, key, i, j, node, mine):
+        self.order = np.lexsort((node, j, i, key))
+        self.key, self.i, self.j, self.mine = (c[self.order] for c in (key, i, j, mine))
+        new = np.r_[True, (self.key[1:] != self.key[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])] if len(key) else np.empty(0, bool)
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.r_[self.start, len(key)])
+        self.number = np.cumsum(new) - 1
+
+    def pairs(self, match, product):
+        """Pairs of places by match(x, y) in small buckets and by product(x, y), a table, in large ones."""
+        small = self.size[self.number] <= SMALL
+        crossed = self.i != self.j
+        for shift in range(1, min(SMALL, int(self.size.max(initial=1)))):
+            a = np.flatnonzero((self.number[shift:] == self.number[:-shift]) & small[:-shift])
+            a = a[~crossed[a] | (self.mine[a] != self.mine[a + shift])]
+            if len(a):
+                a = a[match(a, a + shift)]
+                yield a, a + shift
+        for s, n in zip(self.start[self.size > SMALL], self.size[self.size > SMALL]):
+            rows = np.arange(s, s + n)
+            left, right = rows[self.mine[rows] == self.i[s]], rows[self.mine[rows] == self.j[s]]
+            for at in range(0, len(left), 1024):
+                x, y = np.nonzero(product(left[at : at + 1024], right))
+                x, y = left[at : at + 1024][x], right[y]
+                if self.i[s] == self.j[s]:
+                    x, y = x[y > x], y[y > x]
+                yield x, y
+
+
+ENTRY = ["key", "t", "i", "j", "node", "mine"]
+
+
+def _sift(threshold: float):
+    """Of a group of buckets: the entries that have a mate by their sketches."""
+    apart = most_apart(threshold)
+
+    def run(t: pa.Table) -> pa.Table:
+        b = Buckets(*(t.column(c).to_numpy() for c in ("key", "i", "j", "node", "mine")))
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 8)[b.order]
+        wide = np.ascontiguousarray(bits).view(np.uint64)
+        signs = lambda x: np.unpackbits(bits[x], axis=1).astype(np.float32) * 2 - 1
+        match = lambda x, y: np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1) <= apart
+        product = lambda x, y: signs(x) @ signs(y).T >= SKETCH - 2 * apart
+        keep = np.zeros(len(b.order), bool)
+        for x, y in b.pairs(match, product):
+            keep[x] = keep[y] = True
+        return t.select(ENTRY).take(pa.array(b.order[keep]))
+
+    return run
 
 
 def _compare(places: int, tables: int, kind: str, threshold: float):
@@ -147,40 +212,22 @@ def _compare(places: int, tables: int, kind: str, threshold: float):
         raw_all = t.column("vec").to_pylist()
         for part in _by_dim(raw_all):
             key, bi, bj, node, mine, m, tab = (k[part] for k in keys)
-            order = np.lexsort((node, bj, bi, key))
-            key, bi, bj, node, mine, m, tab = (k[order] for k in (key, bi, bj, node, mine, m, tab))
+            buckets = Buckets(key, bi, bj, node, mine)
+            order = buckets.order
+            key, node, m, tab = (k[order] for k in (key, node, m, tab))
             unit = _units([raw_all[k] for k in part[order]], kind)
-            new = np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
-            start = np.flatnonzero(new)
-            size = np.diff(np.r_[start, len(key)])
-            number = np.cumsum(new) - 1
+            match = lambda x, y, u=unit: np.einsum("ij,ij->i", u[x], u[y]) >= threshold
+            product = lambda x, y, u=unit: u[x] @ u[y].T >= threshold
             hits_a, hits_b = [], []
-            small = size[number] <= SMALL
-            crossed = bi != bj
-            for shift in range(1, min(SMALL, int(size.max(initial=1)))):
-                a = np.flatnonzero((number[shift:] == number[:-shift]) & small[:-shift])
-                a = a[~crossed[a] | (mine[a] != mine[a + shift])]
-                if len(a):
-                    a = a[np.einsum("ij,ij->i", unit[a], unit[a + shift]) >= threshold]
-                    hits_a.append(a)
-                    hits_b.append(a + shift)
-            for s, n in zip(start[size > SMALL], size[size > SMALL]):
-                rows = np.arange(s, s + n)
-                left = rows[mine[rows] == bi[s]]
-                right = rows[mine[rows] == bj[s]]
-                for at in range(0, len(left), 1024):
-                    x, y = np.nonzero(unit[left[at : at + 1024]] @ unit[right].T >= threshold)
-                    x, y = left[at : at + 1024][x], right[y]
-                    if bi[s] == bj[s]:
-                        x, y = x[y > x], y[y > x]
-                    hits_a.append(x)
-                    hits_b.append(y)
+            for x, y in buckets.pairs(match, product):
+                hits_a.append(x)
+                hits_b.append(y)
             if not hits_a:
                 continue
             a, b = np.concatenate(hits_a), np.concatenate(hits_b)
             if not len(a):
                 continue
-            root = _local_roots(len(key), a, b)
+            root = local_roots(len(key), a, b)
             in_pair = np.unique(np.r_[a, b])
             where = np.full(len(key), -1)
             where[in_pair] = np.arange(len(in_pair))
@@ -224,21 +271,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
     rows = rows.mapInArrow(over_batches(_usable(kind)), "vec_id long, vec binary")
-    rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
-    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.first("vec").alias("vec")))
+    distinct = rows.where("vec is not null").groupBy("vec").agg(F.count("*").alias("m"))
+    nodes = cut(with_node(distinct, "vec"))
     n = nodes.count()
     places, tables = plan(n, threshold)
-    keys = nodes.mapInArrow(over_batches(_bucket(places, tables, kind, False)), "key long")
+    keys = nodes.select("node", "vec").mapInArrow(over_batches(_bucket(places, tables, kind, False)), "key long")
     heavy = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
-    entries = nodes.mapInArrow(over_batches(_bucket(places, tables, kind, True)), "key long, t int, node long, m long, vec binary")
-    dealt = _dealt(entries, heavy, n * tables)
-    found = dealt.select("g", "key", "i", "j", "node", "mine", "m", "t", "vec").groupBy("g").applyInArrow(over_groups(_compare(places, tables, kind, threshold)), "node long, links long, root long")
+    entries = nodes.select("node", "vec").mapInArrow(over_batches(_bucket(places, tables, kind, True)), "key long, t int, node long, sketch binary")
+    sifted = _dealt(entries, heavy, n * tables).select("g", *ENTRY, "sketch").groupBy("g").applyInArrow(over_groups(_sift(threshold)), "key long, t int, i int, j int, node long, mine int")
+    sifted = cut(sifted)
+    groups = max(8, -(-sifted.count() // GROUP_ROWS))
+    dealt = sifted.join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).cast("int"))
+    found = dealt.select("g", *ENTRY, "m", "vec").groupBy("g").applyInArrow(over_groups(_compare(places, tables, kind, threshold)), "node long, links long, root long")
     found = cut(found)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "root")
-    per_node = nodes.select("node", "m").join(links, "node", "left").join(classes, "node", "left")
-    per_node = per_node.select("node", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    own = rows.select("vec_id", "node").join(per_node, "node", "left")
+    per_node = nodes.select("vec", "node", "m").join(links, "node", "left").join(classes, "node", "left")
+    per_node = per_node.select("vec", "node", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    own = rows.join(per_node, "vec", "left").drop("vec")
     least = own.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("low"))
     out = own.join(least, "root", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("low"))

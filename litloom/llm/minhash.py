@@ -11,12 +11,17 @@ similarity 0.8 a pair differs in more than RADIUS = 15 of 32 symbols with probab
 
 Only components are wanted, so pairs are never rows:
 
-* documents of the same set are merged first;
-* each key links its members to the least of them, one row a member; the components of
-  these candidate links are families, and every pair of a key lies inside one family;
-* a family's documents meet in a task, large families cut into blocks of BLOCK_BYTES that
-  meet two by two.  The task compares all signatures within RADIUS, confirms pairs on full
-  shingle sets unless both are connected already, and sends one link a document.
+* documents of the same set are merged first, into a node;
+* the nodes of a key meet in a task, those of a large key in blocks of BUCKET with the key's
+  least node in each.  The task compares signatures and sizes, and only nodes connected
+  within RADIUS are joined into candidate stars; in a large key a node that nothing in its
+  block is near to is joined to the least node unseen.  The stars' components are families;
+* a family's documents meet in a task, a large family's in blocks of BLOCK_BYTES, each with
+  the family's least document.  The task compares signatures within RADIUS and confirms pairs
+  on full shingle sets unless both are connected already;
+* of a family in several blocks, the documents not yet connected with its least one then visit
+  its other blocks.  Documents of two blocks that both are need not meet, so a large group of
+  near copies is read once and not once for each block.
 
 The links' components are the result.
 
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litloom.llm.common import NULL_ID, components, cut, partitions_for, table
+from litloom.llm.common import NULL_ID, components, cut, local_roots, partitions_for, table, with_node
 from litloom.llm.workers import over_batches, over_groups
 
 SYMBOLS = 32
@@ -45,6 +50,10 @@ RADIUS = 15
 #: Bytes of text in a block of a large family, and in a group of families that meet in a task.
 BLOCK_BYTES = 1 << 20
 GROUP_BYTES = 2 << 20
+#: Nodes of a block of a large key, entries of keys that meet in a task, and keys that are compared by shifting.
+BUCKET = 2048
+GROUP_ROWS = 40_000
+SMALL = 12
 #: Words whose hashes a task keeps; the store is emptied when it is full.
 CACHE = 1 << 17
 
@@ -130,16 +139,60 @@ def _index(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), each))], ["key", "node"])
 
 
+def _near(n: np.ndarray, sig: np.ndarray, x, y, percent: int) -> np.ndarray:
+    """Whether places x and y may be similar, by size and by signature."""
+    fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+    return fits & ((sig[x] != sig[y]).sum(axis=1) <= RADIUS)
+
+
+def _stars(percent: int):
+    """Of a group of (key, block) buckets: a link from each node to the root of those near it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, block, node, low, split, n = (t.column(c).to_numpy() for c in ("key", "block", "node", "low", "split", "n_shingles"))
+        order = np.lexsort((node, block, key))
+        key, block, node, low, split, n = (c[order] for c in (key, block, node, low, split, n))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])] if len(key) else np.empty(0, bool)
+        start = np.flatnonzero(new)
+        size = np.diff(np.r_[start, len(key)])
+        number = np.cumsum(new) - 1
+        small = size[number] <= SMALL
+        hits = [(np.empty(0, np.int64),) * 2]
+        for shift in range(1, SMALL):
+            x = np.flatnonzero((number[shift:] == number[:-shift]) & small[:-shift])
+            x = x[_near(n, sig, x, x + shift, percent)]
+            hits.append((x, x + shift))
+        for s, m in zip(start[size > SMALL], size[size > SMALL]):
+            for x in range(s, s + m - 1):
+                y = np.arange(x + 1, s + m)
+                y = y[_near(n, sig, np.full(len(y), x), y, percent)]
+                hits.append((np.full(len(y), x), y))
+        a, b = (np.concatenate(h) for h in zip(*hits))
+        root = local_roots(len(key), a, b)
+        top, linked = node[root], node[root] != node
+        # The least node of a large key is in each of its blocks; the others may be near to nodes of other blocks.
+        alone = split & (top != low) & ~linked & (node != low)
+        top, linked = np.where(alone, low, top), linked | alone
+        over = split & linked & (top != low)
+        return pa.table({"a": pa.array(np.r_[top[linked], low[over]], pa.int64()), "b": pa.array(np.r_[node[linked], top[over]], pa.int64())})
+
+    return run
+
+
 def _families(words_per: int, percent: int):
-    """Of a group of (family, i, j) meetings: a link from each document to the root of those found similar."""
+    """Of a group of (family, i, j) meetings: a link from each document to the root of those found similar.
+
+    Documents of i meet those of j.  Those of one comp are known to be connected.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        family, i, j, node, mine, n = (t.column(c).to_numpy() for c in ("family", "i", "j", "node", "mine", "n_shingles"))
+        family, i, j, node, mine, n, comp = (t.column(c).to_numpy() for c in ("family", "i", "j", "node", "mine", "n_shingles", "comp"))
         order = np.lexsort((node, j, i, family))
-        family, i, j, node, mine, n = (c[order] for c in (family, i, j, node, mine, n))
+        family, i, j, node, mine, n, comp = (c[order] for c in (family, i, j, node, mine, n, comp))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)[order]
         texts, cache = t.column("text"), WordHashes()
-        new = np.r_[True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        new = np.r_[True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])] if len(node) else np.empty(0, bool)
         starts = np.flatnonzero(new)
         root = np.arange(len(node))
         sets: dict[int, np.ndarray] = {}
@@ -155,44 +208,89 @@ def _families(words_per: int, percent: int):
                 x = root[x]
             return x
 
+        got = []
         for lo, hi in zip(starts, np.r_[starts[1:], len(node)]):
             sets.clear()
             rows = np.arange(lo, hi)
+            known, first = np.unique(comp[lo:hi], return_index=True)
+            if len(known) < hi - lo:
+                root[lo:hi] = lo + first[np.searchsorted(known, comp[lo:hi])]
             left, right = rows[mine[lo:hi] == i[lo]], rows[mine[lo:hi] == j[lo]]
             for x in left:
                 y = right[right > x] if i[lo] == j[lo] else right
-                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-                y = y[(sig[y] != sig[x]).sum(axis=1) <= RADIUS]
+                y = y[_near(n, sig, np.full(len(y), x), y, percent)]
                 for z in y.tolist():
                     a, b = find(x), find(z)
                     if a != b and similar(set_of(x), set_of(z), percent):
                         root[max(a, b)] = min(a, b)
-        top = np.array([find(x) for x in range(len(node))], np.int64) if len(node) else root
-        linked = node[top] != node
-        return pa.table({"a": pa.array(node[top][linked], pa.int64()), "b": pa.array(node[linked], pa.int64())})
+                        got.append((node[x], node[z]))
+        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
     return run
 
 
 def _texts_of(rows: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) for the wanted nodes, from the row of least id and text hash; repeated rows count once."""
-    rep = named.groupBy("node").agg(F.min(F.struct("did", "th")).alias("r")).join(wanted, "node", "left_semi")
+    rep = named.join(wanted, "set_id").groupBy("node").agg(F.min(F.struct("did", "th")).alias("r"))
     rep = rep.select("node", "r.did", "r.th")
     own = rows.join(rep, ["did", "th"])
     number = F.row_number().over(Window.partitionBy("did", "th").orderBy("did"))
     return own.withColumn("number", number).where("number = 1").select("node", "text")
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of each family dealt to the meetings (i, j) of its blocks, and these to groups g of about GROUP_BYTES."""
-    whole = members.groupBy("family").agg(F.sum("size").alias("bytes"))
-    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
-    # Each member goes to as many meetings as its family has blocks.
-    groups = partitions_for(whole.agg(F.sum(F.col("bytes") * blocks)).first()[0], GROUP_BYTES, 8)
-    dealt = members.join(whole, "family").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    return dealt.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups)).cast("int"))
+def _met(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate stars' input: the entries of keys that several nodes have, dealt to groups g of about GROUP_ROWS."""
+    low = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    low = low.select("key", "low", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))
+    entries = cut(keys.join(low, "key"))
+    total = entries.agg(F.count("*") + F.sum(F.when(F.col("node") == F.col("low"), F.col("blocks") - 1).otherwise(0))).first()[0] or 0
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    entries = entries.withColumn("block", F.explode(F.when(F.col("node") == F.col("low"), every).otherwise(own)))
+    entries = entries.withColumns({"split": F.col("blocks") > 1, "g": F.pmod(F.xxhash64("key", "block"), F.lit(max(8, -(-total // GROUP_ROWS)))).cast("int")})
+    return entries.join(nodes.select("node", "n_shingles", "sig"), "node").select("g", "key", "block", "node", "low", "split", "n_shingles", "sig")
+
+
+#: What the meetings of families take.
+MEETING = ["family", "i", "j", "node", "mine", "n_shingles", "sig", "comp", "text"]
+
+
+def _grouped(meetings: DataFrame, total: int) -> DataFrame:
+    return meetings.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(partitions_for(total, GROUP_BYTES, 8))).cast("int")).select("g", *MEETING)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members with the bytes of their family, its least node, its number of blocks, and their own block."""
+    whole = members.groupBy("family").agg(F.sum("size").alias("bytes"), F.min("node").alias("low"))
+    whole = whole.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
+    return members.join(whole, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _at_home(members: DataFrame) -> DataFrame:
+    """Each member in its family's block, the family's least in every one."""
+    total = members.agg(F.sum(F.col("size") * F.when(F.col("node") == F.col("low"), F.col("blocks")).otherwise(1))).first()[0]
+    own, every = F.array("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = members.withColumn("i", F.explode(F.when(F.col("node") == F.col("low"), every).otherwise(own)))
+    return _grouped(dealt.withColumns({"j": F.col("i"), "mine": F.col("i"), "comp": F.col("node")}), total)
+
+
+def _visits(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """The members that are not connected with their family's least one, in parts of BLOCK_BYTES, with each of its other blocks."""
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return None
+    found = components(links.join(large.select("node"), links.a == F.col("node"), "left_semi")).withColumnRenamed("component", "comp")
+    large = cut(large.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    top = large.where("node = low").select("family", F.col("comp").alias("top"))
+    out = large.join(top, "family").where("comp <> top").drop("top")
+    parts = cut(out.groupBy("family").agg(F.sum("size").alias("out_bytes")).select("family", "out_bytes", F.ceil(F.col("out_bytes") / BLOCK_BYTES).cast("int").alias("parts")))
+    if parts.isEmpty():
+        return None
+    total = large.join(parts, "family").agg(F.sum(F.col("size") * F.col("parts"))).first()[0] + out.join(parts, "family").agg(F.sum(F.col("size") * F.col("blocks"))).first()[0]
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    guests = out.join(parts, "family").withColumn("i", -1 - part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("j <> block").withColumn("mine", F.col("i"))
+    hosts = large.join(parts, "family").withColumn("i", F.explode(F.sequence(-F.col("parts"), F.lit(-1)))).withColumns({"j": F.col("block"), "mine": F.col("block")})
+    return _grouped(guests.select(*MEETING).unionByName(hosts.select(*MEETING)), total)
 
 
 def near_duplicates(docs: DataFrame, words_per: int = 5, percent: int = 80) -> DataFrame:
@@ -206,21 +304,24 @@ def _classes(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     rows = rows.withColumns({"did": F.coalesce("doc_id", F.lit(NULL_ID)), "th": F.xxhash64("text")})
     # A signature for each row; persisted, as it has some 100 bytes and costs a pass over all texts.
     signed = cut(rows.select("doc_id", "th", "text").mapInArrow(over_batches(_sign(words_per)), "doc_id long, th long, n_shingles long, set_id binary, sig binary"))
-    # A node is a different set, named by a hash of it.
-    named = signed.where("set_id is not null").withColumns({"node": F.xxhash64("set_id"), "did": F.coalesce("doc_id", F.lit(NULL_ID))})
-    nodes = cut(named.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    # A node is a different set.
+    named = signed.where("set_id is not null").withColumn("did", F.coalesce("doc_id", F.lit(NULL_ID)))
+    nodes = cut(with_node(named.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "set_id"))
     keys = nodes.select("node", "sig").mapInArrow(over_batches(_index), "key long, node long")
-    # Members of a key against its least node.
-    low = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    stars = cut(keys.join(low, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    stars = _met(keys, nodes).groupBy("g").applyInArrow(over_groups(_stars(percent)), "a long, b long")
     families = cut(components(stars).withColumnRenamed("component", "family"))
-    texts = _texts_of(rows.where("text is not null"), named, families.select("node"))
-    members = texts.join(families, "node").join(nodes, "node").withColumn("size", F.octet_length("text").cast("long"))
-    members = cut(members)
-    dealt = _dealt(members)
-    links = dealt.select("g", "family", "i", "j", "node", "mine", "n_shingles", "sig", "text").groupBy("g").applyInArrow(over_groups(_families(words_per, percent)), "a long, b long")
-    final = components(links).withColumnRenamed("component", "root")
-    roots = named.select("did", "doc_id", "th", "n_shingles", "node").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wanted = nodes.join(families, "node").select("node", "set_id", "n_shingles", "sig", "family")
+    texts = _texts_of(rows.where("text is not null"), named, wanted.select("node", "set_id"))
+    members = texts.join(wanted.drop("set_id"), "node").withColumn("size", F.octet_length("text").cast("long"))
+    members = cut(_blocks(members))
+    compare = over_groups(_families(words_per, percent))
+    links = cut(_at_home(members).groupBy("g").applyInArrow(compare, "a long, b long"))
+    visits = _visits(members, links)
+    if visits is not None:
+        links = links.unionByName(visits.groupBy("g").applyInArrow(compare, "a long, b long"))
+    final = nodes.select("set_id", "node").join(components(links).withColumnRenamed("component", "root"), "node", "left")
+    final = final.select("set_id", F.coalesce("root", "node").alias("root"))
+    roots = named.select("did", "doc_id", "th", "n_shingles", "set_id").join(final, "set_id")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = roots.join(least, "root").select("doc_id", "th", "n_shingles", "component_id")
     alone = signed.where("set_id is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -82,3 +82,31 @@ def test_groups_of_one_large_bucket_are_bounded(spark, monkeypatch):
     heavy = spark.createDataFrame([(1, 200)], "key long, n long")
     sizes = [r[0] for r in M._dealt(entries, heavy, 200).groupBy("g").count().select("count").collect()]
     assert sum(sizes) == 4000 and max(sizes) <= 200
+
+
+def test_huge_and_tiny_components(spark):
+    """Squares that over- or underflow do not matter; nor does a very long vector."""
+    rows = [(1, [1e200, 1e199]), (2, [1.0, 0.1]), (3, [1e-200, 1e-201]), (4, [1.0, -1.0]), (5, [1e300, -1e300]), (6, [1.0] * 20_000), (7, [1.0] * 19_999 + [0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, M.near_duplicates(d).collect()))
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False)]
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    r = np.random.default_rng(4)
+    a = r.standard_normal((4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u = r.standard_normal((4000, 64))
+    u -= (u * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    apart = lambda x, y: np.bitwise_count(M.sketches(x) ^ M.sketches(y)).sum(axis=1)
+    assert (apart(a, b) <= M.most_apart(0.9)).all() and (apart(a, u) > M.most_apart(0.9)).all()
+
+
+def test_query_over_the_whole_table(spark):
+    """The registered query's links against all cosines: recall and no false link."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
+    want = {d: n for d, n, _, _ in brute([(r.vec_id, r.embedding) for r in rows])}
+    got = {r.vec_id: r.n_links for r in M.op3_pstable_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.97 * sum(want.values())

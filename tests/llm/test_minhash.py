@@ -97,10 +97,63 @@ def test_components(spark):
     assert got == {i: find(i) for i in list(root)}
 
 
-def test_groups_of_one_large_family_are_bounded(spark, monkeypatch):
+def near_copies(n=160, seed=3):
+    """One family: a chain of texts whose ends differ, and many near copies of one text."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(900)]
+    base = [r.choice(vocab) for _ in range(120)]
+    rows, w = [], list(base)
+    for d in range(n):
+        if d % 4 == 0:
+            w = list(w)
+            w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append((d, " ".join(w)))
+        else:
+            x = list(base)
+            x[r.randrange(len(x))] = r.choice(vocab)
+            rows.append((d, " ".join(x)))
+    r.shuffle(rows)
+    return rows
+
+
+def test_a_large_family_in_many_blocks(spark, monkeypatch):
+    rows = near_copies()
+    want = sorted(brute(rows), key=str)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(M, "GROUP_BYTES", 8000)
+    monkeypatch.setattr(M, "BUCKET", 7)
+    monkeypatch.setattr(M, "GROUP_ROWS", 100)
+    assert sorted(map(tuple, M.near_duplicates(frame(spark, rows)).collect()), key=str) == want
+
+
+def test_near_copies_are_not_dealt_to_every_block(spark, monkeypatch):
+    """Members connected with their family's least one stay at home: what is dealt does not grow with the blocks."""
     monkeypatch.setattr(M, "BLOCK_BYTES", 1000)
     monkeypatch.setattr(M, "GROUP_BYTES", 2000)
-    members = spark.range(200).selectExpr("id as node", "1L as family", "100L as size")
-    sizes = [r[0] for r in M._dealt(members).groupBy("g").agg({"size": "sum"}).select("sum(size)").collect()]
-    # 20 blocks: each member is sent 20 times.
-    assert sum(sizes) == 400_000 and max(sizes) <= 20_000
+    members = M._blocks(spark.range(200).selectExpr("id as node", "1L as family", "100L as size", "5L as n_shingles", "cast('' as binary) as sig", "cast('' as binary) as text"))
+    home = M._at_home(members)
+    assert home.count() == 219  # 20 blocks, the least member in each
+    assert home.groupBy("g").count().agg({"count": "max"}).first()[0] <= 80
+    links = spark.range(1, 195).selectExpr("0L as a", "id as b")
+    visits = M._visits(members, links)
+    guests = visits.where("mine < 0")
+    assert guests.select("node").distinct().count() == 5 and guests.count() == 5 * 19
+    assert M._visits(members, spark.range(1, 200).selectExpr("0L as a", "id as b")) is None
+
+
+def test_very_long_text_and_query(spark, tmp_path):
+    r = random.Random(6)
+    long = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    rows = corpus(15, 9) + [(2000, " ".join(long)), (2001, " ".join(long[:-5] + ["x"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, M.op8_minhash_hamming(spark, str(tmp_path)).collect()), key=str) == sorted(brute(rows, 4), key=str)
+
+
+def test_hubs_of_components(spark, monkeypatch):
+    from litloom.operators import graph
+
+    monkeypatch.setattr(graph, "LEAST_DEGREE", 5)
+    edges = [(0, i) for i in range(1, 300)] + [(i, 1000 + i) for i in range(0, 300, 3)] + [(5000, 5001), (5001, 5002), (5000, 5000)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 0 for i in range(0, 300, 3)}, 5000: 5000, 5001: 5000, 5002: 5000}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
