@@ -11,9 +11,9 @@ landmarks' rows, the scaled kernel by the coefficients; with many n-grams the fi
 counted from lists of the landmarks of each n-gram.
 
 The model is fitted on at most `per_class` labelled texts of each language, those of
-least hash (a bounded sample; the number of languages is bounded by max_classes), and is
-broadcast: its size depends on the parameters and the number of languages.  Every text is
-scored whole.
+least hash: a sample of MOST_ROWS rows, or LEAST_EACH of each language if that is more, and
+of MOST_BYTES.  No language is left out.  The model is broadcast: its size depends on these
+parameters and the number of languages.  Every text is scored whole.
 
 Defined cases: a null text, one without a letter, or one that shares no n-gram with any
 landmark is `und` with score 0; with no labelled rows every text is `und`.
@@ -30,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.common import table
+from litloom.llm.training import MOST_BYTES, fitting, texts_of
 from litloom.llm.workers import over_batches
 
 UND = "und"
 PER_CLASS = 300
+MOST_ROWS = 20_000
+LEAST_EACH = 8
 LANDMARKS = 192
 LANDMARKS_EACH = 8
 RIDGE = 1e-2
@@ -180,26 +183,33 @@ def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge
     return model
 
 
-def sample(labelled: DataFrame, per_class: int, max_classes: int = 1000) -> tuple[list[str], list[str]]:
-    """At most per_class texts of each label, those of least hash of the id; labelled: doc_id, text, label."""
-    counts = labelled.groupBy("label").count().orderBy("label").limit(max_classes).collect()
+def sample(labelled: DataFrame, per_class: int, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[list[str], list[str]]:
+    """At most per_class texts of each label, fewer if there are many labels, those of least hash of the id.
+
+    labelled: doc_id, text, label.  With more labels than most_rows / LEAST_EACH the rows grow
+    with the labels; texts that do not fit into most_bytes are passed over before they are fetched.
+    """
+    counts = labelled.groupBy("label").count().orderBy("label").collect()
     if not counts:
         return [], []
+    per_class = min(per_class, max(LEAST_EACH, most_rows // len(counts)))
     span = 2.0**63
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["label"], min(1.0, 1.5 * per_class / r["count"]))])
+    share = labelled.sparkSession.createDataFrame([(r["label"], min(1.0, 1.5 * per_class / r["count"])) for r in counts], "label string, share double")
     place = F.abs(F.xxhash64("doc_id").cast("double")) / span
-    rows = labelled.withColumn("place", place).where(F.col("place") <= share[F.col("label")]).select("place", "label", "text").orderBy("place").limit(2 * per_class * len(counts)).collect()
-    texts, labels, taken = [], [], Counter()
-    for r in sorted(rows, key=lambda r: (r["place"], r["label"], r["text"])):
+    rows = labelled.withColumn("place", place).join(F.broadcast(share), "label").where("place <= share")  # one row a label
+    rows = rows.select("label", "place", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")).orderBy("place", "label", "t").limit(2 * per_class * len(counts)).collect()
+    taken, picked = Counter(), []
+    for r in rows:
         if taken[r["label"]] < per_class:
             taken[r["label"]] += 1
-            texts.append(r["text"])
-            labels.append(r["label"])
-    return texts, labels
+            picked.append(r)
+    picked = fitting(picked, most_bytes)
+    found = texts_of(labelled, [(r["h"], r["t"]) for r in picked])
+    return [found[r["h"], r["t"]] for r in picked], [r["label"] for r in picked]
 
 
 def fit(docs: DataFrame, training, per_class: int = PER_CLASS, landmarks: int = LANDMARKS) -> Model | None:
-    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").alias("label"))
+    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").cast("string").alias("label"))
     return train(*sample(rows, per_class), landmarks=landmarks)
 
 

@@ -186,6 +186,13 @@ def _several(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[starts], np.add.reduceat((new | np.r_[True, who[1:] != who[:-1]]).astype(np.int64), starts)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each x is one of the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def send_anchors(n_groups: int, length: int):
     """Of a group of documents: its anchors' hashes, by the group of the hash."""
 
@@ -270,7 +277,7 @@ def send_contexts(n_groups: int, length: int):
             wanted = np.union1d(_cat(shared.column("h"), np.uint64) if shared.num_rows else np.empty(0, np.uint64), many)
             kept = []
             for h, i, start, count, off, buf, in_buf in got:
-                keep = np.isin(h, wanted)
+                keep = _among(h, wanted)
                 if keep.any():
                     size = count[keep] + length - 1
                     kept.append((h[keep], i[keep], start[keep], count[keep], off[keep], size, buf[_ranges(in_buf[keep], size)]))
@@ -282,7 +289,7 @@ def send_contexts(n_groups: int, length: int):
                 begin = np.cumsum(size) - size
                 # Contexts that documents of this group share: only the least id's are sent.
                 least: dict[tuple, int] = {}
-                own = np.flatnonzero(np.isin(h, many))
+                own = np.flatnonzero(_among(h, many))
                 raw = memoryview(ctx)
                 keys = [(bytes(raw[x : x + s]), o) for x, s, o in zip(begin[own].tolist(), size[own].tolist(), off[own].tolist())]
                 for k, d in zip(keys, dids[i[own]].tolist()):
@@ -296,7 +303,7 @@ def send_contexts(n_groups: int, length: int):
                 sent = ~gone
                 h, i, start, count, off, size, begin = (c[sent] for c in (h, i, start, count, off, size, begin))
                 pt = _group_of(n_groups, h)
-                hot = np.isin(h, _cat(shared.column("hot"), np.uint64)) if shared.num_rows else np.zeros(len(h), bool)
+                hot = _among(h, np.sort(_cat(shared.column("hot"), np.uint64))) if shared.num_rows else np.zeros(len(h), bool)
                 if hot.any():
                     x = np.flatnonzero(hot)
                     each, m = np.repeat(x, count[x]), count[x].sum()

@@ -43,11 +43,15 @@ _CLEAN = bytes.maketrans(bytes(range(65, 91)) + _GAPS, bytes(range(97, 123)) + b
 _MASKED = re.compile(rb"[a-z\x80-\xff]+[0-9@$*#!+_.-]+[a-z\x80-\xff]+(?:[0-9@$*#!+_.-]+[a-z\x80-\xff]+)*", re.I)
 _SPACED = re.compile(rb"(?<![a-z\x80-\xff])(?:[a-z][ .*_-]){3,}[a-z](?![a-z\x80-\xff])", re.I)
 _STRETCHED = re.compile(rb"([a-z])\1{2,}", re.I)
+_SIGNS = re.compile(rb"[#$%&*@^~+=_-]{2,}")
 _LOOKS = bytes.maketrans(b"013457@$!+", b"oieastasit")
 NAMES = ("insults", "insult_share", "learnt", "learnt_share", "learnt_best", "stems", "stem_share", "masked_hits", "masked_share", "spaced", "spaced_hits", "stretched", "near_you", "you_share", "capitals", "shouted", "exclaimed", "asked", "stops", "signs", "log_words", "word_size", "digits")
 
 
 def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased words; runs of signs, which hide a word's end, are gaps."""
+    if _SIGNS.search(text):
+        text = _SIGNS.sub(b" ", text)
     return text.translate(_CLEAN).split()
 
 

@@ -84,3 +84,38 @@ def test_each_of_many_languages_has_landmarks():
     assert m.size == 8 * 220
     lang, _ = L.judge(m, [draw(c) for c in vocabulary])
     assert sum(a == c for a, c in zip(lang, vocabulary)) >= 0.97 * 220
+
+
+def test_query_folds_and_predictions(spark, tmp_path):
+    """The registered query on a folder: folds, and each prediction from plain sets of n-grams."""
+    import zlib
+
+    data = rows(160)
+    spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = L.op10_string_kernel_language(spark, str(tmp_path)).collect()
+    assert len(got) == len(data) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    by, truth = {r.doc_id: r for r in got}, {i: lang for i, _, lang in data}
+    assert sum(by[i].lang_pred == truth[i] for i in truth if by[i].held_out) >= 0.97 * sum(r.held_out for r in got)
+    learnt, labels = L.sample(docs.where(~L.is_held_out(5, 0)).selectExpr("doc_id", "text", "lang as label"), L.PER_CLASS)
+    assert len(learnt) == sum(not r.held_out for r in got)
+    model = L.train(learnt, labels)
+    grams = lambda t: {g for k in (1, 2, 3) for g in (f" {t} "[i : i + k] for i in range(len(t) + 3 - k))} - {" "}
+    queues = {}
+    for t, y in zip(learnt, labels):
+        queues.setdefault(y, []).append(t)
+    marks = [q[k] for k in range(len(learnt)) for _, q in sorted(queues.items()) if k < len(q)][: L.LANDMARKS]
+    for i, t, _ in data[::5]:
+        own = grams(" ".join(t.lower().split()))
+        k = [len(own & (o := grams(" ".join(m.lower().split())))) / (len(own) * len(o)) ** 0.5 for m in marks]
+        z = [sum(a * b for a, b in zip(k, column)) * L.SHARPNESS for column in model.coef.T.tolist()]
+        p = [2.718281828459045 ** (x - max(z)) for x in z]
+        assert model.classes[z.index(max(z))] == by[i].lang_pred and abs(max(p) / sum(p) - by[i].score) < 1e-3
+
+
+def test_no_language_is_left_out_and_bytes_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 if i % 3 else 400), f"l{i % 40:02}") for i in range(400)], "doc_id long, text string, label string")
+    texts, labels = L.sample(docs, 100, most_rows=80)
+    assert len(set(labels)) == 40 and max(map(labels.count, labels)) <= L.LEAST_EACH
+    texts, labels = L.sample(docs, 100, most_bytes=2000)
+    assert sum(map(len, texts)) <= 2000 and len(texts) > 100
