@@ -1,25 +1,22 @@
-"""The operators' queries and SQL, for the driver's entry."""
+"""The operators' queries and SQL, for the driver's entry.  All modules are loaded at once, so what is missing shows at import."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "packing", "embedding_dedup", "mixing", "quality", "toxicity", "html_extract", "minhash", "suffix_dedup", "language_id"]
+NAMES = ["fingerprints", "packing", "embedding_dedup", "mixing", "quality", "toxicity", "html_extract", "minhash", "suffix_dedup", "language_id"]
+MODULES = [import_module(f"litloom.llm.{name}") for name in NAMES]
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     found = {}
-    for name in MODULES:
-        found |= import_module(f"litloom.llm.{name}").QUERIES
-    return found | {"pipeline": corpus_pipeline.run}
+    for m in MODULES:
+        found |= m.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
     found = {}
-    for name in MODULES:
-        found |= getattr(import_module(f"litloom.llm.{name}"), "SQL", {})
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    for m in MODULES:
+        found |= getattr(m, "SQL", {})
+    return found

@@ -19,6 +19,8 @@ row's next is the first.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from litloom.llm.common import NULL_ID, partitions_for, table
 #: Bytes of text in one range of ids; ranges are found by approximate percentiles.
 RANGE_BYTES = 4 << 20
 MAX_RANGES = 20_000
+LEAST = -(2**63)
 CUT = "\x01"
 
 
@@ -94,35 +97,70 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("__tree", tree(whole)).withColumn("fingerprint", encoded(whole, F.col("__tree"))).drop("__tree")
 
 
-def _range_of(key: Column, edges: list[int]) -> tuple[Column, Column]:
-    """The number of the range that holds key, and whether key is the range's first value; edges: sorted, the least first.
-
-    Looked up in two steps, so a row meets some 2 * sqrt(len(edges)) of them.
-    """
-    step = max(1, round(len(edges) ** 0.5))
+def _last_at_most(values: list[int], key: Column) -> Column:
+    """The place, from 0, of the last of the sorted values that is at most key; looked up in two steps of some sqrt(len(values))."""
+    step = max(1, round(len(values) ** 0.5))
     lit = lambda e: F.lit(e).cast("long")
-    rows = [edges[i : i + step] for i in range(0, len(edges), step)]
+    rows = [values[i : i + step] for i in range(0, len(values), step)]
     coarse = F.size(F.filter(F.array(*[lit(r[0]) for r in rows]), lambda e: e <= key))
     fine = F.size(F.filter(F.element_at(F.array(*[F.array(*map(lit, r)) for r in rows]), coarse), lambda e: e <= key))
-    number = (coarse - 1) * step + fine - 1
-    return number.cast("int"), F.element_at(F.element_at(F.array(*[F.array(*map(lit, r)) for r in rows]), coarse), fine) == key
+    return ((coarse - 1) * step + fine - 1).cast("int")
+
+
+def _number(edges: list[tuple[int, list[int]]]) -> Column:
+    """The range of a row: edges are ids, each with the ties that its own rows are parted at (one: not parted)."""
+    place = _last_at_most([k for k, _ in edges], F.col("__key"))
+    first, total = [], 0
+    for _, ties in edges:
+        first.append(total)
+        total += len(ties)
+    parted = [(k, t) for k, t in edges if len(t) > 1]
+    base = F.element_at(F.array(*map(F.lit, first)), place + 1)
+    after = F.element_at(F.array(*[F.lit(f + len(t) - 1) for f, (_, t) in zip(first, edges)]), place + 1)
+    if not parted:
+        return base
+    own = F.create_map(*[x for k, t in parted for x in (F.lit(k).cast("long"), F.array(*[F.lit(v).cast("long") for v in t]))])[F.col("__key")]
+    at = F.element_at(F.array(*[F.lit(k).cast("long") for k, _ in edges]), place + 1) == F.col("__key")
+    return F.when(at & own.isNotNull(), base + F.size(F.filter(own, lambda t: t <= F.col("__tie"))) - 1).otherwise(after).cast("int")
+
+
+def _edges(docs: DataFrame, n: int) -> list[tuple[int, list[int]]]:
+    """Ids at which ranges begin.  An id that fills several ranges is parted by the tie of its rows, at ties that rows have."""
+    found = docs.agg(F.min("__key").alias("low"), F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("e")).first()
+    if found["low"] is None:
+        return []
+    times = Counter([int(found["low"]), *map(int, found["e"] or [])])
+    edges = [(k, [LEAST + j * (2**64 // m) for j in range(m)]) for k, m in sorted(times.items())]
+    if max(times.values()) > 2:
+        parted = [k for k, m in times.items() if m > 1]
+        rows = docs.where(F.col("__key").isin(parted)).groupBy("__key", _number(edges).alias("r")).agg(F.min("__tie").alias("t")).collect()
+        ties: dict[int, list[int]] = {}
+        for r in sorted(rows, key=lambda r: (r["__key"], r["t"])):
+            ties.setdefault(r["__key"], []).append(r["t"])
+        return [(k, ties.get(k, t)) for k, t in edges]
+    return [(k, t[:1]) for k, t in edges]
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (with __key and __tie to order by) with __next: the carried columns of the next row, the first one's for the last.
 
-    Rows are dealt to ranges of ids; the first id of a range is also sent to the range
+    Rows are dealt to ranges of ids, and of ties where an id has very many rows; the first row
+    of a range (all rows of its id, where the id is not parted) is also sent to the range
     before, the very first to the last, so each range finds its last row's next itself.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
     n = min(MAX_RANGES, partitions_for(size, RANGE_BYTES, 8))
-    found = docs.agg(F.min("__key").alias("low"), F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("e")).first()
-    if found["low"] is None:
+    edges = _edges(docs, n)
+    if not edges:
         return docs.withColumn("__next", F.struct(*carried)).where("false")
-    edges = sorted({int(found["low"]), *map(int, found["e"] or [])})
-    number, first = _range_of(F.col("__key"), edges)
-    dealt = docs.withColumn("__range", number).withColumn("__first", first)
-    before = F.struct(F.pmod(F.col("__range") - 1, F.lit(len(edges))).cast("int").alias("to"), F.lit(1).alias("guest"))
+    total = sum(len(t) for _, t in edges)
+    pairs = F.create_map(*[x for k, t in edges if len(t) > 1 for x in (F.lit(k).cast("long"), F.array(*[F.lit(v).cast("long") for v in t]))]) if total > len(edges) else None
+    place = _last_at_most([k for k, _ in edges], F.col("__key"))
+    first = F.element_at(F.array(*[F.lit(k).cast("long") for k, _ in edges]), place + 1) == F.col("__key")
+    if pairs is not None:
+        first = first & F.coalesce(F.array_contains(pairs[F.col("__key")], F.col("__tie")), F.lit(True))
+    dealt = docs.withColumn("__range", _number(edges)).withColumn("__first", first)
+    before = F.struct(F.pmod(F.col("__range") - 1, F.lit(total)).cast("int").alias("to"), F.lit(1).alias("guest"))
     home = F.struct(F.col("__range").alias("to"), F.lit(0).alias("guest"))
     dealt = dealt.withColumn("__at", F.explode(F.when(F.col("__first"), F.array(home, before)).otherwise(F.array(home))))
     dealt = dealt.withColumns({"__to": F.col("__at.to"), "__guest": F.col("__at.guest")})

@@ -10,10 +10,9 @@ merges inside words only, so a text's ids are those of its white-space separated
 one after the other.  A task keeps the ids of the words it has seen (at most CACHE; the
 rest is encoded each time) and sends only new words to the library, all of a text at once.
 
-Numbers are given in two steps: counts per (length, range of ids), whose running sums
-(at most lengths x ranges values) give each group its first number, and a row number
-inside each group.  Defined cases: a null or empty text has the closing id alone; rows
-that repeat a doc_id are told apart by their tokens, and equal rows get different numbers.
+Numbers are given in two steps: a task counts the pieces it cuts of each length, and the
+running sum of these counts over (length, task) gives each its first number.  Defined cases:
+a null or empty text has the closing id alone; rows that repeat get numbers each of its own.
 """
 
 from __future__ import annotations
@@ -21,22 +20,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import Counter
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.common import NULL_ID, cut, table
+from litloom.llm.common import cut, table
 from litloom.llm.workers import over_batches
+from litloom.operators.ranges import running_before
 
 CONTEXT = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 400_000
-RANGES = 256
 #: White space as the tokenizer's own patterns have it.
 SPACE = re.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
 
@@ -150,15 +151,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
+#: Numbers of (length, task) that are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def _cut_up(path: str | None, context: int, with_ids: bool):
     def run(batches):
         ids = word_ids(path or vocabulary_path())
         end = np.array([END], "<u4").tobytes()
+        part, bucket = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            cols = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32")}
+            cols = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth")}
             kept = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), ids.of_all(texts)):
@@ -173,7 +177,10 @@ def _cut_up(path: str | None, context: int, with_ids: bool):
                 cols["length"] += sizes
                 cols["ids_crc32"] += map(zlib.crc32, parts)
                 cols["doc_tokens"] += [n] * len(sizes)
-                cols["doc_crc32"] += [zlib.crc32(tokens)] * len(sizes)
+                cols["part"] += [part] * len(sizes)
+                for k in sizes:
+                    cols["nth"].append(bucket[k])
+                    bucket[k] += 1
                 if with_ids:
                     kept += [np.frombuffer(p, "<u4").astype(np.int32) for p in parts]
             arrays = [pa.array(v, pa.int64()) for v in cols.values()]
@@ -191,25 +198,23 @@ def pack(docs: DataFrame, context: int = CONTEXT, vocabulary: str | None = None,
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) for every piece.
 
     vocabulary: path of the tokenizer's file, the public one by default.  Sequences are
-    numbered without gaps: shorter lengths first, then by doc_id and start.
+    numbered without gaps, bucket by bucket, shorter lengths first: each task counts its pieces
+    of each length, the cut pieces are kept in shared storage, and a piece's number is its own
+    in its task after those of all smaller lengths and earlier tasks.  No piece is shuffled.
+
+    A null text is empty and gives its end token alone; a null id stays null; rows that repeat
+    are packed each for itself; no rows give no pieces.
     """
     if context & (context - 1):
         raise ValueError("context must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(rows.mapInArrow(over_batches(_cut_up(vocabulary, context, with_ids)), PIECE + (", ids array<int>" if with_ids else "")))
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    edges = pieces.where("start = 0").agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0]
-    bounds = F.array(*[F.lit(int(e)).cast("long") for e in sorted(set(edges or []))]) if edges else F.array().cast("array<bigint>")
-    pieces = pieces.withColumn("__range", F.size(F.filter(bounds, lambda e: e <= key)))
-    counts = sorted((r["length"], r["__range"], r["n"]) for r in pieces.groupBy("length", "__range").agg(F.count("*").alias("n")).collect())
-    first = list(accumulate((n for *_, n in counts), initial=0))
-    spark = docs.sparkSession
-    # At most (log2(context) + 1) * RANGES rows.
-    base = spark.createDataFrame([(k, r, b) for (k, r, _), b in zip(counts, first)], "length long, __range int, __first long")
-    within = Window.partitionBy("length", "__range").orderBy(key, "start", "doc_crc32", "ids_crc32")
-    out = pieces.withColumn("__row", F.row_number().over(within)).join(F.broadcast(base), ["length", "__range"])
-    out = out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__first") + F.col("__row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
-    return out
+    place = F.shiftleft(F.col("length"), 32) + F.col("part")
+    counts = cut(pieces.groupBy(place.alias("__place")).agg(F.count("*").alias("__n")))
+    first = running_before(counts, "__place", F.col("__n"), "__first").select("__place", "__first")
+    few = counts.count() <= MOST_BROADCAST
+    out = pieces.withColumn("__place", place).join(F.broadcast(first) if few else first, "__place")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
 
 
 def op2_power_of_two_packing(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ K = 16
 GROUP_BYTES = 8 << 20
 GROW_BYTES = 64 << 30
 #: Different texts with one anchor beyond which its strings are dealt by their own hashes.
-HOT_DOCS = 100_000
+HOT_DOCS = 20_000
 PIECE = 1 << 19
 SORT_BYTES = 2 << 20
 

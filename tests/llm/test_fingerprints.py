@@ -71,3 +71,21 @@ def test_sql_agrees(spark, tmp_path):
     want = {r[0]: r for r in db.sql(M.SQL["op1_merkle_fingerprints"]).fetchall()}
     got = {r.doc_id: tuple(r) for r in M.op1_merkle_fingerprints(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_an_id_with_very_many_rows_is_parted(spark, monkeypatch):
+    rows = [(None if i % 3 else i, f"Text {i}. More {i * 7} here.\nEnd {i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(M, "RANGE_BYTES", 300)
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("__key"), F.xxhash64("text").alias("__tie"))
+    edges = M._edges(keyed, 40)
+    assert sum(len(t) for _, t in edges) >= 30 and max(len(t) for _, t in edges) >= 20
+    sizes = [r["count"] for r in keyed.groupBy(M._number(edges).alias("r")).count().collect()]
+    assert max(sizes) < 40 and len(sizes) >= 30
+    order = sorted((r["__key"], r["__tie"], r["text"]) for r in keyed.collect())
+    want = []
+    for i, (_, _, t) in enumerate(order):
+        nxt, h = order[(i + 1) % len(order)][2], len(t) // 2
+        want.append((t, sha(t[: len(t) - h] + nxt[:h])))
+    joined = M.compare_with_edits(docs).join(docs.select("text", M.encoded(F.col("text"), M.tree(F.col("text"))).alias("fingerprint")), "fingerprint")
+    assert sorted((r.text, r.edited_sha256) for r in joined.collect()) == sorted(want)

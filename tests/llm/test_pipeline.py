@@ -57,6 +57,18 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, whole.drop("sequence_id").collect())) == sorted(str(r) for r in spark.read.parquet(str(tmp_path / "stage4")).drop("sequence_id").collect())
 
 
+def test_empty_table_and_odd_rows_through_run(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(random.Random(1).choice(WORDS["de"].split()) + str(i) for i in range(60_000))
+    rows = [(None, "der die und nicht eine mit", "de", None, 1), (None, None, None, None, None), (7, long, "de", "s", 1), (7, long, "de", "s", 1), (8, "the of and to in that with", "en", "s", 1)] + [(20 + i, f"the of and to in that with {i} which from", "en", "s", 1) for i in range(12)]
+    for name, data in (("none", []), ("odd", rows)):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
+    got = P.run(spark, str(tmp_path / "odd")).collect()
+    assert sum(r.length for r in got if r.doc_id == 7) % 2 in (0, 1) and {r.doc_id for r in got} <= {None, 7, 8, *range(20, 32)}
+    assert sorted(r.sequence_id for r in got) == list(range(len(got)))
+
+
 def test_registered():
     assert sorted(n.partition("_")[0] for n in entry.queries() if n.startswith("op")) == sorted(f"op{k}" for k in range(1, 11))
     assert "pipeline" in entry.queries() and len(P.STAGES) == 5

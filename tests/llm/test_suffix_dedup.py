@@ -107,13 +107,13 @@ def test_a_passage_in_every_document_is_spread(spark):
     assert largest < total / 40
 
 
-@pytest.mark.parametrize("hot", [2, 20, 100_000])
+@pytest.mark.parametrize("hot", [2, 20, 0])
 def test_query_against_brute_force(spark, tmp_path, hot):
     """The registered query's operator on a table with a passage in every document."""
     r = random.Random(8)
     passage = " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
     rows = corpus(11) + [(1000 + i, f"{i} own {i * 31} words {passage} end {i * 17}") for i in range(150)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
-    out = S.op9_suffix_dedup(spark, str(tmp_path)) if hot == 100_000 else S.dedup(spark.read.parquet(str(tmp_path / "documents.parquet")), hot_docs=hot)
+    out = S.op9_suffix_dedup(spark, str(tmp_path)) if hot == 0 else S.dedup(spark.read.parquet(str(tmp_path / "documents.parquet")), hot_docs=hot)
     got = [tuple(x) for x in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
