@@ -12,28 +12,38 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def identify_language(spark, docs, sf_dir):
-    """Documents with an identified language, its name in lang.  Learns from the training folds of docs."""
+    """Documents with an identified language, its name in lang.  Learns from the training folds of docs.
+
+    A null or letterless text goes; a null id is learnt from like any other and stays; rows that
+    repeat stay each; a text of any length is read whole; no rows give no rows.
+    """
     model = language_id.fit(docs, ~language_id.is_held_out(5, 0))
     return language_id.keep_identified(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each near-duplicate group: word shingles of five, similarity of 0.8 or more."""
+    """One document of each near-duplicate group: word shingles of five, similarity of 0.8 or more.
+
+    Of repeated rows one stays, of rows without an id one for each different text.
+    """
     return minhash.drop_near_duplicates(docs, words_per=5, percent=80)
 
 
 def remove_repeated_passages(spark, docs, sf_dir):
-    """Cuts every passage of fifty bytes or more that an earlier document has."""
+    """Cuts every passage of fifty bytes or more that an earlier document has.
+
+    A document that loses every byte is a copy and goes; a null id comes before all others.
+    """
     return suffix_dedup.clean(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Rows as often as the mix takes them."""
+    """Rows as often as the mix takes them; a null source is one of its own."""
     return mixing.take_mix(docs)
 
 
 def pack_sequences(spark, docs, sf_dir):
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; rows that repeat are packed each for itself."""
     return packing.pack(docs)
 
 

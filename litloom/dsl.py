@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +96,20 @@ def to_provider(provider: str, text: str, strict: bool = True) -> str:
     return " ".join(parts).replace("( ", "(").replace(" )", ")")
 
 
+def escape_special_chars(text: str, special: str = "") -> str:
+    """Each of the special characters with a backslash before it."""
+    return re.sub(f"([{re.escape(special)}])", r"\\\1", text) if special else text
+
+
+def translated(text: Column, provider: str) -> Column:
+    """The query of each row in a provider's syntax, in Arrow batches; malformed ones pass as they are."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else to_provider(provider, x, strict=False))
+
+    return run(text)
+
+
 def to_bulk(text: str | None) -> str:
     """Signs for the operators: + for AND, | for OR, a minus before what NOT refuses."""
     text = re.sub(r"\bNOT\b\s+", "-", text or "", flags=re.I)

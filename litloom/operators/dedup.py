@@ -8,6 +8,8 @@ once, so a common title does not meet itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from litloom.functions.people import full_name
 from litloom.functions.similarity import ratio_udf
 from litloom.functions.text import normalize_title, strip, title_words, truthy
 from litloom.operators.graph import components, cut
+from litloom.operators.ranges import running_before
 
 FUZZY_THRESHOLD = 97
 YEAR_GAP = 1
@@ -23,6 +26,9 @@ SEMANTIC_THRESHOLD = 0.92
 #: Whose record is the base of a merged one.
 PRIORITY = {"crossref": 5, "pubmed": 4, "openalex": 3, "semantic_scholar": 2, "s2": 2, "arxiv": 1}
 NO_ABSTRACT = ("no abstract available", "abstract not available")
+#: Pivots of the semantic join; words that count as common in more entries than COMMON, of which there are fewer than MOST_COMMON.
+PIVOTS = 1000
+COMMON, MOST_COMMON = 200, 10_000
 EDGES = "a long, b long, kind string"
 
 
@@ -43,24 +49,44 @@ def exact_edges(rows: DataFrame) -> DataFrame:
     return out.unionByName(star_edges(rows, "arxiv_id", "arxiv")).unionByName(star_edges(rows, "norm", "title"))
 
 
+def _rarest(titles: DataFrame, threshold: int) -> DataFrame:
+    """(idx, year, len, word): of each title the words that must hold a rarest shared one.
+
+    A pair within the threshold differs by at most D letters put in or taken out, and each
+    alters two words at most (a blank parts two), so a title of n words shares max(2, n - 2 D)
+    or more: the rarest of them is among its n + 1 - max(2, n - 2 D) rarest words.  Common words
+    come last; they are the words of more than a share of all entries, so they are few.
+    """
+    entries = titles.select("idx", "year", "len", F.size("words").alias("n"), F.explode("words").alias("word"))
+    total = entries.count()
+    common = entries.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") > max(COMMON, total // MOST_COMMON))
+    entries = entries.join(F.broadcast(common), "word", "left")  # fewer than MOST_COMMON rows
+    r = (100 - threshold) / 100
+    apart = F.floor(2 * r * F.col("len") / (1 - r) + 1e-9)
+    kept = F.col("n") + 1 - F.greatest(F.lit(2), F.col("n") - 2 * apart)
+    place = F.row_number().over(Window.partitionBy("idx").orderBy(F.coalesce("df", F.lit(0)), F.xxhash64("word"), "word"))
+    return entries.withColumn("place", place).where(F.col("place") <= kept).select("idx", "year", "len", "word")
+
+
 def fuzzy_candidates(rows: DataFrame, threshold: int = FUZZY_THRESHOLD, gap: int = YEAR_GAP, symmetric: bool = True) -> DataFrame:
     """Pairs of different titles, years within the gap, that share two words or more and pass the length and edit bounds.
 
-    Equal titles are one row here: their records are linked by star edges already.  Two
-    titles that share two words meet on each shared word; the meetings of a pair are counted
-    before its texts are looked up.  symmetric=False asks for the earlier record to be no younger.
+    Equal titles are one row here: their records are linked by star edges already.  Titles
+    meet on their rarest words alone (prefix filtering), which loses no pair; a pair's texts
+    are looked up once it is known.  symmetric=False asks for the earlier record to be no younger.
     """
     titles = rows.where(truthy(F.col("norm")) & F.col("year").isNotNull())
     titles = titles.groupBy("norm", "year").agg(F.min("idx").alias("idx"))
     titles = cut(titles.withColumns({"words": title_words(F.col("norm")), "len": F.char_length("norm")}).where(F.size("words") > 1))
     # A meeting carries no text: a title of n words would be sent n times.
-    entries = titles.select("idx", "year", "len", F.explode("words").alias("word"))
+    entries = _rarest(titles, threshold)
     left = entries.select(F.col("idx").alias("ia"), F.col("len").alias("la"), "word", F.explode(F.sequence(F.col("year") - (gap if symmetric else 0), F.col("year") + gap)).alias("year_b"))
     right = entries.select(F.col("idx").alias("ib"), F.col("len").alias("lb"), "word", F.col("year").alias("year_b"))
     total = F.col("la") + F.col("lb")
     near = (F.col("ia") < F.col("ib")) & (100 * F.abs(F.col("la") - F.col("lb")) <= (100 - threshold) * total)
-    pairs = left.join(right, ["word", "year_b"]).where(near).groupBy("ia", "ib", "la", "lb").count().where("count > 1").drop("count")
-    pairs = pairs.join(titles.select(F.col("idx").alias("ia"), F.col("norm").alias("na")), "ia").join(titles.select(F.col("idx").alias("ib"), F.col("norm").alias("nb")), "ib").where("na <> nb")
+    pairs = left.join(right, ["word", "year_b"]).where(near).select("ia", "ib", "la", "lb").distinct()
+    texts = lambda i, n, w: titles.select(F.col("idx").alias(i), F.col("norm").alias(n), F.col("words").alias(w))
+    pairs = pairs.join(texts("ia", "na", "wa"), "ia").join(texts("ib", "nb", "wb"), "ib").where("na <> nb").where(F.size(F.array_intersect("wa", "wb")) > 1)
     # Indel distance is at least the edit distance, so this bound loses nothing.
     pairs = pairs.where(F.expr(f"levenshtein(na, nb, cast(floor({100 - threshold} * (la + lb) / 100) as int)) >= 0"))
     return pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "na", "nb")
@@ -78,19 +104,10 @@ def clusters(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return numbered(out)
 
 
-def numbered(labelled: DataFrame, parts: int = 64) -> DataFrame:
-    """Dense numbers of the labels: counts per range of labels, then a row number inside each range."""
+def numbered(labelled: DataFrame) -> DataFrame:
+    """Dense numbers of the labels: counts per range of labels, then a running number inside each range."""
     firsts = labelled.where("idx = label").select("label")
-    cuts = firsts.agg(F.percentile_approx("label", [i / parts for i in range(1, parts)])).first()[0] or []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    firsts = cut(firsts.withColumn("part", F.size(F.filter(bounds, lambda c: c <= F.col("label")))))
-    before, base = 0, []
-    for r in sorted(firsts.groupBy("part").count().collect()):
-        base.append((r["part"], before))
-        before += r["count"]
-    base = labelled.sparkSession.createDataFrame(base, "part int, before long")
-    number = F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1
-    numbers = firsts.withColumn("n", number).join(F.broadcast(base), "part").select("label", (F.col("n") + F.col("before")).alias("cluster_id"))
+    numbers = running_before(firsts, "label", F.lit(1).cast("long"), "cluster_id")
     return labelled.join(numbers, "label")
 
 
@@ -100,33 +117,64 @@ def conservative(docs: DataFrame, threshold: int = FUZZY_THRESHOLD, gap: int = Y
     return clusters(docs, exact_edges(rows).unionByName(fuzzy_edges(rows, threshold, gap, symmetric)).select("a", "b"))
 
 
+def _unit_rows(values):
+    import numpy as np
+
+    x = np.array(values.tolist(), dtype=np.float64)
+    size = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(size > 0, size, 1)[:, None]
+
+
 def semantic_edges(vectors: DataFrame, threshold: float = SEMANTIC_THRESHOLD, block: int = 512) -> DataFrame:
-    """(a, b) pairs of cosine `threshold` or more; vectors: idx, embedding.
+    """(a, b) pairs of cosine `threshold` or more; vectors: idx, embedding.  Exact.
 
-    Blocks of rows meet two by two, so a task holds two blocks and nothing is gathered.
+    Some vectors, PIVOTS at most, are pivots; a vector's home is the cell of the nearest.  Two
+    vectors within the angle t of each other are such that each is no further from the other's
+    pivot than from its own by more than 2 t (triangle inequality), so a vector visits those
+    cells alone: on clustered vectors few, at worst all.  A cell's blocks of `block` rows meet two by
+    two, and a pair is given by the lesser of its homes.
     """
     n = vectors.count()
-    blocks = max(1, -(-n // block))
-    side = vectors.select("idx", "embedding").withColumn("mine", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
-    dealt = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
+    some = vectors.orderBy(F.xxhash64("idx")).select("embedding").limit(max(1, min(PIVOTS, n // block))).collect()
+    spark = vectors.sparkSession
+    held = spark.sparkContext.broadcast([list(r["embedding"]) for r in some])  # PIVOTS vectors at most
+    reach = 2 * math.acos(threshold) + 1e-9
+
+    def visit(frames):
+        import numpy as np
+        import pandas as pd
+
+        pivots = _unit_rows(pd.Series(held.value)) if held.value else None
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x = _unit_rows(pdf["embedding"])
+            angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
+            home = angle.argmin(axis=1)
+            row, cell = np.nonzero(angle <= angle[np.arange(len(x)), home][:, None] + reach)
+            yield pd.DataFrame({"cell": cell.astype("int32"), "home": home[row].astype("int32"), "idx": pdf["idx"].to_numpy()[row], "embedding": pdf["embedding"].to_numpy()[row]})
+
+    dealt = cut(vectors.select("idx", "embedding").mapInPandas(visit, "cell int, home int, idx long, embedding array<double>"))
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = dealt.join(F.broadcast(sizes), "cell").withColumn("mine", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))  # a row for each pivot
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "blocks")
 
     def compare(pdf):
         import numpy as np
         import pandas as pd
 
-        x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        norm = np.sqrt((x * x).sum(axis=1))
-        x = x / np.where(norm > 0, norm, 1)[:, None]
+        x = _unit_rows(pdf["embedding"])
+        idx, mine, home, cell = (pdf[c].to_numpy() for c in ("idx", "mine", "home", "cell"))
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        idx, mine = pdf["idx"].to_numpy(), pdf["mine"].to_numpy()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         p, q = np.nonzero(x[left] @ x[right].T >= threshold)
-        a, b = idx[left[p]], idx[right[q]]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+        p, q = left[p], right[q]
+        keep = (idx[p] < idx[q] if i == j else idx[p] != idx[q]) & (np.minimum(home[p], home[q]) == cell[p]) & ((home[p] == cell[p]) | (home[q] == cell[p]))
+        a, b = idx[p][keep], idx[q][keep]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def semantic(docs: DataFrame, vectors: DataFrame, threshold: float = SEMANTIC_THRESHOLD, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.functions.numbers import extract_accuracy
@@ -14,6 +14,8 @@ from litloom.functions.text import truthy
 from litloom.operators.stats import split_values
 
 CONTEXT_LIMIT = 50_000
+#: "- ", ": " and the line break.
+LEAST_LINE = 5
 
 
 class Extractor(Protocol):
@@ -88,10 +90,21 @@ def accuracies(matrix_rows: DataFrame, least: int = 5) -> DataFrame:
 
 
 def synthesis_contexts(matrix_rows: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """One text for each category: its papers' lines in order of source, cut to the limit."""
+    """One text for each category: its papers' lines in order of source, cut to the limit.
+
+    A line has LEAST_LINE characters at least, so the first limit / LEAST_LINE papers by source
+    hold all that fits; they are picked in each task before they meet, and of these only the
+    lines that begin within the limit are gathered.
+    """
     line = F.concat(F.lit("- "), F.col("source"), F.lit(": "), F.coalesce("key_contribution", F.lit("")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", line.alias("t")))), lambda x: x["t"]), "\n")
-    return matrix_rows.groupBy("category").agg(F.count("*").alias("papers"), F.substring(joined, 1, limit).alias("context"))
+    papers = matrix_rows.groupBy("category").agg(F.count("*").alias("papers"))
+    order = Window.partitionBy("category").orderBy("source", "line")
+    first = matrix_rows.select("category", "source", line.alias("line")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit // LEAST_LINE)
+    before = F.sum(F.char_length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fits = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < limit)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    texts = fits.groupBy("category").agg(F.substring(joined, 1, limit).alias("context"))
+    return papers.join(texts, F.col("papers").isNotNull() & papers["category"].eqNullSafe(texts["category"])).select(papers["category"], "papers", "context")
 
 
 def group_coverage(results: DataFrame) -> DataFrame:

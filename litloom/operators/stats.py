@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litloom.functions.numbers import classify_json
 from litloom.functions.text import normalize_value, strip, truthy
+from litloom.operators.ranges import running_before
 
 
 def validation_profile(docs: DataFrame) -> DataFrame:
@@ -66,10 +67,9 @@ def pearson(values: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
 
 
 def average_ranks(values: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks with ties averaged: counts of each value, a running sum over the distinct values alone."""
+    """Ranks with ties averaged: counts of each value, a running sum over ranges of the distinct values."""
     counts = values.groupBy(column).agg(F.count("*").alias("__c"))
-    before = F.sum("__c").over(Window.orderBy(column)) - F.col("__c")
-    ranks = counts.select(F.col(column).alias("__v"), (before + (F.col("__c") + 1) / 2).alias(name))
+    ranks = running_before(counts, column, F.col("__c"), "__before").select(F.col(column).alias("__v"), (F.col("__before") + (F.col("__c") + 1) / 2).alias(name))
     return values.join(ranks, F.col(column) == F.col("__v")).drop("__v")
 
 

@@ -45,8 +45,8 @@ def _word(n: int) -> str:
     return f"coalesce(regexp_extract(title, '^(?:[^a-zA-Z]*[a-zA-Z]+){{{n}}}[^a-zA-Z]*([a-zA-Z]+)', 1), '')"
 
 
-BIB = f"""base as (select doc_id, text, lang, source, n_chars, left(split_part(coalesce(text, ''), chr(10), 1), 200) as title from documents),
-bib as (select doc_id as idx, title, left(text, 5000) as abstract, case when doc_id % 17 <> 0 then (2000 + doc_id % 25)::int end as year,
+BIB = f"""base as (select doc_id, text, lang, source, n_chars, split_part(coalesce(text, ''), chr(10), 1) as title from documents),
+bib as (select doc_id as idx, title, text as abstract, case when doc_id % 17 <> 0 then (2000 + doc_id % 25)::int end as year,
 (['openalex', 'crossref', 'arxiv', 'pubmed', 's2'])[doc_id % 5 + 1] as provider, source as venue,
 case when doc_id % 3 = 0 then '10.1000/' || left(sha256(title), 8) end as doi, case when doc_id % 7 = 0 then '2301.' || (doc_id % 500) end as arxiv_id,
 (n_chars % 500)::int as cited_by_count, lang as language, 'Q' || (doc_id % 4) as query_id,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = ["corpus", "structure", "tables"]
+MODULES: list[str] = ["corpus", "structure", "tables", "records", "papers"]
 
 
 def queries() -> dict:

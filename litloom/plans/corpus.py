@@ -222,7 +222,7 @@ def missing_files_anti(spark, d):
 
 
 def export_csv_rows(spark, d):
-    return exports.csv_rows(documents(spark, d)).select("title", "year", "authors", "venue", "doi", "url", "cited_by_count", "provider_id")
+    return exports.csv_rows(documents(spark, d))
 
 
 def export_bibtex_entry(spark, d):
@@ -250,8 +250,8 @@ def _matrix(spark, d):
     docs = documents(spark, d)
     return extraction.matrix(
         docs.select(
-            F.col("provider_id").alias("source"), F.split(F.substring("title", 1, 40), " ").alias("models_used"), F.concat(F.col("cited_by_count").cast("string"), F.lit(".25%")).alias("best_accuracy"),
-            F.substring("title", 1, 60).alias("key_contribution"), F.col("provider").alias("category"),
+            F.col("provider_id").alias("source"), F.split("title", " ").alias("models_used"), F.concat(F.col("cited_by_count").cast("string"), F.lit(".25%")).alias("best_accuracy"),
+            F.col("title").alias("key_contribution"), F.col("provider").alias("category"),
         )
     )
 
@@ -265,7 +265,7 @@ def accuracy_quartiles(spark, d):
 
 
 def synthesis_contexts(spark, d):
-    return extraction.synthesis_contexts(_matrix(spark, d), 2000)
+    return extraction.synthesis_contexts(_matrix(spark, d))
 
 
 def merged_facts(spark, d):
@@ -302,6 +302,8 @@ _KEPT = f"""kept as (select bib.* from bib left join asked using (query_id) wher
 and (len(coalesce(include_any, [])) = 0 or len(list_filter(include_any, lambda w: contains({_ANY}, lower(w)))) > 0))"""
 _PDF = "case when doi is not null then replace(replace(doi, '/', '_'), ':', '_') when arxiv_id is not null then 'arxiv_' || arxiv_id else 'doc_' || left(sha256(title), 16) end || '.pdf'"
 _FULL = "list_transform(authors, lambda a: coalesce(a.given_name || ' ', '') || a.family_name)"
+_CSV = f"""coalesce(title, '') as title, coalesce(year::varchar, '') as year, array_to_string({_FULL}, '; ') as authors, len(authors)::varchar as author_count, coalesce(venue, '') as venue, coalesce(abstract, '') as abstract, provider, provider_id,
+coalesce(doi, '') as doi, coalesce(arxiv_id, '') as arxiv_id, '' as pubmed_id, '' as openalex_id, '' as s2_id, coalesce(url, '') as url, coalesce(language, '') as language, coalesce(nullif(cited_by_count, 0)::varchar, '') as cited_by_count, query_id, '' as query_text, '' as retrieved_at"""
 _FAMILY = "list_transform(authors, lambda a: a.family_name || coalesce(', ' || a.given_name, ''))"
 _KIND = "case when regexp_matches(lower(coalesce(venue, '')), 'conference|proceedings|workshop|symposium|congress') then 'inproceedings' when regexp_matches(lower(coalesce(venue, '')), 'journal|review|magazine|transactions') then 'article' when provider = 'arxiv' then 'misc' when doi is not null then 'article' else 'misc' end"
 _RIS = "case when regexp_matches(lower(coalesce(venue, '')), 'journal|review|transaction') then 'JOUR' when regexp_matches(lower(coalesce(venue, '')), 'conference|proceedings|symposium') then 'CONF' when doi is not null then 'JOUR' else 'GEN' end"
@@ -326,14 +328,14 @@ def _tex(x: str) -> str:
 _DOI_RAW = "case when idx % 4 = 0 then ' https://doi.org/' || upper(doi) when idx % 4 = 1 then 'DOI: ' || doi else doi end"
 _YEAR_RAW = "case when idx % 3 = 0 then 'published May ' || (idx % 300 + 1850) else (idx % 3000)::varchar end"
 
-_MATRIX = "matrix as (select provider_id as source, left(title, 40) as models, cited_by_count || '.25%' as best_accuracy, left(title, 60) as key_contribution, provider as category from bib)"
+_MATRIX = "matrix as (select provider_id as source, title as models, cited_by_count || '.25%' as best_accuracy, title as key_contribution, provider as category from bib)"
 
 SQL = {
     "cluster_mapping": with_(*_CLUSTERED, recursive=True) + "select cluster_id, arg_min(title, idx) as title, count(*) as member_count, string_agg(distinct provider, ',' order by provider) as providers from clustered group by 1",
     "screening_prompts": with_(BIB) + "select idx, md5('Title: ' || coalesce(nullif(title, ''), 'NR') || chr(10) || 'Abstract: ' || coalesce(nullif(abstract, ''), 'NR')) as prompt_md5 from bib where idx % 3 = 0",
     "model_frequencies": with_(BIB, _MATRIX) + "select item, count(*) as records from (select unnest(list_filter(list_transform(string_split(array_to_string(string_split(models, ' '), ', '), ','), lambda w: lower(trim(w))), lambda w: w <> '')) as item from matrix) group by item order by records desc, item limit 20",
     "accuracy_quartiles": with_(BIB, _MATRIX) + "select count(*) as n, round(quantile_cont(v, 0.25), 6) as q1, round(median(v), 6) as median, round(quantile_cont(v, 0.75), 6) as q3 from (select try_cast(nullif(regexp_extract(best_accuracy, '(\\d{2,3}\\.?\\d*)%', 1), '') as double) as v from matrix) where v between 50 and 100 having count(*) > 5",
-    "synthesis_contexts": with_(BIB, _MATRIX) + "select category, count(*) as papers, left(string_agg('- ' || source || ': ' || key_contribution, chr(10) order by source), 2000) as context from matrix group by category",
+    "synthesis_contexts": with_(BIB, _MATRIX) + "select category, count(*) as papers, left(string_agg('- ' || source || ': ' || key_contribution, chr(10) order by source), 50000) as context from matrix group by category",
     "merged_facts": with_(BIB) + """, f as (select provider_id as paper_id, 'year' as k, 'a' || coalesce(year::varchar, 'NR') as v, 0 as o from bib where idx % 2 = 0 union all select provider_id, 'a', '1', 0 from bib where idx % 2 = 0
 union all select provider_id, 'year', 'b' || coalesce(year::varchar, 'NR'), 1 from bib where idx % 3 = 0 union all select provider_id, 'b', '1', 1 from bib where idx % 3 = 0)
 select paper_id, string_agg(k || '=' || v, ';' order by k) as facts from (select paper_id, k, arg_max(v, o) as v from f group by all) group by 1""",
@@ -390,6 +392,7 @@ count(*) filter (coalesce(title, '') = '') as missing_title, count(*) filter (ye
 rank() over (order by year) + (count(*) over (partition by year) - 1) / 2.0::double as ry from bib where year is not null)""",
     "freq_topk": with_(BIB) + "select word, count(*) as records from (select unnest(list_filter(list_transform(string_split(title, ' '), lambda w: lower(trim(w))), lambda w: w <> '')) as word from bib) group by word order by records desc, word limit 20",
     "q1_exact_rank": with_(BIB) + "select idx, case when lower(venue) in ('src1', 'src3') then lower(venue) end as matched, lower(venue) in ('src1', 'src3') as is_q1 from bib",
+    "q1_fuzzy_summary": with_(BIB, "j as (select unnest(['src1', 'src3', 'src7 Springer', 'Journal of src9']) as j)", "v as (select distinct venue from bib join j on list_has_all(string_split(lower(j), ' '), string_split(lower(trim(venue)), ' ')) where venue <> '')") + "select count(*) as total, count(v.venue) as q1, count(*) - count(v.venue) as other, round(count(v.venue) * 100 / count(*)::double, 6) as percent from bib left join v using (venue)",
     "resume_anti_join": with_(BIB) + "select idx from bib where not exists (select 1 from bib d where d.idx % 5 = 0 and d.doi = bib.doi) and not exists (select 1 from bib d where d.idx % 5 = 0 and d.title = bib.title)",
     "merge_last_wins": with_(BIB) + "select title, idx, provider from bib qualify row_number() over (partition by title order by idx % 3 desc, idx desc) = 1",
     "screening_summary": with_(BIB, _REASON) + "select case when reason is null then 'pass' else 'exclude' end as decision, count(*) as records from reasons group by 1",
@@ -397,7 +400,7 @@ rank() over (order by year) + (count(*) over (partition by year) - 1) / 2.0::dou
 case when contains({_TWO}, 'idiot') then 'scope: idiot' when contains({_TWO}, 'und') then 'scope: und' when contains({_TWO}, 'the') then 'scope: the | method: the' else 'scope: no rule | method: no rule' end as screening_reason from bib""",
     "full_outer_reconcile": with_(BIB, f"want as (select distinct {_PDF} as name from bib where idx % 3 <> 0)", f"have as (select distinct {_PDF} as name from bib where idx % 4 <> 0)") + "select case when want.name is null then 'extra' when have.name is null then 'missing' else 'matched' end as status, count(*) as files from want full join have using (name) group by 1",
     "missing_files_anti": with_(BIB, f"named as (select idx, {_PDF} as name from bib)") + "select idx, name from named where name not in (select name from named where idx % 4 <> 0)",
-    "export_csv_rows": with_(BIB) + f"select coalesce(title, '') as title, coalesce(year::varchar, '') as year, array_to_string({_FULL}, '; ') as authors, coalesce(venue, '') as venue, coalesce(doi, '') as doi, coalesce(url, '') as url, coalesce(nullif(cited_by_count, 0)::varchar, '') as cited_by_count, provider_id from bib",
+    "export_csv_rows": with_(BIB) + f"select {_CSV}, '' as cluster_id from bib",
     "export_bibtex_entry": with_(BIB, _KEYS) + f"""select provider_id, '@' || {_KIND} || '{{' || cite_key || ',' || chr(10) || array_to_string(list_filter([case when title <> '' then '  title = {{' || {_tex('title')} || '}}' end,
 case when len(authors) > 0 then '  author = {{' || {_tex(f"array_to_string({_FAMILY}, ' and ')")} || '}}' end, '  year = {{' || year || '}}', case when venue <> '' then case when {_KIND} = 'inproceedings' then '  booktitle' else '  journal' end || ' = {{' || {_tex('venue')} || '}}' end,
 '  doi = {{' || doi || '}}', '  url = {{' || url || '}}', case when abstract <> '' then '  abstract = {{' || {_tex("case when length(abstract) > 50 then left(abstract, 47) || '...' else abstract end")} || '}}' end], lambda x: x is not null), ',' || chr(10)) || chr(10) || '}}' as entry from keyed""",

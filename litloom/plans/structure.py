@@ -1,115 +1,15 @@
-"""Queries of the document, source and stream operators, on the driver's tables and small inline fixtures."""
+"""Queries of chunks, vectors and events over the driver's tables."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from litloom.functions import citations, numbers, people, sections
-from litloom.operators import dedup, stats, structure
+from litloom.operators import dedup, structure
 from litloom.operators.graph import components
 from litloom.sources import normalize
 from litloom.streaming import windows
 
 
-def _rows(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    def lit(x):
-        if x is None:
-            return "null"
-        if isinstance(x, str):
-            return "'" + x.replace("'", "''") + "'"
-        if isinstance(x, (list, tuple)):
-            return "[" + ", ".join(map(lit, x)) + "]"
-        return repr(x)
-
-    return f"(values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) as fixture({names})"
-
-
-CITED = [(1, "As in [1], [2, 4] and [5-7], not [1-2,9] nor (see Figure 1, 2020) but (Doe et al., 2019)."), (2, "Nothing"), (3, "Range [3–5] (Smith, 2020), twice [3].")]
-HEADERS = [(1, "2 Materials and Methods", None), (2, "Results and Discussion", "Paper > Results and Discussion"), (3, "Thanks", ""), (4, "Conclusions", "Paper > Introduction")]
-NAMES = [(1, "Doe, John"), (2, "Jane Q. Smith"), (3, "SingleName"), (4, ""), (5, "  van Dyke,  A B ")]
-FACTS = [(1, '"98.5%"', "[]", "1"), (2, '"NR"', "{}", None), (3, None, '["a"]', "null"), (4, '"n/a "', '{"k": 1}', "true"), (5, "0.5", "3", '""')]
-TABLES = [(1, "x\n| A | B |\n|---|:-:|\n| 1 | 2  3 |\n|  | 4 |\nend\n| no | no |"), (2, "none"), (3, "| only |")]
-BOXES = [("f", p, 10.0 + p / 4, 20.0, 50.0, 60.0) for p in (1, 2, 3)] + [("f", 1, 100.0, 200.0, 300.0, 400.0), ("f", 2, 100.0, 200.0, 300.0, 400.0), ("g", 1, 10.0, 20.0, 50.0, 60.0)]
-IMAGES = [("f", 1, 290.0, 390.0, 500.0, 500.0), ("g", 2, 0.0, 0.0, 900.0, 900.0)]
-BOX = "source_file string, page_number int, x0 double, y0 double, x1 double, y1 double"
-REFERENCES = [("a.md", "Intro line\n[1] Smith, J., Doe, A. (2020). \"Deep maps\". Journal. doi: 10.1/abc.\n continued here\n2. Roe R. Old title, 1999\n3) No year entry (x)\n[1] Again, B. (2001) newer"), ("b.md", "nothing")]
-INVERTED = [(1, {"Deep": [0, 3], "maps": [1], "of": [2]}), (2, {"a": [1], "b": [0]})]
-PAPERS = [(f"p{i}", f"g{i % 3}", 10 * i) for i in range(17)]
-STRATEGIES = [("f", 1, "lines", 0, 10, 5), ("f", 1, "lines", 0, 6, 6), ("f", 1, "text", 1, 12, 9), ("f", 2, "lines", 0, 4, 4), ("f", 2, "text", 1, 4, 4)]
-PAGES = [("f", 1, "text"), ("f", 2, "## References"), ("f", 3, "[1] A"), ("g", 1, "see references below"), ("g", 2, "x")]
-
-
-def citation_numbers(spark, d):
-    return _rows(spark, CITED, "id int, text string").select("id", F.array_join(citations.citation_numbers(F.col("text")).cast("array<string>"), ",").alias("numbers"))
-
-
-def author_date_citations(spark, d):
-    return _rows(spark, CITED, "id int, text string").select("id", F.array_join(citations.author_date_citations(F.col("text")), "; ").alias("found"))
-
-
-def section_tags(spark, d):
-    return _rows(spark, HEADERS, "id int, title string, path string").select("id", F.array_join(sections.section_tags(F.col("title"), F.col("path")), ",").alias("tags"))
-
-
-def parse_author_name(spark, d):
-    return _rows(spark, NAMES, "id int, name string").select("id", people.split_name(F.col("name")).alias("a")).select("id", "a.family_name", "a.given_name")
-
-
-def field_coverage(spark, d):
-    return stats.field_coverage(_rows(spark, FACTS, "id int, accuracy string, items string, flag string"), ["accuracy", "items", "flag"])
-
-
-def value_classes(spark, d):
-    return _rows(spark, FACTS, "id int, accuracy string, items string, flag string").select("id", numbers.classify_json(F.col("accuracy")).alias("accuracy"), numbers.classify_json(F.col("items")).alias("items"))
-
-
-def table_parse(spark, d):
-    t = _rows(spark, TABLES, "id int, text string").select("id", structure.parse_markdown_table(F.col("text")).alias("t"))
-    return t.select("id", F.array_join("t.headers", ";").alias("headers"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, ";")), "/").alias("rows"))
-
-
-def stamp_filter(spark, d):
-    return structure.without_stamps(_rows(spark, BOXES, BOX))
-
-
-def bbox_anti_join(spark, d):
-    return structure.outside_images(_rows(spark, BOXES, BOX), _rows(spark, IMAGES, BOX))
-
-
-def merged_boxes(spark, d):
-    return structure.merge_boxes(_rows(spark, BOXES, BOX))
-
-
-def reference_library(spark, d):
-    return structure.reference_library(_rows(spark, REFERENCES, "source_file string, text string")).select("source_file", "number", "authors", "title", "year", "doi")
-
-
-def inverted_index_abstract(spark, d):
-    return _rows(spark, INVERTED, "id int, index map<string,array<int>>").select("id", normalize.abstract_from_index(F.col("index")).alias("abstract"))
-
-
-def batch_assign(spark, d):
-    return structure.batches(_rows(spark, PAPERS, "paper_id string, group_id string, tokens long"), 2).select("paper_id", "group_id", "batch")
-
-
-def token_plan(spark, d):
-    return structure.token_plan(structure.batches(_rows(spark, PAPERS, "paper_id string, group_id string, tokens long"), 2))
-
-
-def table_strategy(spark, d):
-    return structure.best_strategy(_rows(spark, STRATEGIES, "source_file string, page_number int, strategy string, ord int, cells int, filled int")).select("source_file", "page_number", "strategy")
-
-
-def reference_pages(spark, d):
-    return structure.flag_references(_rows(spark, PAGES, "source_file string, page_number int, text string")).select("source_file", "page_number", "is_references")
-
-
 def markdown_pages(spark, d):
     """Every page of the driver's table as a Markdown document: its tags dropped, its heading a header."""
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
@@ -125,7 +25,7 @@ def chunk_selection(spark, d):
     """Every document is a paper with a budget of its own; its chunks are tagged in turn."""
     p = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).alias("page_number"), "text").where(F.col("text").isNotNull())
     tags = F.array(*map(F.lit, ("abstract", "methods", "results", "other")))
-    part = F.col("part") + F.pmod(F.xxhash64("source_file"), F.lit(36)).cast("int")
+    part = F.col("part") + F.pmod(F.col("source_file").cast("long"), F.lit(36)).cast("int")
     chunks = structure.chunk_pages(p).select(F.col("source_file").alias("paper_id"), "id", "text", "page_number", F.array(F.element_at(tags, (part % 4 + 1).cast("int"))).alias("section_tags"), F.lit(None).cast("string").alias("section_role"), F.when(part % 9 == 0, "table").otherwise("text").alias("type"))
     return structure.select_chunks(chunks, ["abstract", "results"], 6000)
 
@@ -152,51 +52,46 @@ def event_props(spark, d):
     return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"))
 
 
-OPENALEX = {"id": "https://openalex.org/W12", "display_name": "Deep Maps", "publication_year": 2021, "ids": {"doi": "https://doi.org/10.1/ABC"}, "authorships": [{"author": {"display_name": "Ann B. Lee", "orcid": None}}], "abstract_inverted_index": {"Maps": [0], "deep": [2], "are": [1]}, "cited_by_count": 7, "primary_location": {"source": {"display_name": "J. Maps"}, "landing_page_url": "https://x.org/1"}}
-CROSSREF = {"title": ["Deep Maps"], "DOI": "10.1/ABC", "issued": {"date-parts": [[2020, 5]]}, "author": [{"family": "Lee", "given": "Ann"}], "container-title": ["Map Journal"], "URL": "https://doi.org/10.1/abc", "is-referenced-by-count": 3}
-
-
-def provider_records(spark, d):
-    a = normalize.openalex(_rows(spark, [(json.dumps(OPENALEX),), ('{"id": "no title"}',)], "raw string"))
-    b = normalize.crossref(_rows(spark, [(json.dumps(CROSSREF),)], "raw string"))
-    both = a.unionByName(b)
-    return both.select("provider", "title", "year", "abstract", "venue", "url", "cited_by_count", F.col("external_ids.doi").alias("doi"), F.col("external_ids.openalex_id").alias("openalex_id"), people.listed(F.col("authors")).alias("authors"))
 
 
-QUERIES = {f.__name__: f for f in (
-    citation_numbers, author_date_citations, section_tags, parse_author_name, field_coverage, value_classes, table_parse, stamp_filter, bbox_anti_join, merged_boxes, reference_library,
-    inverted_index_abstract, batch_assign, token_plan, table_strategy, reference_pages, chunk_documents, chunk_selection, semantic_pairs, semantic_clusters, rate_window_counts, event_props, provider_records,
-)}
+QUERIES = {f.__name__: f for f in (chunk_documents, chunk_selection, semantic_pairs, semantic_clusters, rate_window_counts, event_props)}
 
 _NAME = "trim(regexp_replace(name, '\\s+', ' ', 'g'))"
 _CLASS = "case when {0} is null or {0} = 'null' then 'missing' when {0}[1] = '\"' and lower(trim(replace({0}, '\"', ''))) in ('nr', 'n/a', 'na', 'none', 'null', '') then 'nr' when {0} = '[]' then 'empty_list' when {0} = '{{}}' then 'empty_object' else 'value' end"
-_FACTS = _values(FACTS, "id, accuracy, items, flag")
 _COUNT = "count(*) filter (class = '{0}') as {0}"
 _VECTORS = """v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings)"""
 _PAIRS = "pairs as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id and list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.92)"
-_BOX = _values(BOXES, "source_file, page_number, x0, y0, x1, y1")
+
+
+def _chunk_sql(texts: str, limit: int) -> str:
+    """CTEs that end in chunks(f, section, level, path, part, total, t); texts: a query of f and t."""
+    strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    return f"""texts as ({texts}),
+lines as (select f, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as n from texts),
+headed as (select *, regexp_matches(line, '^#{{1,6}}\\s+.+$') as h from lines),
+numbered as (select *, sum(h::int) over (partition by f order by n) as s from headed),
+sections as (select f, s, coalesce(max({strip.format("regexp_extract(line, '^#{1,6}[ \\t]+(.+)$', 1)")}) filter (h), '') as section, coalesce(max(length(regexp_extract(line, '^(#{{1,6}})\\s', 1))) filter (h), 0)::int as level, coalesce(string_agg(line, chr(10) order by n) filter (not h), '') as body from numbered group by f, s),
+blocks as (select f, s, list_filter(list_transform(regexp_split_to_array(body, '\\n\\s*\\n'), lambda b: {strip.format('b')}), lambda b: b <> '') as b from sections),
+packed(f, s, i, part, t) as (select f, s, 1, 1, b[1] from blocks where len(b) > 0 union all
+select p.f, p.s, i + 1, case when length(p.t) + 2 + length(b[i + 1]) <= {limit} then part else part + 1 end, case when length(p.t) + 2 + length(b[i + 1]) <= {limit} then p.t || chr(10) || chr(10) || b[i + 1] else b[i + 1] end
+from packed p join blocks using (f, s) where i < len(b)),
+parts as (select f, s, part, arg_max(t, i) as t from packed group by f, s, part),
+chunks as (select f, section, level, part, count(*) over (partition by f, s) as total, t, s from parts join sections using (f, s))"""
+
+
+_MARKDOWN = "select page_id::varchar as f, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<h1[^>]*>', chr(10) || '# ', 'g'), '</p>|</h1>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g') as t from pages"
+_HEAD = "lower(trim(regexp_replace(left(t, 400), '\\s+', ' ', 'g')))"
+_TAG = "(['abstract', 'methods', 'results', 'other'])[(part + f::bigint % 36) % 4 + 1]"
+_CHOSEN = f"""tried as (select f, left(sha256(concat_ws('::', concat_ws('|', f, section, part::varchar), t)), 16) as id, greatest(1, length(t) // 4)::bigint as tokens, case when {_TAG} = 'abstract' or contains({_HEAD}, 'abstract') then 0
+when {_TAG} = 'results' or contains({_HEAD}, 'results') or contains({_HEAD}, 'evaluation') or contains({_HEAD}, 'experiments') or contains({_HEAD}, 'performance') then 1 when (part + f::bigint % 36) % 9 = 0 then 2 end as rank from chunks),
+ordered as (select *, row_number() over (partition by f order by rank, id) as n from tried where rank is not null),
+walk(f, n, left_, taken) as (select f, n, 6000 - case when tokens <= 6000 then tokens else 0 end, tokens <= 6000 from ordered where n = 1 union all select o.f, o.n, left_ - case when o.tokens <= left_ then o.tokens else 0 end, o.tokens <= left_ from walk w join ordered o on o.f = w.f and o.n = w.n + 1)"""
 
 SQL = {
-    "citation_numbers": "select * from (values (1, '1,2,4,5,6,7'), (2, ''), (3, '3,4,5')) as t(id, numbers)",
-    "author_date_citations": "select * from (values (1, 'Doe et al., 2019'), (2, ''), (3, 'Smith, 2020')) as t(id, found)",
-    "section_tags": "select * from (values (1, 'methods'), (2, 'results,discussion'), (3, ''), (4, 'introduction,conclusion')) as t(id, tags)",
-    "parse_author_name": f"""select id, case when {_NAME} = '' then 'Unknown' when contains({_NAME}, ',') then trim(split_part({_NAME}, ',', 1)) else regexp_extract({_NAME}, '(\\S*)$', 1) end as family_name,
-nullif(case when contains({_NAME}, ',') then trim(split_part({_NAME}, ',', 2)) else regexp_extract({_NAME}, '^(.*)\\s\\S+$', 1) end, '') as given_name from {_values(NAMES, 'id, name')}""",
-    "field_coverage": f"select field, {', '.join(_COUNT.format(c) for c in ('value', 'nr', 'empty_list', 'empty_object', 'missing'))} from (select field, {_CLASS.format('v')} as class from (select 'accuracy' as field, accuracy as v from {_FACTS} union all select 'items', items from {_FACTS} union all select 'flag', flag from {_FACTS})) group by field",
-    "value_classes": f"select id, {_CLASS.format('accuracy')} as accuracy, {_CLASS.format('items')} as items from {_FACTS}",
-    "table_parse": "select * from (values (1, 'A;B', '1;2 3/;4'), (2, null, ''), (3, 'only', '')) as t(id, headers, rows)",
-    "stamp_filter": f"""with b as (select *, round_even(x0 / 10, 0) as kx0, round_even(y0 / 10, 0) as ky0, round_even(x1 / 10, 0) as kx1, round_even(y1 / 10, 0) as ky1 from {_BOX})
-select source_file, page_number, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from b where (source_file, kx0, ky0, kx1, ky1) not in (select source_file, kx0, ky0, kx1, ky1 from b group by all having count(distinct page_number) >= 3)""",
-    "bbox_anti_join": f"""select b.source_file, b.page_number, b.x0::double as x0, b.y0::double as y0, b.x1::double as x1, b.y1::double as y1 from (select * from {_BOX}) b where not exists (select 1 from (select * from {_values(IMAGES, 'source_file, page_number, x0, y0, x1, y1')}) i
-where i.source_file = b.source_file and i.page_number = b.page_number and not (b.x1 < i.x0 or b.x0 > i.x1 or b.y1 < i.y0 or b.y0 > i.y1))""",
-    "inverted_index_abstract": "select * from (values (1, 'Deep maps of Deep'), (2, 'b a')) as t(id, abstract)",
-    "batch_assign": f"select paper_id, group_id, ((row_number() over (partition by group_id order by paper_id) - 1) // 2)::bigint as batch from {_values(PAPERS, 'paper_id, group_id, tokens')}",
-    "token_plan": f"select group_id, count(distinct batch) as batches, count(distinct paper_id) as papers, sum(tokens)::bigint as tokens, avg(tokens) as mean_tokens from (select *, (row_number() over (partition by group_id order by paper_id) - 1) // 2 as batch from {_values(PAPERS, 'paper_id, group_id, tokens')}) group by group_id",
-    "table_strategy": f"select source_file, page_number, arg_max(strategy, struct_pack(s := score, o := -ord)) as strategy from (select source_file, page_number, strategy, ord, sum(cells * (filled / cells) * (filled / cells)) as score from {_values(STRATEGIES, 'source_file, page_number, strategy, ord, cells, filled')} group by all) group by 1, 2",
-    "reference_pages": f"select source_file, page_number, bool_or(regexp_matches(text, '^\\s*(#{{1,6}}\\s*)?references\\s*$', 'i')) over (partition by source_file order by page_number) as is_references from {_values(PAGES, 'source_file, page_number, text')}",
+    "chunk_documents": f"with recursive {_chunk_sql(_MARKDOWN, 1000)} select f as source_file, section, level as header_level, part, total::int as total_parts, length(t)::int as chars from chunks",
+    "chunk_selection": f"with recursive {_chunk_sql('select doc_id::varchar as f, text as t from documents where text is not null', 4000)}, {_CHOSEN} select f as paper_id, id, (row_number() over (partition by f order by n))::int as ord, tokens from walk join ordered using (f, n) where taken",
     "semantic_pairs": f"with {_VECTORS}, {_PAIRS} select a, b from pairs",
     "semantic_clusters": f"with recursive {_VECTORS}, {_PAIRS}, both_ways as (select a, b from pairs union select b, a from pairs), reach(n, l) as (select vec_id, vec_id from v union select e.b, r.l from reach r join both_ways e on r.n = e.a) select n as idx, min(l) as component from reach group by n",
     "rate_window_counts": """select s as window_start, event_type, count(*) as requests from (select event_type, unnest([time_bucket(interval '1800 seconds', ts), time_bucket(interval '1800 seconds', ts) - interval '1800 seconds']) as s from events) group by all""",
     "event_props": "select event_type, count(k) as n, sum(k)::bigint as total, min(k) as low, max(k) as high from (select event_type, try_cast(json_extract(props, '$.k') as bigint) as k from events) group by event_type",
-    "provider_records": "select * from (values ('openalex', 'Deep Maps', 2021, 'Maps are deep', 'J. Maps', 'https://x.org/1', 7, '10.1/abc', 'W12', 'Ann B. Lee'), ('crossref', 'Deep Maps', 2020, null, 'Map Journal', 'https://doi.org/10.1/abc', 3, '10.1/abc', null, 'Ann Lee')) as t(provider, title, year, abstract, venue, url, cited_by_count, doi, openalex_id, authors)",
 }

@@ -105,6 +105,9 @@ def arxiv(df: DataFrame) -> DataFrame:
 ARXIV_ROWS = "id string, title string, summary string, published string, author array<struct<name:string>>, doi string, category string"
 
 
+PUBMED_AUTHORS = "Author array<struct<LastName:string,ForeName:string,Initials:string,CollectiveName:string>>"
+
+
 def pubmed(df: DataFrame) -> DataFrame:
     """raw: one PubmedArticle element as XML text."""
     x = lambda path: F.expr(f"xpath_string(raw, '{path}')")
@@ -112,7 +115,9 @@ def pubmed(df: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(c, F.lit(""))
     year = F.coalesce(text(x("//PubDate/Year")).try_cast("int"), medline_year(x("//PubDate/MedlineDate")))
     doi = F.coalesce(text(x('//ELocationID[@EIdType="doi"]')), text(x('//ArticleIdList/ArticleId[@IdType="doi"]')))
-    people = F.zip_with(some("//AuthorList/Author/LastName/text()"), some("//AuthorList/Author/ForeName/text()"), lambda f, g: F.struct(F.coalesce(f, F.lit("Unknown")).alias("family_name"), g.alias("given_name"), F.lit(None).cast("string").alias("orcid")))
+    people = F.from_xml(F.concat(F.lit("<list>"), F.coalesce(F.nullif(F.regexp_extract("raw", r"(?s)<AuthorList[^>]*>(.*?)</AuthorList>", 1), F.lit("")), F.lit("<none/>")), F.lit("</list>")), F.lit(PUBMED_AUTHORS))["Author"]
+    name = F.coalesce  # each author's own parts: a missing first name shifts nothing
+    people = F.transform(F.coalesce(people, F.array().cast(PUBMED_AUTHORS.removeprefix("Author "))), lambda a: F.struct(name(a["LastName"], a["CollectiveName"], F.lit("Unknown")).alias("family_name"), name(a["ForeName"], a["Initials"]).alias("given_name"), F.lit(None).cast("string").alias("orcid")))
     pmid = text(x("//MedlineCitation/PMID"))
     return _record(df, "pubmed", title=text(x("//ArticleTitle")), year=year, provider_id=F.coalesce(pmid, F.lit("")), external_ids=_ids(doi=ids.normalize_doi(doi), pubmed=pmid), abstract=text(F.array_join(some("//AbstractText/text()"), " ")), authors=people, venue=text(x("//Journal/Title")), url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")))
 

@@ -31,6 +31,10 @@ def plain(x):
     return x
 
 
+#: Spark's names of types that SQL's may differ from only in spelling.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def rows(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=str)
@@ -44,6 +48,10 @@ def compare(spark, query, sql, folder, db) -> str:
     want = rows(rel.columns, rel.fetchall())
     if sorted(df.columns) != sorted(rel.columns):
         return f"columns {sorted(df.columns)} and {sorted(rel.columns)}"
+    kinds = dict(zip(rel.columns, map(str, rel.types)))
+    odd = {c: (t, kinds[c]) for c, t in df.dtypes if t in TYPES and kinds[c] != TYPES[t] and kinds[c] in TYPES.values()}
+    if odd:
+        return f"types {odd}"
     if got != want:
         odd = [(a, b) for a, b in zip(got, want) if a != b][:1]
         return f"{len(got)} and {len(want)} rows; {str(odd)[:600]}"
