@@ -1,25 +1,7 @@
-import pytest
-
-from litloom.plans import catalogue, corpus
+from litloom.plans import corpus
 from litloom.plans.bib import documents
-from tests.oracle import compare, connect
-
-FOLDER = "/root/testdata/sf0.001"
-#: The registered SQL cuts at these two places; the results to match here are those of the same SQL over whole texts.
-CUTS = {"left(text, 5000) as abstract": "text as abstract", "left(split_part(coalesce(text, ''), chr(10), 1), 200)": "split_part(coalesce(text, ''), chr(10), 1)"}
-NAMES = "dsl_boolean_search dsl_field_search quality_filter heuristic_screen heuristic_screen_reason screening_summary layered_screening prisma_counts dedup_golden_record dedup_fuzzy_candidates export_ris_entry screening_prompts normalize_title".split()
-
-
-def whole(sql):
-    for a, b in CUTS.items():
-        sql = sql.replace(a, b)
-    return sql
 
 
-@pytest.fixture(scope="module")
-def db():
-    return connect(FOLDER)
-
 
 def test_texts_and_first_lines_are_whole(spark, tmp_path):
     text = "head " * 60 + "end\n" + "filler " * 900 + "idiot"
@@ -28,9 +10,3 @@ def test_texts_and_first_lines_are_whole(spark, tmp_path):
     assert (a.title, a.abstract) == (text.split("\n")[0], text) and (b.title, b.abstract) == ("", None)
     reason = {r.idx: r.reason for r in corpus.heuristic_screen_reason(spark, tmp_path).collect()}
     assert reason[1] == "Matched exclude pattern: idiot"
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_query_over_whole_texts(spark, db, name):
-    sql = catalogue.oracle_sql()[name]
-    assert compare(spark, catalogue.queries()[name], whole(sql), FOLDER, db) == ""
