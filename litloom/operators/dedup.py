@@ -244,14 +244,22 @@ def cluster_confidence(dois: Column, arxiv_ids: Column) -> Column:
     return F.when((F.size(dois) == 1) | ((F.size(dois) == 0) & (F.size(arxiv_ids) == 1)), F.lit(1.0)).otherwise(F.lit(0.95))
 
 
-def assemble(clustered: DataFrame) -> DataFrame:
-    """The nested form of the clusters: members in input order, distinct identifiers in order, counts by provider."""
+def assemble(clustered: DataFrame, members: bool = True) -> DataFrame:
+    """The nested form of the clusters: members in input order, distinct identifiers in order, counts by provider.
+
+    Identifiers and providers are counted before they are gathered, so a cluster of very many
+    copies gathers its different values alone; its members are gathered only if asked for.
+    """
     per = clustered.groupBy("cluster_id", "provider").agg(F.count("*").alias("n"))
-    counts = per.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "n")))).alias("provider_counts"))
-    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(truthy(F.col(c)), F.struct("idx", F.col(c).alias("v"))))), lambda x: x["v"]))
-    members = F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: x["title"])
-    out = clustered.groupBy("cluster_id").agg(members.alias("members"), ordered("doi").alias("all_dois"), ordered("arxiv_id").alias("all_arxiv_ids"), F.count("*").alias("size"))
-    return out.join(counts, "cluster_id").withColumn("confidence", cluster_confidence(F.col("all_dois"), F.col("all_arxiv_ids")))
+    out = per.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "n")))).alias("provider_counts"), F.sum("n").alias("size"))
+    for c, name in (("doi", "all_dois"), ("arxiv_id", "all_arxiv_ids")):
+        own = clustered.where(truthy(F.col(c))).groupBy("cluster_id", c).agg(F.min("idx").alias("i"))
+        own = own.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(c).alias("v")))), lambda x: x["v"]).alias(name))
+        out = out.join(own, "cluster_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    if members:
+        titles = F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: x["title"])
+        out = out.join(clustered.groupBy("cluster_id").agg(titles.alias("members")), "cluster_id")
+    return out.withColumn("confidence", cluster_confidence(F.col("all_dois"), F.col("all_arxiv_ids")))
 
 
 def statistics(clustered: DataFrame) -> DataFrame:

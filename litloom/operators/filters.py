@@ -86,3 +86,8 @@ def first_by_key(docs: DataFrame, key: str, order: str = "idx") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
     named = docs.where(F.col(key).isNotNull()).withColumn("__n", rank).where("__n = 1").drop("__n")
     return named.unionByName(docs.where(F.col(key).isNull()))
+
+
+def decided(docs: DataFrame, *decisions: str) -> DataFrame:
+    """Records with one of the decisions of a screening: include and maybe for ranking, include alone for what costs more."""
+    return docs.where(F.col("decision").isin(*(decisions or ("include",))))

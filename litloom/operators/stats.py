@@ -92,3 +92,10 @@ def prisma_counts(before: DataFrame, filtered: DataFrame, clustered: DataFrame)
     sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("unique_documents"), F.count_if(F.col("n") == 1).alias("singleton_clusters"))
     out = total.crossJoin(kept).crossJoin(sizes)  # three single rows
     return out.withColumn("duplicates_removed", F.col("after_filter") - F.col("unique_documents"))
+
+
+def prisma_by_provider(before: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Of each provider: records identified, left by the filters, and first of their cluster."""
+    total = before.groupBy("provider").agg(F.count("*").alias("identified"))
+    kept = clustered.groupBy("provider").agg(F.count("*").alias("after_filter"), F.count_if(F.col("idx") == F.col("label")).alias("unique_documents"))
+    return total.join(kept, "provider", "left").na.fill(0, ["after_filter", "unique_documents"])

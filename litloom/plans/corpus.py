@@ -102,7 +102,7 @@ def dedup_golden_record(spark, d):
 
 
 def dedup_assembled(spark, d):
-    return dedup.assemble(_exact(spark, d)).select("cluster_id", *exports.cluster_row())
+    return dedup.assemble(_exact(spark, d), members=False).select("cluster_id", *exports.cluster_row())
 
 
 def dedup_statistics(spark, d):
@@ -279,8 +279,22 @@ def pdf_sources(spark, d):
     return providers.pdf_candidates(documents(spark, d)).select("idx", "pdf_url", "pdf_source")
 
 
+def prisma_by_provider(spark, d):
+    """The flow of each provider's records: identified, after the filter, in clusters of their own provider's first."""
+    docs = documents(spark, d)
+    kept = filters.quality_filter(docs, queries(spark))
+    return stats.prisma_by_provider(docs, dedup.clusters(kept, dedup.exact_edges(dedup.prepared(kept)).select("a", "b")))
+
+
+def relevant_venues(spark, d):
+    """Leading journals among the records that screening has not excluded."""
+    decided = filters.heuristic_reasons(documents(spark, d), exclude=EXCLUDE, groups=GROUPS).withColumn("decision", F.when(F.col("decision") == "pass", F.when(F.col("idx") % 2 == 0, "include").otherwise("maybe")).otherwise("exclude"))
+    ranked = ranking.rank_venues(filters.decided(decided, "include", "maybe"), JOURNALS, fuzzy=False)
+    return stats.top_by(ranked.withColumn("q1", F.col("is_q1").cast("string")), "q1", "venue", 5).select("q1", "venue", "records", F.col("rank").cast("bigint").alias("rank"))
+
+
 QUERIES = {f.__name__: f for f in (
-    cluster_mapping, screening_prompts, model_frequencies, accuracy_quartiles, synthesis_contexts, merged_facts, pdf_sources,
+    prisma_by_provider, relevant_venues, cluster_mapping, screening_prompts, model_frequencies, accuracy_quartiles, synthesis_contexts, merged_facts, pdf_sources,
     dsl_flagship, dsl_boolean_search, dsl_field_search, quality_filter, heuristic_screen, heuristic_screen_reason, normalize_title, normalize_doi, text_year, parse_number, extract_accuracy,
     dedup_exact_edges, dedup_exact_clusters, dedup_fuzzy_candidates, dedup_fuzzy_clusters, dedup_golden_record, dedup_assembled, dedup_statistics, cluster_size_histogram, match_type_counts,
     prisma_counts, validation_profile, duplicate_titles, year_distribution, provider_totals, top_venues, top_venues_by_provider, max_results_per_group, distinct_by_key, export_filter,
@@ -375,6 +389,8 @@ round((sum(n) - count(*)) / sum(n)::double, 6) as duplicate_rate from (select co
 pair as (select a.doi as d1, b.doi as d2, a.arxiv_id as x1, b.arxiv_id as x2 from two a join two b on a.cluster_id = b.cluster_id and a.n = 1 and b.n = 2)
 select case when d1 = d2 then 'exact_doi' when x1 = x2 then 'exact_arxiv' else 'fuzzy' end as match_type, count(*) as clusters from pair group by 1""",
     "prisma_counts": with_(BIB, ASKED, _KEPT, _EXACT_EDGES.replace("from bib", "from kept"), CLOSURE, "sizes as (select count(*) as n from labels group by label)", recursive=True) + """select (select count(*) from bib) as identified, (select count(*) from kept) as after_filter, count(*) as unique_documents, count(*) filter (n = 1) as singleton_clusters, (select count(*) from kept) - count(*) as duplicates_removed from sizes""",
+    "prisma_by_provider": with_(BIB, ASKED, _KEPT, _EXACT_EDGES.replace("from bib", "from kept"), CLOSURE, recursive=True) + """select provider, count(*) as identified, count(l.n) as after_filter, count(*) filter (l.n = l.label) as unique_documents from bib left join labels l on l.n = idx group by provider""",
+    "relevant_venues": with_(BIB, _REASON) + "select q1, venue, records, rank from (select (lower(venue) in ('src1', 'src3'))::varchar as q1, venue, count(*) as records, row_number() over (partition by lower(venue) in ('src1', 'src3') order by count(*) desc, venue) as rank from bib join reasons using (idx) where reason is null group by venue) where rank <= 5",
     "validation_profile": with_(BIB) + """select count(*) as total, count(doi) as with_doi, count(*) filter (abstract <> '') as with_abstract, count(arxiv_id) as with_arxiv_id, count(*) filter (venue <> '') as with_venue, count(url) as with_url, count(*) filter (len(authors) > 0) as with_authors,
 count(*) filter (coalesce(title, '') = '') as missing_title, count(*) filter (year is null) as missing_year, count(*) filter (doi not like '10.%') as invalid_doi, min(year) as min_year, max(year) as max_year from bib""",
     "duplicate_titles": with_(BIB) + "select lower(trim(title)) as title, count(*) as records from bib where title <> '' group by 1 having count(*) > 1",

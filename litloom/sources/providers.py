@@ -1,61 +1,82 @@
-"""Searches as a Python data source over saved responses, with the guards a live client needs.
+"""Searches over saved responses by Spark's readers, with the guards a live client needs.
 
-spark.dataSource.register(SavedResponses); then
-spark.read.format("saved_responses").option("path", dir).option("provider", "openalex").load()
-gives raw records, one partition for each saved page.  A live client has the same reader with
-pages fetched through `Guard`; none is built in, as the engine makes no network calls.
+saved(spark, path, "openalex") gives raw records for the provider's normaliser; records() gives
+them normalised, once for each identifier and capped.  A live client fetches pages with
+`guarded` calls and saves them in the same form; none is built in, as the engine makes no
+network calls.
 """
 
 from __future__ import annotations
 
-import json
+import shutil
 import time
 from collections import deque
 from collections.abc import Callable
-from glob import glob
+from functools import wraps
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from litloom.errors import NetworkError, ProviderConfigError, ProviderNotFoundError, RateLimitError
+from litloom.errors import AuthenticationError, NetworkError, ProviderConfigError, ProviderError, ProviderNotFoundError, RateLimitError
 from litloom.sources.normalize import NORMALIZERS
 
-#: Where each provider's response holds its records.
-RECORDS = {"openalex": ("results",), "crossref": ("message", "items"), "s2": ("data",), "semantic_scholar": ("data",), "doaj": ("results",), "core": ("results",), "ieee": ("articles",)}
+#: Where each provider's JSON response holds its records.
+RECORDS = {"openalex": "results", "crossref": "message.items", "s2": "data", "semantic_scholar": "data", "doaj": "results", "core": "results", "ieee": "articles"}
 #: Requests a second.
 RATES = {"openalex": 5, "crossref": 1, "arxiv": 0.5, "pubmed": 3, "doaj": 2, "core": 1, "ieee": 1, "s2": 1}
+#: An entry of an Atom feed; namespaces are left out.
+ENTRY = "id string, title string, summary string, published string, author array<struct<name:string>>, doi string, primary_category struct<_term:string>"
+ARTICLE = r"(?s)<PubmedArticle[ >].*?</PubmedArticle>"
 
 
-class SavedResponses(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "saved_responses"
+def saved(spark: SparkSession, path: str, provider: str, query_id: str = "") -> DataFrame:
+    """query_id, provider, page and the raw records of saved pages, in the form that the provider's normaliser takes.
 
-    def schema(self) -> str:
-        return "provider string, query_id string, page string, raw string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.provider = options.get("provider", "")
-        if self.provider not in RECORDS:
-            raise ProviderNotFoundError(f"unknown provider {self.provider!r}")
-        self.path, self.query = options["path"], options.get("query_id", "")
-
-    def partitions(self):
-        return [InputPartition(p) for p in sorted(glob(f"{self.path}/*.json"))] or [InputPartition(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        with open(partition.value, encoding="utf-8") as f:
-            found = json.load(f)
-        for key in RECORDS[self.provider]:
-            found = (found or {}).get(key) or []
-        for record in found:
-            yield self.provider, self.query, partition.value.rpartition("/")[2], json.dumps(record)
+    Pages are files of one response each; any path that Spark reads will do, wildcards included.
+    """
+    if provider not in NORMALIZERS:
+        raise ProviderNotFoundError(f"unknown provider {provider!r}")
+    told = [F.lit(query_id).alias("query_id"), F.lit(provider).alias("provider"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("page")]
+    if provider == "arxiv":
+        rows = spark.read.schema(ENTRY).option("rowTag", "entry").option("ignoreNamespace", True).xml(path)
+        return rows.select(*told, "id", "title", "summary", "published", "author", "doi", F.col("primary_category._term").alias("category"))
+    text = spark.read.text(path, wholetext=True)
+    if provider == "pubmed":
+        return text.select(*told, F.explode(F.regexp_extract_all("value", F.lit(ARTICLE), 0)).alias("raw"))
+    found = F.try_variant_get(F.try_parse_json("value"), f"$.{RECORDS[provider]}", "array<variant>")
+    return text.select(*told, F.explode(found).alias("v")).select("query_id", "provider", "page", F.to_json("v").alias("raw"))
+
+
+def records(spark: SparkSession, path: str, provider: str, query_id: str = "", most: int | None = None) -> DataFrame:
+    """Normalised records of saved pages: of one identifier the first, and `most` at the most."""
+    from litloom.operators.runs import collected
+
+    rows = normalizer(provider)(saved(spark, path, provider, query_id))
+    rows = rows.withColumns({"query_id": F.lit(query_id), "doi": F.col("external_ids.doi"), "idx": F.monotonically_increasing_id()})
+    return collected(rows, most).drop("doi", "idx")
+
+
+def error_for(status: int, retry_after: float | None = None) -> ProviderError | None:
+    """The error that an answer's status stands for; none for a good one."""
+    if status < 400:
+        return None
+    if status == 429:
+        return RateLimitError("too many requests", status=status, retry_after=retry_after)
+    if status in (401, 403):
+        return AuthenticationError("access refused", status=status)
+    if status >= 500:
+        return NetworkError("the provider failed", status=status)
+    return ProviderError(f"request refused with status {status}", status=status)
+
+
+def headers(provider: str, key: str | None = None, email: str | None = None) -> dict[str, str]:
+    """Request headers: who asks, and the key where the provider takes it as a header."""
+    out = {"User-Agent": f"litloom ({email})" if email else "litloom", "Accept": "application/json"}
+    if key and provider in ("s2", "semantic_scholar"):
+        out["x-api-key"] = key
+    if key and provider == "core":
+        out["Authorization"] = f"Bearer {key}"
+    return out
 
 
 def normalizer(provider: str):
@@ -106,6 +127,63 @@ class SlidingWindow:
         return True
 
 
+def limited(bucket: TokenBucket, sleep: Callable[[float], None] = time.sleep):
+    """A decorator: each call first waits for a token."""
+
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def run(*args, **kwargs):
+            while not bucket.consume():
+                sleep(bucket.wait_time())
+            return f(*args, **kwargs)
+
+        return run
+
+    return wrap
+
+
+def guarded(f: Callable, provider: str, tries: int = 3, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Callable:
+    """f(...) -> (status, body), at the provider's rate, its bad answers as errors, some of them tried again."""
+    bucket = TokenBucket(RATES.get(provider, 1), clock=clock)
+
+    def once(*args, **kwargs):
+        status, body = f(*args, **kwargs)
+        error = error_for(status)
+        if error is not None:
+            raise error
+        return body
+
+    return with_retries(limited(bucket, sleep)(once), tries, sleep=sleep)
+
+
+def pages(fetch: Callable[[str | None], tuple[list, str | None]], most: int | None = None) -> list:
+    """All records of a paged search: fetch(cursor) gives a page and the next cursor, none at the end."""
+    out, cursor = [], None
+    while most is None or len(out) < most:
+        rows, cursor = fetch(cursor)
+        out += rows
+        if not rows or cursor is None:
+            break
+    return out if most is None else out[:most]
+
+
+def download(fetch: Callable[[], tuple[bytes, str]], tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """A PDF: what is none, or a web page, counts as a failed try."""
+
+    def once() -> bytes:
+        content, kind = fetch()
+        if not content.startswith(b"%PDF") or (kind or "").lower().startswith("text/html"):
+            raise NetworkError("no PDF", content_type=kind)
+        return content
+
+    return with_retries(once, tries, sleep=sleep)()
+
+
+def tool(*names: str) -> str | None:
+    """Path of the first of some programs that this machine has, such as one that recognises text."""
+    return next(filter(None, map(shutil.which, names)), None)
+
+
 def with_retries(f: Callable, tries: int = 3, first: float = 1.0, factor: float = 2.0, on: tuple = (NetworkError, RateLimitError), sleep: Callable[[float], None] = time.sleep):
     """Calls f until it works; waits first, first * factor, ... between tries, or as long as the error asks."""
 
@@ -123,8 +201,6 @@ def with_retries(f: Callable, tries: int = 3, first: float = 1.0, factor: float
 
 def pdf_candidates(docs):
     """docs with pdf_url and pdf_source: the record's own PDF link, else arXiv, else the resolvers by DOI, in this order."""
-    from pyspark.sql import functions as F
-
     direct = F.when(F.lower("url").rlike(r"\.pdf($|\?)"), F.col("url"))
     arxiv = F.when(F.coalesce("arxiv_id", F.lit("")) != "", F.concat(F.lit("https://arxiv.org/pdf/"), F.col("arxiv_id"), F.lit(".pdf")))
     doi = F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("https://doi.org/"), F.col("doi")))
@@ -133,6 +209,4 @@ def pdf_candidates(docs):
 
 
 def is_pdf(content, content_type):
-    from pyspark.sql import functions as F
-
     return (F.substring(content, 1, 4) == F.lit(b"%PDF")) & ~F.coalesce(F.startswith(F.lower(content_type), F.lit("text/html")), F.lit(False))

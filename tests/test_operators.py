@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from litloom.errors import AuthenticationError, NetworkError, ProviderError
 from litloom.functions.similarity import ratio
 from litloom.operators import dedup, ranking, screening, structure
 from litloom.sinks import exports
@@ -117,10 +118,44 @@ def test_queries_file():
 
 def test_saved_responses(spark, tmp_path):
     (tmp_path / "p1.json").write_text(json.dumps({"results": [{"id": "https://openalex.org/W5", "display_name": "T", "publication_year": 2020}, {"id": "x"}]}))
-    spark.dataSource.register(providers.SavedResponses)
-    raw = spark.read.format("saved_responses").option("path", str(tmp_path)).option("provider", "openalex").load()
-    got = providers.normalizer("openalex")(raw).collect()
+    got = providers.normalizer("openalex")(providers.saved(spark, f"{tmp_path}/p*.json", "openalex")).collect()
     assert [(r.title, r.year, r.external_ids.openalex_id, r.provider_id) for r in got] == [("T", 2020, "W5", "W5")]
+    (tmp_path / "c.json").write_text(json.dumps({"message": {"items": [{"title": [f"C{i % 3}"], "DOI": f"10.1/{i % 3}"} for i in range(9)]}}))
+    assert sorted(r.title for r in providers.records(spark, f"{tmp_path}/c.json", "crossref").collect()) == ["C0", "C1", "C2"]
+    assert providers.records(spark, f"{tmp_path}/c.json", "crossref", most=2).count() == 2
+    entry = '<entry><id>http://arxiv.org/abs/2301.{0}v1</id><title>T {0}</title><summary>s</summary><published>2023-01-0{0}T00:00:00Z</published><author><name>A B</name></author><author><name>C D</name></author><arxiv:doi>10.1/{0}</arxiv:doi><arxiv:primary_category term="cs.CV"/></entry>'
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">' + "".join(entry.format(i) for i in (1, 2, 2)) + "</feed>")
+    got = sorted(providers.records(spark, f"{tmp_path}/a.xml", "arxiv", "Q1").collect(), key=lambda r: r.title)
+    assert [(r.title, r.external_ids.arxiv_id, r.external_ids.doi, r.venue, len(r.authors), r.query_id) for r in got] == [(f"T {i}", f"2301.{i}", f"10.1/{i}", "arXiv (cs.CV)", 2, "Q1") for i in (1, 2)]
+    (tmp_path / "p.xml").write_text("<PubmedArticleSet>" + "".join(f"<PubmedArticle><MedlineCitation><PMID>{i}</PMID><Article><ArticleTitle>P{i}</ArticleTitle></Article></MedlineCitation></PubmedArticle>" for i in (4, 5)) + "</PubmedArticleSet>")
+    assert sorted((r.title, r.provider_id) for r in providers.records(spark, f"{tmp_path}/p.xml", "pubmed").collect()) == [("P4", "4"), ("P5", "5")]
+
+
+def test_guards_of_a_client():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    answers = iter([(503, None), (429, None), (200, "body"), (401, None)])
+    ask = providers.guarded(lambda: next(answers), "crossref", sleep=sleep, clock=lambda: now[0])
+    assert ask() == "body" and slept[:2] == [1.0, 2.0]
+    with pytest.raises(AuthenticationError):
+        ask()
+    assert providers.error_for(200) is None and isinstance(providers.error_for(404), ProviderError)
+    calls = []
+    fast = providers.limited(providers.TokenBucket(2, 1, clock=lambda: now[0]), sleep)(lambda: calls.append(now[0]))
+    for _ in range(3):
+        fast()
+    assert calls[2] - calls[0] >= 1.0
+    book = {None: ([1, 2], "x"), "x": ([3, 4], "y"), "y": ([5], None)}
+    assert providers.pages(book.get) == [1, 2, 3, 4, 5] and providers.pages(book.get, 3) == [1, 2, 3]
+    tries = iter([(b"<html>", "text/html"), (b"%PDF-1", "application/pdf")])
+    assert providers.download(lambda: next(tries), sleep=sleep) == b"%PDF-1"
+    with pytest.raises(NetworkError):
+        providers.download(lambda: (b"%PDF", "text/html; charset=x"), tries=2, sleep=sleep)
+    assert providers.headers("core", "k")["Authorization"] == "Bearer k" and providers.tool("no-such-program") is None
 
 
 def test_other_providers(spark):
