@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litloom.llm.workers import small_batches
-from litloom.operators.graph import components, cut, ensure_checkpoint_dir
+from litloom.operators.graph import components, cut, ensure_checkpoint_dir, free
 
-__all__ = ["NULL_ID", "components", "cut", "local_roots", "partitions_for", "table", "text_of", "with_node", "written"]
+__all__ = ["NULL_ID", "components", "cut", "free", "local_roots", "partitions_for", "table", "text_of", "with_node", "written"]
 
 #: Stands for a null id where ids are compared: nulls come first.
 NULL_ID = -(2**63)
@@ -56,10 +56,17 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes a frame as Parquet into the shared checkpoint folder and reads it again."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes a frame as Parquet into the shared checkpoint folder; the table read again, and its path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    free(spark)
+    return spark.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that `written` made, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litloom.llm.common import NULL_ID, components, cut, local_roots, partitions_for, table, with_node
+from litloom.llm.common import NULL_ID, components, cut, free, local_roots, partitions_for, table, with_node
 from litloom.llm.workers import over_batches, over_groups
 
 SYMBOLS = 32
@@ -276,11 +276,12 @@ def _at_home(members: DataFrame) -> DataFrame:
 
 def _visits(members: DataFrame, links: DataFrame) -> DataFrame | None:
     """The members that are not connected with their family's least one, in parts of BLOCK_BYTES, with each of its other blocks."""
-    large = members.where("blocks > 1")
+    large = members.where("blocks > 1").drop("text", "sig")
     if large.isEmpty():
         return None
     found = components(links.join(large.select("node"), links.a == F.col("node"), "left_semi")).withColumnRenamed("component", "comp")
     large = cut(large.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    slim = [c for c in MEETING if c not in ("text", "sig")]
     top = large.where("node = low").select("family", F.col("comp").alias("top"))
     out = large.join(top, "family").where("comp <> top").drop("top")
     parts = cut(out.groupBy("family").agg(F.sum("size").alias("out_bytes")).select("family", "out_bytes", F.ceil(F.col("out_bytes") / BLOCK_BYTES).cast("int").alias("parts")))
@@ -290,7 +291,8 @@ def _visits(members: DataFrame, links: DataFrame) -> DataFrame | None:
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     guests = out.join(parts, "family").withColumn("i", -1 - part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("j <> block").withColumn("mine", F.col("i"))
     hosts = large.join(parts, "family").withColumn("i", F.explode(F.sequence(-F.col("parts"), F.lit(-1)))).withColumns({"j": F.col("block"), "mine": F.col("block")})
-    return _grouped(guests.select(*MEETING).unionByName(hosts.select(*MEETING)), total)
+    meetings = guests.select(*slim).unionByName(hosts.select(*slim))
+    return _grouped(meetings.join(members.select("node", "sig", "text"), "node"), total)
 
 
 def near_duplicates(docs: DataFrame, words_per: int = 5, percent: int = 80) -> DataFrame:
@@ -314,6 +316,8 @@ def _classes(docs: DataFrame, words_per: int, percent: int) -> DataFrame:
     texts = _texts_of(rows.where("text is not null"), named, wanted.select("node", "set_id"))
     members = texts.join(wanted.drop("set_id"), "node").withColumn("size", F.octet_length("text").cast("long"))
     members = cut(_blocks(members))
+    del texts, wanted, families, stars, keys  # so that their shuffles can go
+    free(docs.sparkSession)
     compare = over_groups(_families(words_per, percent))
     links = cut(_at_home(members).groupBy("g").applyInArrow(compare, "a long, b long"))
     visits = _visits(members, links)
