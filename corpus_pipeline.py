@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir))
+        docs, path = common.written(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="litloom-checkpoint-"))
 
 
+def free(spark: SparkSession) -> None:
+    """Collects what the driver no longer refers to, so that Spark removes the shuffle files of lineage that was cut; on clusters."""
+    if not spark.sparkContext.master.startswith("local["):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
+    """df kept in the shared checkpoint folder, its lineage cut; files that only older lineage needs are removed."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    free(df.sparkSession)
+    return out
 
 
 def _with_least(both: DataFrame, low: DataFrame, hubs_above: int | None) -> DataFrame:
