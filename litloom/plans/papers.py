@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litloom.functions import citations, numbers, sections
+from litloom.functions import citations, numbers, people, sections
 from litloom.functions.dates import medline_year
 from litloom.operators import extraction, fulltext, ranking, screening, structure
 from litloom.plans.bib import BIB, documents, with_
@@ -89,6 +89,28 @@ def tables_rendered(spark, d):
     return t.select("table_id", F.md5(structure.as_markdown(F.col("headers"), F.col("rows"))).alias("markdown_md5"), structure.table_number(F.col("caption")).alias("number"))
 
 
+def tables_as_csv(spark, d):
+    t = _tables(spark, d).withColumn("rows", F.transform("rows", lambda r: F.concat(r, F.array(F.concat(F.lit('say "'), "table_id", F.lit('", so'))))))
+    return t.select("table_id", F.md5(structure.as_csv(F.col("headers"), F.col("rows"))).alias("csv_md5"))
+
+
+def table_chunks(spark, d):
+    return structure.tables_as_chunks(_tables(spark, d)).select("id", F.md5("text").alias("text_md5"), "row_count", "col_count")
+
+
+def prompt_plans(spark, d):
+    n = F.col("idx")
+    return structure.prompt_plan(documents(spark, d).select(F.col("provider").alias("group_id"), (n / 30).cast("long").alias("batch"), (n / 3).cast("long").cast("string").alias("paper_id"), (n % 11).alias("tokens"), ((n / 30).cast("long") * 7 + 100).alias("prompt_tokens")))
+
+
+def authors_mixed(spark, d):
+    """Plain names and objects in one list, some with an ORCID."""
+    n = F.col("idx").cast("string")
+    raw = F.concat(F.lit('["Doe'), n, F.lit(', Jo", {"name": "Ann Lee'), n, F.lit('", "orcid": "'), n, F.lit('"}, {"x": 1}]'))
+    a = people.parse_authors(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"))
+    return documents(spark, d).select("idx", F.array_join(F.transform(a, lambda x: F.concat_ws("/", x["family_name"], F.coalesce(x["given_name"], F.lit("-")), F.coalesce(x["orcid"], F.lit("-")))), ";").alias("authors"))
+
+
 def table_shapes(spark, d):
     """Empty columns and rows dropped, cut captions merged, sparse tables told."""
     n = F.col("idx")
@@ -257,7 +279,7 @@ def q1_leading_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    cited_numbers, cited_authors, references_read, citations_linked, tables_continued, tables_chosen, tables_read, tables_rendered, table_shapes, captions_found, math_told, page_kinds, images_kept, headings_read,
+    cited_numbers, cited_authors, references_read, citations_linked, tables_continued, tables_chosen, tables_read, tables_rendered, tables_as_csv, table_chunks, prompt_plans, authors_mixed, table_shapes, captions_found, math_told, page_kinds, images_kept, headings_read,
     boxes_without_stamps, boxes_outside_images, boxes_merged, boxes_plausible, table_strategies, chunks_attached, paper_counts, papers_unanalysed, papers_unfinished, facts_by_group, downloads_by_status,
     batched_prompts, recovered_decisions, tokens_and_tasks, clusters_nested, clusters_flat, records_as_json, q1_fuzzy_venues, q1_leading_summary,
 )}
@@ -278,6 +300,8 @@ known as (select *, last_value(own ignore nulls) over (partition by source_file,
 last_value(case when len(headers) > 0 then headers end ignore nulls) over (partition by source_file, u order by page, table_id rows between unbounded preceding and 1 preceding) as before from runs),
 told as (select *, nxt and not coalesce(own <> number, false) and (contains(lower(coalesce(caption, '')), 'continued') or (own is not null and number is not null) or (coalesce(caption, '') = '' and len(headers) > 0 and coalesce(headers = before, false))) as goes from known),
 parts as (select *, sum((not goes)::int) {_ORDER} as part, case when goes and coalesce(rows[1] = before, false) then rows[2:] else rows end as kept from told)"""
+_MD = "case when len(headers) > 0 then '| ' || array_to_string(headers, ' | ') || ' |' || chr(10) else '' end || '| --- | --- |' || chr(10) || array_to_string(list_transform(rows, lambda r: case when len(r) = 0 then '|  |  |' else '| ' || array_to_string(r, ' | ') || ' |' end), chr(10))"
+_ROWS = "array_to_string(list_transform(rows, lambda r, i: 'Row ' || i || ': ' || array_to_string(list_transform(r, lambda c, j: coalesce(headers[j], 'Col' || j) || ': ' || c), ', ')), chr(10))"
 _ROWTEXT = "array_to_string(list_transform({}, lambda r: array_to_string(r, ';')), '/')"
 _BOX = """b as (select (event_id // 120)::varchar as source_file, (event_id % 30 + 1)::int as page_number, case when event_id % 4 = 0 then 10.0::double else (event_id * 37 % 4000)::double end as x0, (event_id % 4 * 100 + 20)::double as y0 from events),
 boxes as (select source_file, page_number, x0, y0, x0 + 40 as x1, y0 + 30 as y1 from b)"""
@@ -298,7 +322,11 @@ SQL = {
 string_agg({_ROWTEXT.format('kept')}, '/' order by page) as rows, arg_min(caption, page) filter (caption is not null) as caption from parts group by source_file, part""",
     "tables_chosen": with_(BIB, _T) + """select source_file, page as page_number, case when idx % 3 = 0 then 'm' || table_id else table_id end as table_id from body where len(headers) > 0""",
     "tables_read": with_(BIB) + """select idx::varchar as source_file, h as headers, array_to_string(list_transform(range(0, k), lambda i: 'r' || i || ';' || idx || ' x'), '/') as rows from (select idx, 'A;B' as h, idx % 3 + 1 as k from bib union all select idx, 'C;D', idx % 2 + 1 from bib where idx % 2 = 0)""",
-    "tables_rendered": with_(BIB, _T) + """select table_id, md5('| ' || array_to_string(headers, ' | ') || ' |' || chr(10) || '|' || array_to_string(list_transform(headers, lambda h: '---'), '|') || '|' || chr(10) || array_to_string(list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10))) as markdown_md5,
+    "tables_as_csv": with_(BIB, _T) + """select table_id, md5(case when len(headers) > 0 then array_to_string(headers, ',') || chr(13) || chr(10) else '' end || array_to_string(list_transform(rows, lambda r: array_to_string(r || ['"say ""' || table_id || '"", so"'], ',') || chr(13) || chr(10)), '')) as csv_md5 from body""",
+    "table_chunks": with_(BIB, _T) + f"""select 'table_' || table_id as id, md5(coalesce('Table: ' || caption, 'Table on Page ' || page) || chr(10) || case when len(headers) > 0 then 'Headers: ' || array_to_string(headers, ', ') || chr(10) else '' end || {_ROWS} || chr(10) || chr(10) || 'Markdown representation:' || chr(10) || coalesce('**' || caption || '**' || chr(10) || chr(10), '') || {_MD}) as text_md5, 2 as row_count, 2 as col_count from body""",
+    "prompt_plans": with_(BIB) + "select group_id, count(*) as batches, sum(p)::bigint as prompt_tokens, sum(e)::bigint as excerpt_tokens, max(papers) as papers, (sum(p) // count(*))::bigint as mean_prompt from (select provider as group_id, idx // 30 as batch, (idx // 30) * 7 + 100 as p, sum(idx % 11) as e from bib group by provider, idx // 30) join (select provider as group_id, count(distinct idx // 3) as papers from bib group by provider) using (group_id) group by group_id",
+    "authors_mixed": with_(BIB) + "select idx, 'Doe' || idx || '/Jo/-;Lee' || idx || '/Ann/' || idx || ';Unknown/-/-' as authors from bib",
+    "tables_rendered": with_(BIB, _T) + f"""select table_id, md5({_MD}) as markdown_md5,
 nullif(lower(regexp_extract(caption, 'Table\\s+(\\d+)', 1)), '') as number from body""",
     "table_shapes": with_(BIB) + """select idx, array_to_string(list_filter([case when idx % 2 <> 0 then idx::varchar end, case when idx % 3 <> 0 then '' end], lambda x: x is not null), ';') as headers,
 array_to_string(list_filter([case when idx % 2 <> 0 then idx::varchar end, case when idx % 3 <> 0 then idx::varchar end], lambda x: x is not null), ';') as rows, case when idx % 4 = 0 then 'Sizes of maps' else 'a;b' end as merged, (24 - idx % 6) / 24::double > 0.8 as sparse from bib""",

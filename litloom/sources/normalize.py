@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litloom.functions import ids
 from litloom.functions.dates import extract_year, medline_year
-from litloom.functions.people import split_last_space, split_name
+from litloom.functions.people import parse_authors, split_last_space, split_name
 
 FIELDS = ("title", "year", "provider", "provider_id", "external_ids", "abstract", "authors", "venue", "url", "cited_by_count")
 ABSTRACT_LIMIT = 5000
@@ -117,7 +117,7 @@ def pubmed(df: DataFrame) -> DataFrame:
     doi = F.coalesce(text(x('//ELocationID[@EIdType="doi"]')), text(x('//ArticleIdList/ArticleId[@IdType="doi"]')))
     people = F.from_xml(F.concat(F.lit("<list>"), F.coalesce(F.nullif(F.regexp_extract("raw", r"(?s)<AuthorList[^>]*>(.*?)</AuthorList>", 1), F.lit("")), F.lit("<none/>")), F.lit("</list>")), F.lit(PUBMED_AUTHORS))["Author"]
     name = F.coalesce  # each author's own parts: a missing first name shifts nothing
-    people = F.transform(F.coalesce(people, F.array().cast(PUBMED_AUTHORS.removeprefix("Author "))), lambda a: F.struct(name(a["LastName"], a["CollectiveName"], F.lit("Unknown")).alias("family_name"), name(a["ForeName"], a["Initials"]).alias("given_name"), F.lit(None).cast("string").alias("orcid")))
+    people = F.transform(F.coalesce(people, F.array().cast(PUBMED_AUTHORS.removeprefix("Author "))), lambda a: F.struct(name(F.nullif(a["LastName"], F.lit("")), a["CollectiveName"], F.lit("Unknown")).alias("family_name"), name(a["ForeName"], a["Initials"]).alias("given_name"), F.lit(None).cast("string").alias("orcid")))
     pmid = text(x("//MedlineCitation/PMID"))
     return _record(df, "pubmed", title=text(x("//ArticleTitle")), year=year, provider_id=F.coalesce(pmid, F.lit("")), external_ids=_ids(doi=ids.normalize_doi(doi), pubmed=pmid), abstract=text(F.array_join(some("//AbstractText/text()"), " ")), authors=people, venue=text(x("//Journal/Title")), url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")))
 
@@ -128,7 +128,7 @@ def generic(df: DataFrame, fields: dict[str, str], provider: str, author_parser:
     get = lambda f, kind="string": at(v, fields[f], kind) if f in fields else F.lit(None).cast(kind)
     found = id_extractor(v) if id_extractor else {"doi": ids.normalize_doi(get("doi")), "arxiv": get("arxiv_id"), "openalex": get("openalex_id"), "s2": get("s2_id")}
     pid = ids.provider_id(*[found.get(k, F.lit(None).cast("string")) for k in ("doi", "openalex", "arxiv", "s2")], get("title"))
-    people = F.transform(get("authors", "array<string>"), author_parser)
+    people = parse_authors(get("authors", "array<variant>")) if author_parser is split_name else F.transform(get("authors", "array<string>"), author_parser)
     return _record(df, provider, title=get("title"), year=extract_year(get("year")), provider_id=pid, external_ids=_ids(**found), abstract=get("abstract"), authors=people, venue=get("venue"), url=get("url"), cited_by_count=get("cited_by_count", "int"))
 
 
