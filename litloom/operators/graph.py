@@ -70,6 +70,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         large = _with_least(both, low, hubs_above).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if hubs_above is None else cut(large)  # with hubs it is read five times
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         e = cut(_with_least(large, low, hubs_above).select(F.explode(pairs).alias("x")).select("x.*").where("u <> v").distinct())
