@@ -229,7 +229,7 @@ def test_chunks_and_tables(spark):
     raw = spark.createDataFrame([(["Table 1 Groups of", "x"], [["a", "", "b"], ["", "", ""]])], "h array<string>, r array<array<string>>")
     h, r = structure.without_empty(F.array(F.lit("A"), F.lit(""), F.lit("C")), F.col("r"))
     got = raw.select(structure.merge_headers(F.col("h")).alias("m"), h.alias("h"), r.alias("r"), structure.is_sparse(F.col("r"), F.lit(3)).alias("s"), structure.as_markdown(F.array(F.lit("A")), F.array(F.array(F.lit("1")))).alias("md")).first()
-    assert (got.m, got.h, got.r, got.s, got.md) == (["Groups of x"], ["A", "C"], [["a", "b"]], False, "| A |\n|---|\n| 1 |")
+    assert (got.m, got.h, got.r, got.s, got.md) == (["Groups of x"], ["A", "C"], [["a", "b"]], False, "| A |\n| --- |\n| 1 |")
 
 
 def test_citation_links(spark):
