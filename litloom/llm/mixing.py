@@ -5,13 +5,15 @@ Each document is to be taken target / source_size times: the whole part for cert
 fraction by rounding.  Rounding pairs a fractional document with a pool of smaller ones,
 one if it is as large, and moves words between them in a random direction until the
 document is taken whole or not at all; the sum of the words taken never changes and each
-document keeps its expectation.  Groups (a source's documents by a hash of the id) are
+document drawn keeps its expectation.  Groups (a source's documents by a hash of the id) are
 rounded in parallel, and what they leave is combined level by level in a tree of fan-in
 `fan`; what the root leaves is settled by a draw.
 
 The largest documents are settled first, so what is left of a group is the smallest
-fractional one, and a source misses its target by less than that.  Only where the rest of
-a source is too small to bear a document's rounding can that document be left itself.
+fractional one, and a source misses its target by less than that.  A document of more words
+than the group's fractions come to is not drawn: the others take its fraction over or make
+it whole, so it loses its expectation, as taking it would miss the target.  Only where the
+rest is too small to bear a document's rounding can that document be left itself.
 
 Random draws come from a hash of seed, level and group, so reruns agree whatever the
 partitioning; documents of equal size are settled in the order of their ids.
@@ -36,6 +38,8 @@ FAN = 5_000
 SEED = 17
 #: Moves after which a document that its pool cannot settle is left to the next level.
 MOST_MOVES = 64
+#: A fraction below it, or above one less it, that the pool cannot bear is given up or filled without a draw.
+RARE = 0.02
 
 
 def word_count(text):
@@ -70,7 +74,10 @@ def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     to min(q / (1 - p), (1 - q) / p) of its size, so the pool is the fewest next documents
     that bear the whole size; a pool of one is the plain pivotal step.  If all that are left
     bear only a part, the document moves by that part, and again until it or they are whole.
-    Every fraction keeps its expectation, and what is left at the end is the smallest.
+    That can leave it with all their words; so one of more words than all fractions come to
+    (or lack), or with a fraction that is RARE, is not drawn if the rest can take its fraction
+    over or make it whole.  Fractions drawn keep their expectation, and what is left at the end
+    is the smallest.
     """
     eps = 1e-9
     frac, sizes = p.astype(float).tolist(), size.astype(float).tolist()
@@ -78,6 +85,8 @@ def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     for i, z in enumerate(sizes):
         frac[i] = float(rng.random() < frac[i]) if z == 0 and 0 < frac[i] < 1 else whole(frac[i])
     n = len(frac)
+    free = [(x, z) for x, z in zip(frac, sizes) if 0 < x < 1]
+    most = min(sum(x * z for x, z in free), sum((1 - x) * z for x, z in free))
     for i in range(n):
         for _ in range(MOST_MOVES):
             x, z = frac[i], sizes[i]
@@ -95,6 +104,8 @@ def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
                 j += 1
             if not pool:
                 break
+            if room < z and (z > most or min(x, 1 - x) < RARE) and _taken_over(frac, sizes, i, pool, whole):
+                break
             part = min(z, room)
             up = rng.random() < x
             move = (1 - x) * part if up else -x * part
@@ -104,6 +115,20 @@ def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.array(frac)
 
 
+def _taken_over(frac: list[float], sizes: list[float], i: int, pool: list[int], whole) -> bool:
+    """Settles document i without a draw, its words spread over the pool by their room; whether that is possible."""
+    x, z = frac[i], sizes[i]
+    q, own = np.array([frac[j] for j in pool]), np.array([sizes[j] for j in pool])
+    for up in (x > 0.5, x <= 0.5):
+        move, room = ((1 - x) * z, q * own) if up else (-x * z, (1 - q) * own)
+        if abs(move) <= room.sum():
+            frac[i] = float(up)
+            for j, y in zip(pool, (q - move * (room / room.sum()) / own).tolist()):
+                frac[j] = whole(y)
+            return True
+    return False
+
+
 def _round(level: int, seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "doc_id", "block"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)

@@ -32,6 +32,16 @@ def test_one_large_document_is_not_what_is_left():
     assert max(missed) <= 400
 
 
+def test_no_document_takes_all_words_of_small_fractions():
+    """A source near a multiple of its size: fractions of fewer words than its large documents have."""
+    size = np.array([6005.0, 4278, 3213, 2742, 1900] + [float(k) for k in range(800, 0, -2)])
+    for p in (0.009, 0.991):
+        for seed in range(300):
+            x = M.pivotal(np.full(len(size), p), size, np.random.default_rng(seed))
+            left = (x > 0) & (x < 1)
+            assert abs((x * size).sum() - p * size.sum()) < 1e-3 and size[left].sum() <= 400, (p, seed, size[left])
+
+
 def docs(spark, n=900):
     r = random.Random(1)
     rows = [(i, " ".join("w" * 3 for _ in range(r.randint(0, 40))), r.choice(["a", "a", "a", "a", "b", "é", "\U0001f600", None])) for i in range(n)]
