@@ -37,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,10 @@ GROW_BYTES = 64 << 30
 #: Different texts with one anchor beyond which its strings are dealt by their own hashes.
 HOT_DOCS = 20_000
 PIECE = 1 << 19
-SORT_BYTES = 2 << 20
+#: Contexts whose anchors are gathered at once.
+SOME = 1 << 15
+#: Bytes of contexts sorted at once; the sort and what it tells of them take many times as much.
+SORT_BYTES = 1 << 19
 
 #: From a group of documents (home) to a group of hashes (pt): hashes one document or several have.
 HASHES = "pt int, home int, one binary, many binary, times binary"
@@ -163,8 +167,27 @@ def _raw(column) -> list[bytes]:
     return [x if x is not None else b"" for x in column.to_pylist()]
 
 
+def _data(column) -> bytes:
+    """A binary column's values one after the other, without an object for each."""
+    out = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(c) and c.buffers()[2] is not None:
+            at_ = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset)
+            out.append(memoryview(c.buffers()[2])[at_[0] : at_[-1]])
+    return b"".join(out)
+
+
 def _cat(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(_raw(column)), dtype=kind)
+    return np.frombuffer(_data(column), dtype=kind)
+
+
+def _anchor_hashes(ctx: np.ndarray, at_: np.ndarray) -> np.ndarray:
+    """A number for the K bytes at each place; some at a time, as the places of their bytes take several times the contexts."""
+    h = np.empty(len(at_), np.uint64)
+    for x in range(0, len(at_), SOME):
+        anchor = ctx[at_[x : x + SOME, None] + np.arange(K)].view("<u8")
+        h[x : x + SOME] = (anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (anchor[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return h
 
 
 def one_each(docs: pa.Table) -> pa.Table:
@@ -333,7 +356,8 @@ def send_contexts(n_groups: int, length: int):
                     out["marks"].append(marks.tobytes())
                     for c in CONTEXTS:
                         out[c].append(None)
-        return pa.table({c: pa.array(out[c], pa.int32() if c in ("pt", "home") else pa.binary()) for c in names})
+                del ctx, texts, begin, size
+        return pa.table({c: pa.array(out.pop(c), pa.int32() if c in ("pt", "home") else pa.binary()) for c in names})
 
     return run
 
@@ -375,28 +399,26 @@ def find_repeats(length: int):
     def run(t: pa.Table) -> pa.Table:
         homes, passed = t.column("home").to_numpy(), t.column("marks").to_pylist()
         out = {"pt": [int(h) for h, m in zip(homes, passed) if m is not None], "marks": [m for m in passed if m is not None]}
-        whos = _raw(t.column("who"))
-        home = np.repeat(homes, [len(x) // 4 for x in whos])
-        who, did, start = np.frombuffer(b"".join(whos), "<u4"), _cat(t.column("did"), np.int64), _cat(t.column("start"), "<u4").astype(np.int64)
+        home = np.repeat(homes, pc.binary_length(t.column("who")).fill_null(0).to_numpy() // 4)
+        who, did, start = _cat(t.column("who"), "<u4"), _cat(t.column("did"), np.int64), _cat(t.column("start"), "<u4").astype(np.int64)
         n, off = _cat(t.column("n"), "<u2").astype(np.int64), _cat(t.column("off"), "<u2").astype(np.int64)
-        ctx = b"".join(_raw(t.column("ctx")))
-        del t, whos
+        ctx = _data(t.column("ctx"))
+        del t
         size = n + length - 1
         end = np.cumsum(size)
         begin = end - size
         got = [(np.empty(0, np.int64),) * 3]
         if len(n):
             # The anchor itself tells which contexts belong together; its hash need not be sent.
-            anchor = np.frombuffer(ctx, np.uint8)[(begin + off)[:, None] + np.arange(K)].view("<u8")
-            h = (anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (anchor[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
-            del anchor
+            h = _anchor_hashes(np.frombuffer(ctx, np.uint8), begin + off)
             # Anchors' hashes in ranges that fit the sort: equal strings have equal anchors.
             order = np.argsort(h, kind="stable")
             cum = np.cumsum(size[order])
             edge = np.r_[True, h[order][1:] != h[order][:-1]]
             part = np.maximum.accumulate(np.where(edge, cum // SORT_BYTES, 0))
-            s = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            for lo, hi in zip(s, np.r_[s[1:], len(part)]):
+            s = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            del h, cum, edge, part
+            for lo, hi in zip(s[:-1], s[1:]):
                 got.append(_marked(order[lo:hi], ctx, begin, end, off, did, start, length))
         row, a, b = (np.concatenate(x) for x in zip(*got))
         order, groups = _split(home[row.astype(np.int64)] if len(row) else np.empty(0, np.int32))

@@ -117,3 +117,30 @@ def test_query_against_brute_force(spark, tmp_path, hot):
     out = S.op9_suffix_dedup(spark, str(tmp_path)) if hot == 0 else S.dedup(spark.read.parquet(str(tmp_path / "documents.parquet")), hot_docs=hot)
     got = [tuple(x) for x in out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows)))
+
+
+def test_a_large_group_of_contexts_is_read_in_little_memory():
+    """Beside the contexts themselves, what is sorted at once bounds the memory; repeats are found all the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r, k = np.random.default_rng(3), 2000
+    kinds, rows = r.integers(97, 123, (8000, 80), dtype=np.uint8), {c: [] for c in (*S.CONTEXTS, "picked")}
+    for home in range(40):
+        picked = r.integers(0, len(kinds), k)
+        ctx = kinds[picked]
+        ctx[:, 70:] = r.integers(97, 123, (k, 10))  # the strings before it are those of the kind
+        for c, v in (("who", np.arange(k, dtype="<u4")), ("did", home * k + np.arange(k)), ("start", np.zeros(k, "<u4")), ("n", np.full(k, 31, "<u2")), ("off", np.full(k, 20, "<u2")), ("ctx", ctx)):
+            rows[c].append(v.tobytes())
+        rows["picked"].append(picked)
+    picked, homes = np.concatenate(rows.pop("picked")), pa.array(range(40), pa.int32())
+    t = pa.table({"pt": homes, "home": homes, **{c: pa.array(v, pa.binary()) for c, v in rows.items()}, "marks": pa.nulls(40, pa.binary())})
+    tracemalloc.start()
+    out = S.find_repeats(50)(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = set(np.unique(picked, return_index=True)[1].tolist())
+    got = {(h, int(w)) for h, m in zip(out.column("pt").to_pylist(), out.column("marks").to_pylist()) for w in np.frombuffer(m, S.MARK)["who"]}
+    assert got == {(i // k, i % k) for i in range(40 * k) if i not in first}
+    assert peak < 90e6, peak
