@@ -206,3 +206,13 @@ def test_semantic_join_is_exact(spark, monkeypatch):
     want = {(v[i][0], v[j][0]) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] >= 0.92}
     got = [tuple(e) for e in dedup.semantic_edges(spark.createDataFrame(v, "idx long, embedding array<double>"), 0.92, block=16).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_semantic_links_join_what_the_pairs_join_and_stay_few(spark):
+    from litloom.operators.graph import components
+
+    v = [(i, [1.0, i % 2 * 0.01, 0.0]) for i in range(300)] + [(i, [0.0, 1.0, (i - 300) * 0.2]) for i in range(300, 306)] + [(900, None)]
+    d = spark.createDataFrame(v, "idx long, embedding array<float>")
+    pairs, links = dedup.semantic_edges(d, 0.92, block=64), dedup.semantic_edges(d, 0.92, block=64, links=True)
+    assert pairs.count() > 300 * 299 / 2 and links.count() < 4 * 300
+    assert {tuple(r) for r in components(pairs).collect()} == {tuple(r) for r in components(links).collect()}
