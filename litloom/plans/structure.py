@@ -37,7 +37,7 @@ def semantic_pairs(spark, d):
 
 def semantic_clusters(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("idx"), "embedding")
-    labels = components(dedup.semantic_edges(v, 0.92))
+    labels = components(dedup.semantic_edges(v, 0.92, links=True))
     return v.join(labels, v.idx == labels.node, "left").select("idx", F.coalesce("component", "idx").alias("component"))
 
 
