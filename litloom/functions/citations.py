@@ -17,10 +17,16 @@ def _found(c: Column, pattern: str, group: int) -> Column:
 def parse_reference(raw: Column) -> Column:
     """struct<raw_text, authors, title, year, doi> of one entry's text.
 
-    Authors stand before the year if that is far enough in, else before the first bracket.
+    The year is the first in brackets, else the last outside of identifiers and addresses, so a
+    number that looks like one in a name is none.  Authors stand before it if it is far enough in,
+    else before the first bracket.
     """
-    year = _found(raw, r"\b((?:19|20)\d{2})\b", 1)
-    before = F.when(F.instr(raw, year) > 11, F.regexp_replace(strip(F.substring(raw, F.lit(1), F.instr(raw, year) - 1)), r"[()\[\],.:]+$", ""))
+    bracketed, bare = r"(?s)^(.*?\()((?:19|20)\d{2})[a-z]?\)", r"(?s)^(.*)\b((?:19|20)\d{2})\b"
+    rest = F.regexp_replace(raw, r"(?i)(?:doi[:\s]*|https?://)\S+", "")
+    inside = raw.rlike(bracketed)
+    year = F.when(inside, F.regexp_extract(raw, bracketed, 2)).otherwise(_found(rest, bare, 2))
+    lead = F.when(inside, F.regexp_extract(raw, bracketed, 1)).otherwise(F.regexp_extract(rest, bare, 1))
+    before = F.when(year.isNotNull() & (F.char_length(lead) > 10), F.regexp_replace(strip(lead), r"[()\[\],.:]+$", ""))
     opening = F.regexp_replace(strip(F.regexp_extract(raw, r"^([^(]+)", 1)), r"[,.:]+$", "")
     authors = F.coalesce(F.nullif(strip(before), F.lit("")), opening)
     return F.struct(

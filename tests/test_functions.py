@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +99,39 @@ def test_dsl_predicates(spark):
 def test_schema_compiler():
     s = compile_schema([{"id": "a", "type": "list of strings"}, {"id": "b", "type": "object", "object_fields": {"x": "float"}}, {"id": "c", "type": "integer"}])
     assert s.simpleString() == "struct<a:array<string>,b:struct<x:string>,c:string>"
+
+
+def test_year_of_a_reference_is_not_a_number_in_a_name(spark):
+    got = column(spark, ['Author 1950, B. (1990).', "Another 1950, no bracket 2003", "Lee, A. Of maps. 2011. doi:10.1/1999"], citations.parse_reference)
+    assert [(x.authors, x.year) for x in got] == [("Author 1950, B.", 1990), ("Another 1950, no bracket", 2003), ("Lee, A. Of maps", 2011)]
+
+
+def test_marks_of_every_character_without_python(spark):
+    import sys
+    import unicodedata
+
+    from litloom.functions.text import without_marks
+
+    texts = [None, "plain"] + ["".join(chr(i) for i in range(at, min(at + 64, sys.maxunicode + 1)) if not 0xD800 <= i <= 0xDFFF) for at in range(0, sys.maxunicode + 1, 64)]
+    want = [t and "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)) for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select(without_marks(F.col("x")).alias("y"))
+    assert "EvalPython" not in df._jdf.queryExecution().toString()
+    assert [r.y for r in df.collect()] == want
+
+
+def test_packed_texts_against_one_another():
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc é") for _ in range(r.choice([0, 1, 63, 64, 65, 128, 150]))) for _ in range(30)]
+    packed, which = similarity.Packed(texts), list(range(0, 30, 2))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for t in texts[:12]:
+        assert packed.common(t, np.array(which)).tolist() == [similarity.lcs_length(t, texts[k]) for k in which]
+        assert packed.edits(t, np.array(which)).tolist() == [edits(t, texts[k]) for k in which]
