@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 
 def strip(c: Column) -> Column:
@@ -30,10 +29,35 @@ def joined(*columns: Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *[F.coalesce(c, F.lit("")) for c in columns])
 
 
-@pandas_udf(StringType())
-def without_marks(s: pd.Series) -> pd.Series:
-    """Canonical decomposition without the combining marks."""
-    return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+@cache
+def _letters() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one without marks, and those; combining marks follow the former alone.  Those that decompose to several."""
+    ones, marks, several = {}, [], {}
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif not "가" <= c <= "힣" and unicodedata.decomposition(c):
+            d = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if d != c:
+                (ones if len(d) == 1 else several)[c] = d
+    return "".join(ones) + "".join(marks), "".join(ones.values()), several
+
+
+def without_marks(c: Column) -> Column:
+    """Canonical decomposition without the combining marks, character by character, in Spark's own expressions."""
+    letters, plain, several = _letters()
+    out = c
+    for x, d in several.items():
+        out = F.replace(out, F.lit(x), F.lit(d))
+    out = F.when(c.rlike("[" + "".join(several) + "]"), out).otherwise(c)
+    jamo = lambda first, n: F.array(*[F.lit(chr(first + k)) for k in range(n)])
+    tails = F.array(F.lit(""), *[F.lit(chr(0x11A8 + k)) for k in range(27)])
+    n = lambda x: F.ascii(x) - 0xAC00
+    at = lambda parts, k: F.element_at(parts, k.cast("int") + 1)
+    parted = lambda x: F.concat(at(jamo(0x1100, 19), F.floor(n(x) / 588)), at(jamo(0x1161, 21), F.floor(n(x) % 588 / 28)), at(tails, n(x) % 28))
+    syllables = F.array_join(F.transform(F.split(out, ""), lambda x: F.when(x.rlike("[가-힣]"), parted(x)).otherwise(x)), "")
+    out = F.when(c.rlike("[가-힣]"), syllables).otherwise(out)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(out, letters, plain)).otherwise(c)
 
 
 def normalize_title(c: Column) -> Column:
