@@ -19,6 +19,11 @@ def _full():
     return F.transform("authors", people.full_name)
 
 
+def _let(value, f):
+    """f of the value, which is computed once: inside a function of elements it would be again for each."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _raw(spark, d, **fields):
     """idx and raw: a JSON response of the fields."""
     return documents(spark, d).select("idx", F.to_json(F.struct(*[(c if not isinstance(c, str) else F.col(c)).alias(n) for n, c in fields.items()])).alias("raw"))
@@ -34,8 +39,8 @@ def _out(records):
 def provider_openalex(spark, d):
     """Titles come back from their inverted index as well."""
     own = F.filter(F.split("title", r"\s+"), lambda w: w != "")
-    words = F.transform(own, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    index = F.map_from_entries(F.transform(F.array_distinct(own), lambda w: F.struct(w, F.transform(F.filter(words, lambda x: x["w"] == w), lambda x: x["i"]))))
+    index = _let(F.array_sort(F.transform(own, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), lambda words: _let(F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: (k <= F.size(words)) & ((k == 1) | (F.get(words, k - 1)["w"] != F.get(words, k - 2)["w"]))), lambda starts: F.transform(starts, lambda k, n: F.struct(F.get(words, k - 1)["w"], F.transform(F.slice(words, k, F.coalesce(F.get(starts, n + 1), F.size(words) + 1) - k), lambda x: x["i"])))))
+    index = F.map_from_entries(index)
     who = F.transform(_full(), lambda n: F.struct(F.struct(n.alias("display_name")).alias("author")))
     raw = _raw(spark, d, id=F.concat(F.lit("https://openalex.org/W"), "idx"), display_name="title", publication_year="year", ids=F.struct(F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "idx").alias("pmid")), authorships=who, abstract_inverted_index=index, cited_by_count="cited_by_count", primary_location=F.struct(F.struct(F.col("venue").alias("display_name")).alias("source"), F.col("url").alias("landing_page_url")))
     return _out(normalize.openalex(raw))

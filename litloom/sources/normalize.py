@@ -37,13 +37,14 @@ def _record(df: DataFrame, provider: str, **columns: Column) -> DataFrame:
     return out.where(F.coalesce(F.col("title"), F.lit("")) != "")
 
 
-def _variant(df: DataFrame) -> Column:
-    return F.try_parse_json(F.col("raw"))
+def _variant(df: DataFrame) -> tuple[DataFrame, Column]:
+    """df with its parsed response, and that.  A generator keeps it from being parsed, and made, again for each field and the filter."""
+    return df.withColumn("__v", F.explode(F.array(F.try_parse_json("raw")))), F.col("__v")
 
 
 def openalex(df: DataFrame) -> DataFrame:
     """raw: one work as JSON."""
-    v = _variant(df)
+    df, v = _variant(df)
     openalex_id = ids.openalex_id(at(v, "id"))
     index = at(v, "abstract_inverted_index", "map<string,array<int>>")
     people = F.transform(at(v, "authorships", "array<struct<author:struct<display_name:string,orcid:string>>>"), lambda a: split_last_space(a["author"]["display_name"], a["author"]["orcid"]))
@@ -55,7 +56,7 @@ def openalex(df: DataFrame) -> DataFrame:
 
 
 def crossref(df: DataFrame) -> DataFrame:
-    v = _variant(df)
+    df, v = _variant(df)
     people = F.transform(at(v, "author", "array<struct<family:string,given:string,ORCID:string>>"), lambda a: F.struct(F.coalesce(a["family"], F.lit("Unknown")).alias("family_name"), a["given"].alias("given_name"), a["ORCID"].alias("orcid")))
     return _record(
         df, "crossref", title=at(v, "title[0]"), year=at(v, "issued['date-parts'][0][0]", "int"), external_ids=_ids(doi=ids.normalize_doi(at(v, "DOI"))), abstract=at(v, "abstract"), authors=people,
@@ -64,14 +65,14 @@ def crossref(df: DataFrame) -> DataFrame:
 
 
 def semantic_scholar(df: DataFrame) -> DataFrame:
-    v = _variant(df)
+    df, v = _variant(df)
     people = F.transform(at(v, "authors", "array<struct<name:string>>"), lambda a: split_last_space(a["name"]))
     found = _ids(doi=ids.normalize_doi(at(v, "externalIds.DOI")), arxiv=at(v, "externalIds.ArXiv"), pubmed=at(v, "externalIds.PubMed"), s2=at(v, "paperId"))
     return _record(df, "s2", title=at(v, "title"), year=at(v, "year", "int"), external_ids=found, abstract=at(v, "abstract"), authors=people, venue=at(v, "venue"), url=at(v, "url"), cited_by_count=at(v, "citationCount", "int"))
 
 
 def doaj(df: DataFrame) -> DataFrame:
-    v = _variant(df)
+    df, v = _variant(df)
     names = at(v, "bibjson.identifier", "array<struct<type:string,id:string>>")
     doi = F.try_element_at(F.filter(names, lambda x: F.lower(x["type"]) == "doi"), F.lit(1))["id"]
     link = F.try_element_at(at(v, "bibjson.link", "array<struct<type:string,url:string>>"), F.lit(1))["url"]
@@ -80,7 +81,7 @@ def doaj(df: DataFrame) -> DataFrame:
 
 
 def core(df: DataFrame) -> DataFrame:
-    v = _variant(df)
+    df, v = _variant(df)
     people = F.transform(at(v, "authors", "array<struct<name:string>>"), lambda a: split_name(a["name"]))
     full = F.try_element_at(at(v, "sourceFulltextUrls", "array<string>"), F.lit(1))
     url = F.coalesce(F.nullif(at(v, "downloadUrl"), F.lit("")), F.nullif(full, F.lit("")), F.concat(F.lit("https://core.ac.uk/works/"), at(v, "id")))
@@ -88,7 +89,7 @@ def core(df: DataFrame) -> DataFrame:
 
 
 def ieee(df: DataFrame) -> DataFrame:
-    v = _variant(df)
+    df, v = _variant(df)
     people = F.transform(at(v, "authors.authors", "array<struct<full_name:string>>"), lambda a: split_name(a["full_name"]))
     return _record(df, "ieee", title=at(v, "title"), year=extract_year(at(v, "publication_year")), provider_id=F.coalesce(at(v, "article_number"), F.lit("")), external_ids=_ids(doi=ids.normalize_doi(at(v, "doi"))), abstract=at(v, "abstract"), authors=people, venue=at(v, "publication_title"), url=at(v, "html_url"), cited_by_count=at(v, "citing_paper_count", "int"))
 
@@ -124,7 +125,7 @@ def pubmed(df: DataFrame) -> DataFrame:
 
 def generic(df: DataFrame, fields: dict[str, str], provider: str, author_parser: Callable[[Column], Column] = split_name, id_extractor: Callable[[Column], dict] | None = None) -> DataFrame:
     """Any JSON response by a map from record fields to paths; authors: a path to names."""
-    v = _variant(df)
+    df, v = _variant(df)
     get = lambda f, kind="string": at(v, fields[f], kind) if f in fields else F.lit(None).cast(kind)
     found = id_extractor(v) if id_extractor else {"doi": ids.normalize_doi(get("doi")), "arxiv": get("arxiv_id"), "openalex": get("openalex_id"), "s2": get("s2_id")}
     pid = ids.provider_id(*[found.get(k, F.lit(None).cast("string")) for k in ("doi", "openalex", "arxiv", "s2")], get("title"))

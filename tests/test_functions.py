@@ -135,3 +135,15 @@ def test_packed_texts_against_one_another():
     for t in texts[:12]:
         assert packed.common(t, np.array(which)).tolist() == [similarity.lcs_length(t, texts[k]) for k in which]
         assert packed.edits(t, np.array(which)).tolist() == [edits(t, texts[k]) for k in which]
+
+
+def test_a_response_is_parsed_once(spark):
+    import json
+
+    from litloom.sources import normalize
+
+    raw = json.dumps({"id": "https://openalex.org/W1", "display_name": "a b a", "abstract_inverted_index": {"a": [0, 2], "b": [1]}})
+    out = normalize.openalex(spark.createDataFrame([(raw,)], "raw string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count("parseJson"), plan.count("parse_json")) == 1
+    assert out.first().abstract == "a b a"
